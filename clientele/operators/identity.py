@@ -249,18 +249,18 @@ def explorer(profiles: DataFrame, features: DataFrame, rows: int = 200) -> DataF
     )
 
 
-def linked_identifiers(id_map: DataFrame, customer: str) -> DataFrame:
-    """Identifiers of one customer, masked."""
-    return id_map.where(F.col(CUSTOMER) == F.lit(customer)).select(
-        "identifier_type",
-        mask_identifier(F.col("identifier_type"), F.col("identifier_value")).alias("identifier_value"),
-    )
-
-
-def transaction_history(transactions: DataFrame, customer: object) -> DataFrame:
-    """Orders of one customer, newest first."""
-    return (
-        transactions.where(F.col(CUSTOMER) == F.lit(customer))
-        .select("order_id", "order_timestamp", "revenue", "gross_margin", "channel")
-        .orderBy(F.desc("order_timestamp"), "order_id")
-    )
+def linked_identifiers(id_map: DataFrame, customer: str | None = None) -> DataFrame:
+    """Identifiers of one customer, or of all, masked."""
+    rows = id_map if customer is None else id_map.where(F.col(CUSTOMER) == F.lit(customer))
+    masked = mask_identifier(F.col("identifier_type"), F.col("identifier_value"))
+    return rows.select(CUSTOMER, "identifier_type", masked.alias("identifier_value"))
+
+
+def transaction_history(transactions: DataFrame, customer: object | None = None) -> DataFrame:
+    """Orders of one customer, newest first; without a customer, of all, by customer."""
+    columns = ["order_id", "order_timestamp", "revenue", "gross_margin", "channel"]
+    newest_first = [F.desc("order_timestamp"), F.col("order_id")]
+    if customer is None:
+        return transactions.select(CUSTOMER, *columns).orderBy(CUSTOMER, *newest_first)
+    mine = transactions.where(F.col(CUSTOMER) == F.lit(customer))
+    return mine.select(CUSTOMER, *columns).orderBy(*newest_first)

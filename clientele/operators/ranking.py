@@ -112,6 +112,27 @@ def after(key: Column, tie: Column, edge_key, edge_tie) -> Column:
     return (key > F.lit(edge_key)) | ((key == F.lit(edge_key)) & (tie > F.lit(edge_tie)))
 
 
+def _tagged_keys(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
+    """One row per key and id: ``(_metric, _key, _id)``, so that all keys share one sort."""
+    pairs = [
+        F.struct(F.lit(i).alias("_metric"), key.cast("double").alias("_key"))
+        for i, key in enumerate(keys.values())
+    ]
+    tagged = df.select(F.col(id_col).alias("_id"), F.explode(F.array(*pairs)).alias("_pair"))
+    return tagged.select("_pair._metric", "_pair._key", "_id")
+
+
+def first_ranks(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
+    """Rank 1..n of every row by each key, ties by id."""
+    ranked = global_rank(_tagged_keys(df, id_col, keys), ["_metric", "_key", "_id"], "_rank")
+    total = df.agg(F.count("*")).scalar()
+    in_metric = F.col("_rank") - F.col("_metric") * total
+    ranks = [
+        F.max(F.when(F.col("_metric") == i, in_metric)).alias(name) for i, name in enumerate(keys)
+    ]
+    return ranked.groupBy(F.col("_id").alias(id_col)).agg(*ranks)
+
+
 def quantile_buckets(
     df: DataFrame, id_col: str, keys: dict[str, Column], buckets: int
 ) -> DataFrame:
@@ -122,17 +143,7 @@ def quantile_buckets(
     ``buckets - 1`` edge rows of each key.  ``df`` is read twice: pass a written table.
     """
     names = list(keys)
-    tagged = df.select(
-        F.col(id_col).alias("_id"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("_metric"), keys[name].cast("double").alias("_key"))
-                    for i, name in enumerate(names)
-                ]
-            )
-        ).alias("_pair"),
-    ).select("_pair._metric", "_pair._key", "_id")
+    tagged = _tagged_keys(df, id_col, keys)
 
     def edge_rank(total: int, metric: int, bucket: int) -> int:
         rows = total // len(names)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions.columns import days_after, exact_sum, whole_days
-from clientele.operators.ranking import quantile_buckets
+from clientele.operators.ranking import first_ranks, quantile_buckets
 from clientele.sources.scratch import materialise
 
 CUSTOMER = "unified_customer_id"
@@ -62,14 +62,24 @@ def customer_base(
     )
 
 
-def quintile_scores(base: DataFrame) -> DataFrame:
-    """Scores 1-5; the fewest days since the last order score highest."""
-    keys = {
+def score_keys() -> dict[str, Column]:
+    """What each score ranks, ascending; the fewest days since the last order score highest."""
+    return {
         "r_score": -F.col("recency_days"),
         "f_score": F.col("frequency"),
         "m_score": F.col("monetary"),
     }
-    return quantile_buckets(materialise(base, "customers"), CUSTOMER, keys, 5)
+
+
+def score_ranks(base: DataFrame) -> DataFrame:
+    """The global rank behind each score."""
+    ranks = first_ranks(materialise(base, "customers"), CUSTOMER, score_keys())
+    return ranks.select(CUSTOMER, *[F.col(f"{k}_score").alias(f"{k}_rank") for k in "rfm"])
+
+
+def quintile_scores(base: DataFrame) -> DataFrame:
+    """Scores 1-5 from equal-sized buckets of the ranks."""
+    return quantile_buckets(materialise(base, "customers"), CUSTOMER, score_keys(), 5)
 
 
 def score_text() -> Column:

@@ -124,6 +124,33 @@ VIEWS: dict[str, str] = {
                timestamp '2001-01-01 00:00:00' as updated_at
         from {customer}
     """,
+    # The raw feeds, keyed by entity.
+    "feed_transactions": """
+        select order_id, concat('ENT_', lpad(cast(unified_customer_id as string), 7, '0')) as entity_id, order_timestamp,
+               revenue, gross_margin, channel, payment_status, items_count
+        from {cdp_transactions}
+    """,
+    "feed_events": """
+        select cast(event_id as string) as event_id, concat('ENT_', lpad(cast(unified_customer_id as string), 7, '0')) as entity_id,
+               event_timestamp, event_type, page_url, session_id, device_type
+        from {cdp_events}
+    """,
+    "feed_touchpoints": """
+        select cast(event_id as string) as touchpoint_id,
+               case when event_type = 'error' then concat('GUEST_', cast(user_id as string))
+                    else concat('ENT_', lpad(cast(user_id as string), 7, '0')) end as entity_id,
+               ts as event_timestamp, concat('channel_', cast(event_id % 7 as string)) as channel,
+               concat('camp_', cast(event_id % 12 as string)) as campaign_name,
+               case when event_type = 'purchase' then 1 else 0 end as conversion_flag,
+               case when event_type = 'purchase' then cast(event_id as string) end as order_id,
+               case when event_type = 'purchase' then value else cast(0.0 as double) end as attributed_revenue
+        from {events}
+    """,
+    "feed_consents": """
+        select concat('ENT_', lpad(cast(unified_customer_id as string), 7, '0')) as entity_id, marketing_opt_in, tracking_consent,
+               third_party_sharing, do_not_track, updated_at
+        from {cdp_consent}
+    """,
     # One audience per market segment and nation.
     "cdp_audience_members": """
         select concat('AUD_', c_mktsegment, '_', cast(c_nationkey as string)) as audience_id,
@@ -147,7 +174,8 @@ VIEWS: dict[str, str] = {
     # One approval per order; a few are already consumed.
     "cdp_approvals": """
         select concat('N', cast(o_orderkey as string)) as nonce, concat('camp_', cast(o_orderkey % 40 as string)) as campaign_name,
-               concat('AUD_', cast(o_orderkey % 25 as string)) as audience_id,
+               concat('AUD_', case o_orderkey % 5 when 0 then 'HOUSEHOLD' when 1 then 'MACHINERY' when 2 then 'FURNITURE' when 3 then 'BUILDING' else 'AUTOMOBILE' end,
+                      '_', cast(o_orderkey % 25 as string)) as audience_id,
                case o_orderkey % 3 when 0 then 'email_marketing' when 1 then 'paid_social' else 'display' end as channel,
                o_orderpriority as approved_by, o_orderdate as issued_at,
                o_orderdate + interval 60 day as expires_at,
@@ -170,7 +198,8 @@ VIEWS: dict[str, str] = {
                       cast(cast(round(l_extendedprice * 100) as bigint) as string), '-', cast(cast(l_shipdate as date) as string)) as request_id,
                case when l_quantity > 48 then concat('X', cast(l_orderkey as string)) else concat('N', cast(l_orderkey as string)) end as nonce,
                concat('camp_', cast(case when l_quantity < 3 then 99 else l_orderkey % 40 end as string)) as campaign_name,
-               concat('AUD_', cast(case when l_discount > 0.09 then 99 else l_orderkey % 25 end as string)) as audience_id,
+               concat('AUD_', case l_orderkey % 5 when 0 then 'HOUSEHOLD' when 1 then 'MACHINERY' when 2 then 'FURNITURE' when 3 then 'BUILDING' else 'AUTOMOBILE' end,
+                      '_', cast(case when l_discount > 0.09 then 99 else l_orderkey % 25 end as string)) as audience_id,
                case when l_tax > 0.07 then 'direct' else case l_orderkey % 3 when 0 then 'email_marketing' when 1 then 'paid_social' else 'display' end end as channel,
                l_returnflag as requested_by, l_shipdate as requested_at
         from {lineitem}
