@@ -10,7 +10,7 @@ adaptive skew join for the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions.columns import identifier_key, stripped
@@ -52,13 +52,15 @@ def link_edges(links: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFr
     )
 
 
-def _fingerprint(edges: DataFrame) -> Row:
-    """Changes whenever the edge set does, whatever its order."""
-    return edges.agg(
-        F.count("*").alias("edges"),
-        F.sum(F.col("low").cast("decimal(38,0)")).alias("sum"),
-        F.bit_xor(F.xxhash64("high", "low")).alias("hash"),
-    ).first()
+def _is_settled(edges: DataFrame) -> bool:
+    """True when every node hangs on one node that hangs on nobody."""
+    ends = F.array(
+        F.struct(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )
+    nodes = edges.select(F.inline(ends)).groupBy("node")
+    ties = nodes.agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ties.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
 
 
 def _tie_larger(edges: DataFrame) -> DataFrame:
@@ -85,13 +87,9 @@ def components(edges: DataFrame) -> DataFrame:
     Returns ``(high, low)``: one row per node that is not itself the smallest.
     """
     current = materialise(edges, "edges")
-    seen = _fingerprint(current)
-    while True:
+    while not _is_settled(current):
         current = materialise(_tie_smaller(_tie_larger(current)), "edges")
-        now = _fingerprint(current)
-        if now == seen:
-            return current
-        seen = now
+    return current
 
 
 def entity_clusters(edges: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -102,8 +100,8 @@ def entity_clusters(edges: DataFrame, entities: DataFrame | None = None) -> Data
     known = edges.select("entity_id")
     if entities is not None:
         known = known.unionByName(entities.select("entity_id"))
-    numbered = global_rank(known.where(F.col("entity_id").isNotNull()).distinct(), ["entity_id"], "idx")
-    numbered = materialise(numbered, "entities")
+    known = known.where(F.col("entity_id").isNotNull()).distinct()
+    numbered = global_rank(known, ["entity_id"], "idx")
     pairs = materialise(edges.join(numbered, "entity_id").select("node", "idx"), "links")
     smallest = pairs.groupBy("node").agg(F.min("idx").alias("low"))
     ties = (
@@ -113,13 +111,14 @@ def entity_clusters(edges: DataFrame, entities: DataFrame | None = None) -> Data
         .distinct()
     )
     tied = components(ties)
-    rooted = numbered.join(tied, numbered["idx"] == tied["high"], "left").select(
+    hangs = F.col("idx") == F.col("high")
+    roots = numbered.join(tied, hangs, "left_anti").select(
+        F.col("idx").alias("root"), F.col("entity_id").alias("root_id")
+    )
+    placed = numbered.join(tied, hangs, "left").select(
         "entity_id", F.coalesce("low", "idx").alias("root")
     )
-    names = numbered.select(F.col("idx").alias("root"), F.col("entity_id").alias("root_id"))
-    rooted = materialise(rooted.join(names, "root"), "rooted")
-    roots = rooted.where(F.col("entity_id") == F.col("root_id")).select("root")
-    return rooted.join(global_rank(roots, ["root"], "cluster"), "root").drop("root")
+    return placed.join(global_rank(roots, ["root"], "cluster"), "root").drop("root")
 
 
 def unified_id(cluster: Column) -> Column:

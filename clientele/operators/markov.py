@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clientele.operators.ranking import range_partitions
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.scratch import materialise
 
@@ -33,7 +34,6 @@ def _edge(start: Column, end: Column, condition: Column) -> Column:
 
 def _pieces(touches: DataFrame) -> DataFrame:
     """Counted steps inside pieces, and one row per piece with its first and last state."""
-    partitions = int(touches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = F.concat(F.lit(PREFIX), F.coalesce("channel", F.lit("unknown")))
     piece = Window.partitionBy("_part", CUSTOMER)
     ordered = piece.orderBy("event_timestamp", "touchpoint_id")
@@ -47,7 +47,9 @@ def _pieces(touches: DataFrame) -> DataFrame:
             state.alias("_state"),
             F.coalesce((F.col("conversion_flag") == 1), F.lit(False)).alias("_converted"),
         )
-        .repartitionByRange(partitions, CUSTOMER, "event_timestamp", "touchpoint_id")
+        .repartitionByRange(
+            range_partitions(touches.sparkSession), CUSTOMER, "event_timestamp", "touchpoint_id"
+        )
         .withColumn("_part", F.spark_partition_id())
         .withColumns(
             {

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clientele.sources.scratch import materialise
@@ -21,9 +21,18 @@ from clientele.sources.scratch import materialise
 _POSITION_BITS = 33
 _SLOT = "_slot"
 
+# Longest list that is taken as a plain top-k.
+TOP_K_ROWS = 100_000
+
+
+def range_partitions(spark: SparkSession) -> int:
+    """Partitions for an explicit range split: the session's setting, or all cores if more."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(wanted, spark.sparkContext.defaultParallelism)
+
 
 def _sorted_table(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = range_partitions(df.sparkSession)
     ordered = df.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by)
     return materialise(ordered.withColumn(_SLOT, F.monotonically_increasing_id()), "ordered")
 
@@ -112,6 +121,19 @@ def after(key: Column, tie: Column, edge_key, edge_tie) -> Column:
     return (key > F.lit(edge_key)) | ((key == F.lit(edge_key)) & (tie > F.lit(edge_tie)))
 
 
+def first_rows(df: DataFrame, id_col: str, count: int) -> DataFrame:
+    """The first ``count`` rows by a unique id.
+
+    A short list is a plain top-k.  A long one would pass through one task, so there only
+    the id at the edge is looked up and the rows are filtered in place.
+    """
+    if count <= TOP_K_ROWS:
+        return df.orderBy(id_col).limit(count)
+    ids = df.select(id_col)
+    edge = rows_at_ranks(ids, [id_col], lambda total: [count] if total > count else [])
+    return df.where(F.col(id_col) <= F.lit(edge[count][id_col])) if edge else df
+
+
 def _tagged_keys(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
     """One row per key and id: ``(_metric, _key, _id)``, so that all keys share one sort."""
     pairs = [

@@ -10,7 +10,6 @@ from clientele.plans.inputs import (
     cltv_features,
     fixed_cltv,
     plain,
-    rounded,
 )
 from clientele.sources.scratch import materialise
 
@@ -42,13 +41,13 @@ QUERIES = {
         v["cdp_transactions"], CLTV_WINDOW_DAYS
     ).select("order_id", "unified_customer_id", "period"),
     "c03_history_features": lambda v: plain(
-        rounded(cltv.history_features(v["cdp_transactions"], CLTV_WINDOW_DAYS), 4)
+        cltv.history_features(v["cdp_transactions"], CLTV_WINDOW_DAYS)
     ),
     "c04_engagement_features": lambda v: cltv.engagement_features(
         v["cdp_early_events"], v["cdp_transactions"], CLTV_WINDOW_DAYS
     ),
     "c05_future_revenue": lambda v: cltv.future_revenue(v["cdp_transactions"], CLTV_WINDOW_DAYS),
-    "c06_features": lambda v: rounded(cltv_features(v), 4),
+    "c06_features": cltv_features,
     "c07_is_subscriber": lambda v: cltv_features(v).select("unified_customer_id", "is_subscriber"),
     "c08_train_test_split": lambda v: cltv.train_test(v["cdp_profiles"]).select(
         "unified_customer_id", "is_train"
@@ -117,19 +116,14 @@ SQL = {
         from {cdp_transactions}
     """,
     "c03_history_features": """
-        select unified_customer_id, hist_orders, round(hist_revenue, 4) as hist_revenue, round(hist_margin, 4) as hist_margin,
-               round(avg_order_value, 4) as avg_order_value,
+        select unified_customer_id, hist_orders, hist_revenue, hist_margin, avg_order_value,
                strftime(last_order_date, '%Y-%m-%d %H:%M:%S.%f') as last_order_date,
                strftime(first_order_date, '%Y-%m-%d %H:%M:%S.%f') as first_order_date, hist_recency_days, customer_tenure_days
         from {cltv_history}
     """,
     "c04_engagement_features": "select * from {cltv_engagement}",
     "c05_future_revenue": "select * from {cltv_target}",
-    "c06_features": """
-        select * replace (round(hist_revenue, 4) as hist_revenue, round(hist_margin, 4) as hist_margin,
-                          round(avg_order_value, 4) as avg_order_value, round(future_revenue, 4) as future_revenue)
-        from {cltv_features}
-    """,
+    "c06_features": "select * from {cltv_features}",
     "c07_is_subscriber": """
         select unified_customer_id, cast(coalesce(subscription_status, '') = 'active' as int) as is_subscriber from {cdp_profiles}
     """,

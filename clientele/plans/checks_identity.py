@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clientele.operators import identity
-from clientele.plans.inputs import feature_table, plain
+from clientele.plans.inputs import feature_table, flags_as_text, plain
 from clientele.sources.scratch import materialise
 
 THRESHOLD = 0.75
@@ -28,7 +28,7 @@ def _golden(v):
 
 def _customer_360(v):
     view = identity.customer_360(v["cdp_profiles"], feature_table(v), v["cdp_consent"])
-    return plain(view)
+    return flags_as_text(plain(view))
 
 
 def _lookups(v):
@@ -156,7 +156,8 @@ SQL = {
     """,
     "i09_customer_360": """
         select p.* replace (strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as created_at), f.recency_days, f.frequency, f.monetary,
-               f.rfm_segment, f.predicted_cltv, f.lead_score, f.churn_risk, c.marketing_opt_in, c.do_not_track
+               f.rfm_segment, f.predicted_cltv, f.lead_score, f.churn_risk, cast(c.marketing_opt_in as varchar) as marketing_opt_in,
+               cast(c.do_not_track as varchar) as do_not_track
         from {masked_profiles} p left join {feature_table} f using (unified_customer_id)
              left join {cdp_consent} c using (unified_customer_id)
     """,

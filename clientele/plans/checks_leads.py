@@ -9,7 +9,6 @@ from clientele.plans.inputs import (
     lead_cutoff,
     lead_features,
     plain,
-    rounded,
 )
 from clientele.sources.scratch import materialise
 

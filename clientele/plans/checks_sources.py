@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clientele.operators import identity
 from clientele.plans.checks_identity import resolved
-from clientele.plans.inputs import feature_table, plain, rounded
+from clientele.plans.inputs import feature_table, flags_as_text, plain, rounded
 from clientele.sources import feeds, warehouse
 from clientele.sources.scratch import checkpoint_root
 
@@ -109,8 +109,8 @@ QUERIES = {
     "s05_transaction_fact": _fact("feed_transactions", "transaction_fact"),
     "s06_event_fact": _fact("feed_events", "event_fact"),
     "s07_campaign_touchpoint": _fact("feed_touchpoints", "campaign_touchpoint"),
-    "s08_consent_preference": lambda v: plain(
-        warehouse.consent_rows(v["feed_consents"], _mapping(v))
+    "s08_consent_preference": lambda v: flags_as_text(
+        plain(warehouse.consent_rows(v["feed_consents"], _mapping(v)))
     ),
     "s09_store_customer_features": _stored_features,
     "s10_adhoc_sql": _adhoc,
@@ -159,12 +159,14 @@ SQL = {
         from {{feed_touchpoints}} left join {{id_unified}} using (entity_id)
     """,
     "s08_consent_preference": f"""
-        select unified_customer_id, marketing_opt_in, tracking_consent, third_party_sharing, do_not_track, {_STAMP.format("updated_at")}
+        select unified_customer_id, cast(marketing_opt_in as varchar) as marketing_opt_in, cast(tracking_consent as varchar) as tracking_consent,
+               cast(third_party_sharing as varchar) as third_party_sharing, cast(do_not_track as varchar) as do_not_track,
+               {_STAMP.format("updated_at")}
         from (select *, row_number() over (partition by unified_customer_id order by updated_at desc, entity_id desc) as rn
               from {{feed_consents}} join {{id_unified}} using (entity_id)) where rn = 1
     """,
     "s09_store_customer_features": """
-        select * replace (cast(churn_risk as double) as churn_risk), '2026-01-01 00:00:00.000000' as computed_at from {feature_table}
+        select * replace (cast(unified_customer_id as varchar) as unified_customer_id, cast(churn_risk as double) as churn_risk), '2026-01-01 00:00:00.000000' as computed_at from {feature_table}
     """,
     "s10_adhoc_sql": """
         select channel, count(*) as orders, round(cast(sum(cast(revenue as decimal(24, 2))) as double), 2) as revenue

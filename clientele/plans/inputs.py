@@ -22,6 +22,12 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns(texts) if texts else df
 
 
+def flags_as_text(df: DataFrame) -> DataFrame:
+    """Three-valued flags as text, for comparison across engines."""
+    flags = {name: F.col(name).cast("string") for name, kind in df.dtypes if kind == "boolean"}
+    return df.withColumns(flags) if flags else df
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     doubles = {name: F.round(name, digits) for name, kind in df.dtypes if kind == "double"}
     return df.withColumns(doubles) if doubles else df

@@ -10,6 +10,7 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -93,7 +94,8 @@ VIEWS: dict[str, str] = {
     """,
     # The same events moved before the order cutoff, for lifetime value.
     "cdp_early_events": """
-        select event_id, unified_customer_id, event_timestamp - interval 8400 day as event_timestamp, event_type
+        select event_id, unified_customer_id, event_timestamp - interval 8400 day as event_timestamp, event_type,
+               session_id, device_type
         from {cdp_events}
     """,
     # Purchases on the clock of the events, for lead scoring and experiments.
@@ -217,25 +219,41 @@ def parts_of(text: str) -> list[str]:
     return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(text) if name))
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Views:
     """The given tables of one folder and the views on them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._built: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        """One given table; time columns without a zone are read as UTC."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One given table; time columns without a zone are read as UTC.
+
+        The schema is read from the file once per path, each later read names it.
+        """
+        path = f"{self.sf_dir}/{name}.parquet"
+        reader = self.spark.read
+        if path in _SCHEMAS:
+            reader = reader.schema(_SCHEMAS[path])
+        df = reader.parquet(path)
+        _SCHEMAS[path] = df.schema
         zoneless = {c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}
         return df.withColumns(zoneless) if zoneless else df
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.table(name)
-        text = VIEWS[name]
-        return self.spark.sql(text, **{part: self[part] for part in parts_of(text)})
+        if name not in self._built:
+            if name in TABLES:
+                self._built[name] = self.table(name)
+            else:
+                text = VIEWS[name]
+                parts = {part: self[part] for part in parts_of(text)}
+                self._built[name] = self.spark.sql(text, **parts)
+        return self._built[name]
 
 
 def duck(text: str, parts: dict[str, str]) -> str:
