@@ -28,97 +28,98 @@ SMALL_MATRIX = 10_000
 NOTHING_REMOVED = ""
 
 
-def _edge(start: Column, end: Column, condition: Column) -> Column:
-    return F.when(condition, F.struct(start.alias("from_state"), end.alias("to_state")))
+# Order of a piece's rows: its first state, then its last state, then its conversion mark.
+_HEAD, _TAIL, _MARK = 0, 1, 2
 
 
 def _pieces(touches: DataFrame) -> DataFrame:
-    """Counted steps inside pieces, and one row per piece with its first and last state."""
+    """Counted steps inside pieces; first state, last state and conversion mark per piece.
+
+    One linear plan: the range split is computed once, and its partition number is a
+    column of every row that follows from it.
+    """
     state = F.concat(F.lit(PREFIX), F.coalesce("channel", F.lit("unknown")))
-    piece = Window.partitionBy("_part", CUSTOMER)
-    ordered = piece.orderBy("event_timestamp", "touchpoint_id")
-    text = F.lit(None).cast("string")
-    touch = (
+    in_order = Window.partitionBy("_part", CUSTOMER).orderBy("event_timestamp", "touchpoint_id")
+    steps = (
         touches.where(F.col(CUSTOMER).isNotNull())
         .select(
             CUSTOMER,
             "event_timestamp",
             "touchpoint_id",
             state.alias("_state"),
-            F.coalesce((F.col("conversion_flag") == 1), F.lit(False)).alias("_converted"),
+            (F.col("conversion_flag") == 1).alias("_converts"),
         )
         .repartitionByRange(
             range_partitions(touches.sparkSession), CUSTOMER, "event_timestamp", "touchpoint_id"
         )
         .withColumn("_part", F.spark_partition_id())
         .withColumns(
-            {
-                "_next": F.lead("_state").over(ordered),
-                "_previous": F.lag("_state").over(ordered),
-                "_converted": F.max("_converted").over(piece),
-            }
+            {"_next": F.lead("_state").over(in_order), "_previous": F.lag("_state").over(in_order)}
         )
     )
 
-    def row(condition: Column, **given: Column) -> Column:
-        fields = {
-            CUSTOMER: F.col(CUSTOMER),
-            "_part": F.col("_part"),
-            "_from": text,
-            "_to": text,
-            "_head": text,
-            "_tail": text,
-            "_converted": F.col("_converted"),
-        } | given
-        return F.when(condition, F.struct(*[value.alias(name) for name, value in fields.items()]))
-
-    nobody = F.when(F.lit(False), F.col(CUSTOMER))
-    no_part = F.lit(None).cast("int")
-    rows = F.array_compact(
-        F.array(
-            row(
-                F.col("_next").isNotNull(),
-                **{CUSTOMER: nobody, "_part": no_part, "_from": F.col("_state"), "_to": F.col("_next")},
-                _converted=F.lit(False),
+    def piece_row(kind: int, condition: Column, known: Column) -> Column:
+        return F.when(
+            condition,
+            F.struct(
+                F.col(CUSTOMER), F.col("_part"), F.lit(kind).alias("_kind"),
+                known.alias("_from"), F.lit(None).cast("string").alias("_to"),
             ),
-            row(F.col("_previous").isNull(), _head=F.col("_state")),
-            row(F.col("_next").isNull(), _tail=F.col("_state")),
         )
+
+    inner_step = F.when(
+        F.col("_next").isNotNull(),
+        F.struct(
+            F.when(F.lit(False), F.col(CUSTOMER)).alias(CUSTOMER),
+            F.lit(None).cast("int").alias("_part"), F.lit(None).cast("int").alias("_kind"),
+            F.col("_state").alias("_from"), F.col("_next").alias("_to"),
+        ),
+    )
+    rows = F.array(
+        inner_step,
+        piece_row(_HEAD, F.col("_previous").isNull(), F.col("_state")),
+        piece_row(_TAIL, F.col("_next").isNull(), F.col("_state")),
+        piece_row(_MARK, F.col("_converts"), F.lit(CONVERSION)),
     )
     return (
-        touch.select(F.inline(rows))
-        .groupBy(CUSTOMER, "_part", "_from", "_to")
-        .agg(
-            F.count("*").alias("_count"),
-            F.max("_head").alias("_head"),
-            F.max("_tail").alias("_tail"),
-            F.max("_converted").alias("_converted"),
-        )
+        steps.select(F.inline(F.array_compact(rows)))
+        .groupBy(CUSTOMER, "_part", "_kind", "_from", "_to")
+        .agg(F.count("*").alias("_count"))
     )
 
 
 def transition_counts(touches: DataFrame) -> DataFrame:
-    """How often each state follows another, over all customers."""
+    """How often each state follows another, over all customers.
+
+    A journey's pieces are put together here: at most three rows per journey and partition.
+    """
+    kind = F.col("_kind")
     journey = Window.partitionBy(CUSTOMER)
-    in_order = journey.orderBy("_part")
-    is_piece = F.col("_head").isNotNull()
-    outcome = F.when(F.col("_journey_converted"), CONVERSION).otherwise(NULL)
-    pieces = _pieces(touches).withColumns(
-        {
-            "_next_head": F.when(is_piece, F.lead("_head").over(in_order)),
-            "_previous_head": F.when(is_piece, F.lag("_head").over(in_order)),
-            "_journey_converted": F.max("_converted").over(journey),
-        }
-    )
-    edges = F.array_compact(
-        F.array(
-            _edge(F.col("_from"), F.col("_to"), ~is_piece),
-            _edge(F.lit(START), F.col("_head"), is_piece & F.col("_previous_head").isNull()),
-            _edge(F.col("_tail"), F.coalesce("_next_head", outcome), is_piece),
+    marks_last = journey.orderBy("_late", "_part", "_kind")
+    outcome = F.when(F.col("_converted"), CONVERSION).otherwise(NULL)
+    following = F.when(F.col("_next_kind") == _HEAD, F.col("_next_state"))
+    pieces = (
+        _pieces(touches)
+        .withColumn("_late", F.coalesce(kind == _MARK, F.lit(False)))
+        .withColumns(
+            {
+                "_next_state": F.lead("_from").over(marks_last),
+                "_next_kind": F.lead("_kind").over(marks_last),
+                "_is_first": F.row_number().over(marks_last) == 1,
+                "_converted": F.max("_late").over(journey),
+            }
         )
+        .where(kind.isNull() | (kind == _TAIL) | ((kind == _HEAD) & F.col("_is_first")))
     )
     return (
-        pieces.select(F.when(is_piece, 1).otherwise(F.col("_count")).alias("n"), F.inline(edges))
+        pieces.select(
+            F.when(kind == _HEAD, START).otherwise(F.col("_from")).alias("from_state"),
+            F.when(kind.isNull(), F.col("_to"))
+            .when(kind == _HEAD, F.col("_from"))
+            .otherwise(F.coalesce(following, outcome))
+            .alias("to_state"),
+            F.when(kind.isNull(), F.col("_count")).otherwise(1).alias("n"),
+        )
         .groupBy("from_state", "to_state")
         .agg(F.sum("n").alias("n"))
     )
@@ -146,12 +147,10 @@ def conversion_probabilities(probabilities: DataFrame) -> DataFrame:
         matrix = matrix.coalesce(1)
     state = F.col("from_state")
     removed = F.when(state.startswith(PREFIX), state).when(state == START, NOTHING_REMOVED)
-    mass = (
-        matrix.select(removed.alias("removed"))
-        .where(F.col("removed").isNotNull())
-        .distinct()
-        .select("removed", F.lit(START).alias("state"), F.lit(1.0).alias("mass"))
+    scenarios = (
+        matrix.select(removed.alias("removed")).where(F.col("removed").isNotNull()).distinct()
     )
+    mass = scenarios.select("removed", F.lit(START).alias("state"), F.lit(1.0).alias("mass"))
     for _ in range(HORIZON):
         alive = mass.where(F.col("state") != F.col("removed"))
         mass = (
@@ -159,8 +158,10 @@ def conversion_probabilities(probabilities: DataFrame) -> DataFrame:
             .groupBy("removed", F.col("to_state").alias("state"))
             .agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
         )
-    reached = F.sum(F.when(F.col("state") == CONVERSION, F.col("mass")).otherwise(0.0))
-    return mass.groupBy("removed").agg(reached.alias("conversion_probability"))
+    converted = mass.where(F.col("state") == CONVERSION).select("removed", "mass")
+    return scenarios.join(converted, "removed", "left").select(
+        "removed", F.coalesce("mass", F.lit(0.0)).alias("conversion_probability")
+    )
 
 
 def removal_effects(reached: DataFrame) -> DataFrame:

@@ -129,9 +129,11 @@ PARTS = {
     """,
     **{f"mass{i}": _step(f"mass{i - 1}") for i in range(1, 6)},
     "markov_reached": """
-        select removed, sum(mass) as conversion_probability from (
-            select * from {mass1} union all select * from {mass2} union all select * from {mass3}
-            union all select * from {mass4} union all select * from {mass5}) where state = 'Conversion' group by removed
+        select removed, coalesce(sum(m.mass), 0.0) as conversion_probability
+        from (select removed from {mass0}) left join (
+            select removed, mass from (select * from {mass1} union all select * from {mass2} union all select * from {mass3}
+            union all select * from {mass4} union all select * from {mass5}) where state = 'Conversion') m using (removed)
+        group by removed
     """,
     "markov_effects": """
         select substr(removed, 9) as channel,
