@@ -137,24 +137,25 @@ def conversion_probabilities(probabilities: DataFrame) -> DataFrame:
     All removals advance together.  Mass that enters Null or the removed channel is lost,
     mass in Conversion stays there, so five steps leave the bounded total.
     """
-    into_conversion = probabilities.where(F.col("to_state") == CONVERSION)
-    stays = into_conversion.select(
-        F.lit(CONVERSION).alias("from_state"), "to_state", F.lit(1.0).alias("p")
-    ).distinct()
-    matrix = probabilities.select("from_state", "to_state", "p").unionByName(stays)
-    matrix = materialise(matrix, "matrix")
+    matrix = materialise(probabilities.select("from_state", "to_state", "p"), "matrix")
     if matrix.count() <= SMALL_MATRIX:
         matrix = matrix.coalesce(1)
+    stays = matrix.where(F.col("to_state") == CONVERSION).select(
+        F.lit(CONVERSION).alias("from_state"), "to_state", F.lit(1.0).alias("p")
+    )
+    steps = matrix.unionByName(stays.distinct())
     state = F.col("from_state")
     removed = F.when(state.startswith(PREFIX), state).when(state == START, NOTHING_REMOVED)
-    scenarios = (
-        matrix.select(removed.alias("removed")).where(F.col("removed").isNotNull()).distinct()
+    scenarios = matrix.select(removed.alias("removed")).where("removed is not null").distinct()
+    # One entry per channel, so this list is as long as the matrix is wide.
+    listed = scenarios.agg(F.array_agg("removed")).scalar()
+    mass = matrix.where(state == START).select(
+        F.explode(listed).alias("removed"), F.col("to_state").alias("state"), F.col("p").alias("mass")
     )
-    mass = scenarios.select("removed", F.lit(START).alias("state"), F.lit(1.0).alias("mass"))
-    for _ in range(HORIZON):
+    for _ in range(HORIZON - 1):
         alive = mass.where(F.col("state") != F.col("removed"))
         mass = (
-            alive.join(matrix, F.col("state") == F.col("from_state"))
+            alive.join(steps, F.col("state") == F.col("from_state"))
             .groupBy("removed", F.col("to_state").alias("state"))
             .agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
         )
