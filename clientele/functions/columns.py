@@ -13,6 +13,17 @@ def exact_sum(column: Column, scale: int = 2) -> Column:
     return F.sum(column.cast(f"decimal(24,{scale})")).cast("double")
 
 
+def round_half_up(column: Column | str, digits: int) -> Column:
+    """Scale, round halves away from zero, scale back: what SQL engines do with doubles.
+
+    Spark's own ``round`` looks at the shortest decimal text of the number instead, and so
+    decides some halves differently.
+    """
+    value = F.col(column) if isinstance(column, str) else column
+    scale = F.lit(float(10**digits))
+    return F.round(value.cast("double") * scale) / scale
+
+
 def whole_days(earlier: Column, later: Column) -> Column:
     """Whole elapsed 24-hour days (not calendar days)."""
     return F.timestamp_diff("DAY", earlier, later).cast("int")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import MICROS_PER_DAY, exact_sum
+from clientele.functions.columns import MICROS_PER_DAY, exact_sum, round_half_up
 from clientele.operators.rfm import CUSTOMER
 
 # Half-lives per time block: sums inside a block span at most this many powers of two.
@@ -107,8 +107,8 @@ def channel_rollup(credit: DataFrame) -> DataFrame:
     columns = []
     for model in MODELS:
         columns += [
-            F.round(F.sum(model), 2).alias(f"{model}_conversions"),
-            F.round(F.sum(F.col(model) * F.col("revenue")), 2).alias(f"{model}_revenue"),
+            round_half_up(F.sum(model), 2).alias(f"{model}_conversions"),
+            round_half_up(F.sum(F.col(model) * F.col("revenue")), 2).alias(f"{model}_revenue"),
         ]
     return credit.where(F.col("channel").isNotNull()).groupBy("channel").agg(*columns)
 
@@ -131,8 +131,8 @@ def reconcile(touches: DataFrame, rule_based_result: DataFrame) -> DataFrame:
         touches.agg(F.coalesce(exact_sum(converted), F.lit(0.0)).alias("total_converted_revenue"))
         .withColumn("last_touch_attributed_revenue", attributed)
         .select(
-            F.round("total_converted_revenue", 2).alias("total_converted_revenue"),
-            F.round("last_touch_attributed_revenue", 2).alias("last_touch_attributed_revenue"),
+            round_half_up("total_converted_revenue", 2).alias("total_converted_revenue"),
+            round_half_up("last_touch_attributed_revenue", 2).alias("last_touch_attributed_revenue"),
             (
                 F.abs(F.col("total_converted_revenue") - F.col("last_touch_attributed_revenue")) < 1.0
             ).alias("match"),

@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import days_before, exact_sum, hash_bucket, whole_days
+from clientele.functions.columns import days_before, exact_sum, hash_bucket, round_half_up, whole_days
 from clientele.operators.ranking import quantile_buckets
 from clientele.operators.rfm import CUSTOMER, NEVER
 from clientele.sources.scratch import materialise
@@ -163,9 +163,9 @@ def regression_metrics(actual: str, predicted: str) -> list[Column]:
     residual = F.sum(F.pow(y - p, F.lit(2)))
     spread = F.var_pop(y) * F.count(y)
     return [
-        F.round(F.avg(F.abs(y - p)), 2).alias("mae"),
-        F.round(F.sqrt(residual / F.count(y)), 2).alias("rmse"),
-        F.round(F.when(spread > 0, 1 - residual / spread), 3).alias("r2"),
+        round_half_up(F.avg(F.abs(y - p)), 2).alias("mae"),
+        round_half_up(F.sqrt(residual / F.count(y)), 2).alias("rmse"),
+        round_half_up(F.when(spread > 0, 1 - residual / spread), 3).alias("r2"),
     ]
 
 
@@ -174,12 +174,12 @@ def top_decile_share(actual: str, decile: str) -> Column:
     total = exact_sum(F.col(actual))
     top = F.coalesce(exact_sum(F.when(F.col(decile) == 10, F.col(actual))), F.lit(0.0))
     share = F.when(total > 0, top / total * 100).otherwise(0.0)
-    return F.round(share, 1).alias("top_decile_actual_revenue_share_pct")
+    return round_half_up(share, 1).alias("top_decile_actual_revenue_share_pct")
 
 
 def mean_by_decile(df: DataFrame, score: str = "predicted_cltv", decile: str = "cltv_decile") -> DataFrame:
     mean = exact_sum(F.col(score), 6) / F.count(score)
-    return df.groupBy(decile).agg(F.round(mean, 2).alias(f"mean_{score}")).orderBy(decile)
+    return df.groupBy(decile).agg(mean.alias(f"mean_{score}")).orderBy(decile)
 
 
 def train_and_evaluate(
@@ -193,5 +193,5 @@ def train_and_evaluate(
         *regression_metrics("future_revenue", "raw_cltv"),
         top_decile_share("future_revenue", "pred_decile"),
     )
-    rounded = predicted.select(CUSTOMER, F.round("raw_cltv", 2).alias("predicted_cltv"))
+    rounded = predicted.select(CUSTOMER, round_half_up("raw_cltv", 2).alias("predicted_cltv"))
     return deciles(rounded, "predicted_cltv", "cltv_decile"), metrics

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import round_half_up
 from clientele.operators.ranking import after, rows_at_ranks, running_totals
 
 
@@ -26,7 +27,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     )
     won = F.col("positives") * (F.col("below_or_equal") - F.col("negatives") / 2)
     pairs = F.sum("positives").cast("double") * F.sum("negatives")
-    return totals.agg(F.round(F.when(pairs > 0, F.sum(won) / pairs), 3).alias("roc_auc"))
+    return totals.agg(round_half_up(F.when(pairs > 0, F.sum(won) / pairs), 3).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -35,12 +36,12 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     totals = running_totals(falling, ["falling"], {"tp": "positives", "fp": "negatives"})
     step = F.col("positives").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))
     hits = F.sum("positives")
-    return totals.agg(F.round(F.when(hits > 0, F.sum(step) / hits), 3).alias("pr_auc"))
+    return totals.agg(round_half_up(F.when(hits > 0, F.sum(step) / hits), 3).alias("pr_auc"))
 
 
 def brier_score(label: str, score: str) -> Column:
     """Aggregate: mean squared distance of score and label."""
-    return F.round(F.avg(F.pow(F.col(score) - F.col(label), F.lit(2))), 3).alias("brier_score")
+    return round_half_up(F.avg(F.pow(F.col(score) - F.col(label), F.lit(2))), 3).alias("brier_score")
 
 
 def decile_lift(label: str, decile: str) -> list[Column]:
@@ -48,9 +49,9 @@ def decile_lift(label: str, decile: str) -> list[Column]:
     base = F.avg(label)
     top = F.avg(F.when(F.col(decile) == 10, F.col(label)))
     return [
-        F.round(base, 4).alias("positive_rate"),
-        F.round(top, 3).alias("top_decile_cvr"),
-        F.round(F.when(base > 0, top / base).otherwise(1.0), 2).alias("top_decile_lift"),
+        round_half_up(base, 4).alias("positive_rate"),
+        round_half_up(top, 3).alias("top_decile_cvr"),
+        round_half_up(F.when(base > 0, top / base).otherwise(1.0), 2).alias("top_decile_lift"),
     ]
 
 
@@ -67,8 +68,8 @@ def precision_recall_at_top(
         selected = F.lit(False)
     hits = F.sum(F.when(selected, F.col(label)).otherwise(0))
     return df.agg(
-        F.round(hits / F.count_if(selected), 3).alias(f"precision_at_top_{percent}pct"),
-        F.round(F.when(F.sum(label) > 0, hits / F.sum(label)).otherwise(0.0), 3).alias(
+        round_half_up(hits / F.count_if(selected), 3).alias(f"precision_at_top_{percent}pct"),
+        round_half_up(F.when(F.sum(label) > 0, hits / F.sum(label)).otherwise(0.0), 3).alias(
             f"recall_at_top_{percent}pct"
         ),
     )

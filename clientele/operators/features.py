@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import round_half_up
 from clientele.operators.rfm import CUSTOMER
 
 # Fixed value: days without an order at which the churn risk reaches 1.
@@ -13,7 +14,7 @@ CHURN_DAYS = 180.0
 
 def churn_risk(recency_days: Column) -> Column:
     share = recency_days / F.lit(CHURN_DAYS)
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), 3)
+    return round_half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), 3)
 
 
 def consolidate(rfm: DataFrame, cltv: DataFrame, leads: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import days_after, days_before, exact_sum, hash_bucket, whole_days
+from clientele.functions.columns import days_after, days_before, exact_sum, hash_bucket, round_half_up, whole_days
 from clientele.operators import evaluation
 from clientele.operators.cltv import assemble, deciles
 from clientele.operators.rfm import CUSTOMER, NEVER
@@ -145,7 +145,7 @@ def label_guard(features: DataFrame) -> DataFrame:
         F.when(enough, "OK").otherwise("DEGENERATE_LABEL").alias("status"),
         positives.alias("positives"),
         negatives.alias("negatives"),
-        F.round(F.coalesce(F.avg("converted_flag"), F.lit(0.0)), 4).alias("positive_rate"),
+        round_half_up(F.coalesce(F.avg("converted_flag"), F.lit(0.0)), 4).alias("positive_rate"),
     )
 
 
@@ -198,7 +198,7 @@ def grade(score: Column) -> Column:
 
 
 def graded_scores(df: DataFrame, score: str) -> DataFrame:
-    rounded = df.withColumn("lead_score", F.round(score, 4))
+    rounded = df.withColumn("lead_score", round_half_up(score, 4))
     return rounded.select(CUSTOMER, "lead_score", grade(F.col("lead_score")).alias("lead_grade"))
 
 

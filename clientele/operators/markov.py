@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import round_half_up
 from clientele.operators.ranking import range_partitions
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.scratch import materialise
@@ -194,8 +195,8 @@ def channel_shares(effects: DataFrame) -> DataFrame:
         effects.withColumn("_share", share)
         .select(
             "channel",
-            F.round("_share", 4).alias("markov_weight"),
-            F.round(F.col("_share") * 100, 2).alias("markov_share_pct"),
+            round_half_up("_share", 4).alias("markov_weight"),
+            round_half_up(F.col("_share") * 100, 2).alias("markov_share_pct"),
         )
         .orderBy(F.desc("markov_weight"), "channel")
     )

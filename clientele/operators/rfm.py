@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import days_after, exact_sum, whole_days
+from clientele.functions.columns import days_after, exact_sum, round_half_up, whole_days
 from clientele.operators.ranking import first_ranks, quantile_buckets
 from clientele.sources.scratch import materialise
 
@@ -56,8 +56,8 @@ def customer_base(
             CUSTOMER,
             F.coalesce("recency_days", F.lit(NEVER)).alias("recency_days"),
             F.coalesce("frequency", F.lit(0)).alias("frequency"),
-            F.round(F.coalesce("monetary", F.lit(0.0)), 2).alias("monetary"),
-            F.round(F.coalesce("gross_margin", F.lit(0.0)), 2).alias("gross_margin"),
+            round_half_up(F.coalesce("monetary", F.lit(0.0)), 2).alias("monetary"),
+            round_half_up(F.coalesce("gross_margin", F.lit(0.0)), 2).alias("gross_margin"),
         )
     )
 
@@ -124,7 +124,7 @@ def segment_overview(features: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("customer_count"),
             *[
-                F.round(exact_sum(F.col(source)) / F.count(source), digits).alias(name)
+                round_half_up(exact_sum(F.col(source)) / F.count(source), digits).alias(name)
                 for name, (source, digits) in present.items()
             ],
         )

@@ -111,9 +111,12 @@ PARTS = {
         from {win_back_consent}
     """,
     "win_back_note": """
-        select evaluated, compliant, evaluated - compliant as suppressed,
-               concat('Audience validation passed. Total evaluated: ', evaluated, '. Compliant: ', compliant,
-                      '. Suppressed (no consent / DNT): ', evaluated - compliant, '.') as governance_note
+        select evaluated >= 10 as is_compliant, evaluated, case when evaluated >= 10 then compliant else 0 end as compliant,
+               case when evaluated >= 10 then evaluated - compliant else 0 end as suppressed,
+               case when evaluated = 0 then 'Audience is empty.'
+                    when evaluated < 10 then concat('Audience size (', evaluated, ') is below minimum k-anonymity privacy threshold (10).')
+                    else concat('Audience validation passed. Total evaluated: ', evaluated, '. Compliant: ', compliant,
+                                '. Suppressed (no consent / DNT): ', evaluated - compliant, '.') end as governance_note
         from {win_back_counts}
     """,
     "win_back_members": """
@@ -162,7 +165,7 @@ SQL = {
         from {feature_table} where frequency >= 3 order by unified_customer_id limit 200
     """,
     "g03_size_floor": """
-        select 'win_back' as audience, true as is_compliant, governance_note from {win_back_note}
+        select 'win_back' as audience, is_compliant, governance_note from {win_back_note}
         union all select 'tiny', false, concat('Audience size (', least(count(*), 5), ') is below minimum k-anonymity privacy threshold (10).')
                   from {feature_table}
         union all select 'hostile', false, 'Audience is empty.'
@@ -172,12 +175,13 @@ SQL = {
         select unified_customer_id from {win_back_consent} where coalesce(do_not_track, true) = false
            and (select count(*) from {win_back}) >= 10
     """,
-    "g05_compliance_summary": "select true as is_compliant, * from {win_back_note}",
+    "g05_compliance_summary": "select * from {win_back_note}",
     "g06_audience_definition": """
         select 'AUD_WINBACK' as audience_id, 'Audience AUD_WINBACK' as name, governance_note as description,
                json_object('rfm_segment', 'At-Risk High Value', 'min_cltv', null, 'min_frequency', 2, 'min_recency_days', null,
                            'max_recency_days', null, 'min_churn_risk', null)::varchar as filter_criteria,
-               'session_1' as created_by, '2026-01-01 00:00:00.000000' as created_at, 'COMPLIANT' as status
+               'session_1' as created_by, '2026-01-01 00:00:00.000000' as created_at,
+               case when is_compliant then 'COMPLIANT' else 'REJECTED' end as status
         from {win_back_note}
     """,
     "g06_audience_membership": """

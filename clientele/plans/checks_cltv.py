@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import round_half_up
 from clientele.operators import cltv
 from clientele.plans.inputs import (
     CLTV_WINDOW_DAYS,
@@ -28,7 +29,7 @@ def _model_metrics(v):
 def _model_scores(v):
     split = materialise(cltv.train_test(cltv_features(v)), "cltv")
     scored = cltv.predict(cltv.train(split, ITERATIONS), split)
-    return scored.select("unified_customer_id", F.round("raw_cltv", 2).alias("predicted_cltv"))
+    return scored.select("unified_customer_id", round_half_up("raw_cltv", 2).alias("predicted_cltv"))
 
 
 QUERIES = {
@@ -145,6 +146,7 @@ SQL = {
                as top_decile_actual_revenue_share_pct from {cltv_deciles}
     """,
     "c14_mean_by_decile": """
-        select cltv_decile, round(avg(predicted_cltv), 2) as mean_predicted_cltv from {cltv_deciles} group by cltv_decile
+        select cltv_decile, cast(sum(cast(predicted_cltv as decimal(24, 6))) as double) / count(*) as mean_predicted_cltv
+        from {cltv_deciles} group by cltv_decile
     """,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import round_half_up
 from clientele.operators import lookalike
 from clientele.plans.inputs import feature_table, rounded
 from clientele.sources.scratch import materialise
@@ -28,7 +29,7 @@ def _fixed_prospects(v):
 def _similarity(v):
     labelled = materialise(_labelled(v), "seed")
     scored = lookalike.similarity(lookalike.train(labelled, ITERATIONS), labelled)
-    return scored.select("unified_customer_id", "is_seed", F.round("raw_score", 4).alias("similarity_score"))
+    return scored.select("unified_customer_id", "is_seed", round_half_up("raw_score", 4).alias("similarity_score"))
 
 
 def _summary(v):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import round_half_up
 from clientele.operators import cltv, features, leads, rfm
 from clientele.plans.views import Views
 
@@ -29,7 +30,7 @@ def flags_as_text(df: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    doubles = {name: F.round(name, digits) for name, kind in df.dtypes if kind == "double"}
+    doubles = {name: round_half_up(name, digits) for name, kind in df.dtypes if kind == "double"}
     return df.withColumns(doubles) if doubles else df
 
 
@@ -56,13 +57,13 @@ def lead_cutoff(v: Views) -> Column:
 def fixed_cltv(v: Views) -> DataFrame:
     """A value score by formula instead of a model, so that its use can be checked exactly."""
     value = F.col("hist_revenue") + 25.0 * F.col("total_events")
-    return cltv_features(v).withColumn("predicted_cltv", F.round(value, 2))
+    return cltv_features(v).withColumn("predicted_cltv", round_half_up(value, 2))
 
 
 def fixed_lead_scores(v: Views) -> DataFrame:
     """A propensity score by formula, with many ties."""
     recent = F.col("events_last_7d")
-    return lead_features(v).withColumn("score", F.round(recent / (recent + 10.0), 4))
+    return lead_features(v).withColumn("score", round_half_up(recent / (recent + 10.0), 4))
 
 
 def feature_table(v: Views) -> DataFrame:

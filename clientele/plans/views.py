@@ -206,10 +206,9 @@ VIEWS: dict[str, str] = {
                l_returnflag as requested_by, l_shipdate as requested_at
         from {lineitem}
     """,
-    # Members of one activation and what they bought afterwards.
+    # Members of one activation.
     "cdp_experiment_members": """
-        select 'ACT_SPRING' as activation_id, user_id as unified_customer_id, count(*) as touches
-        from {events} group by user_id
+        select 'ACT_SPRING' as activation_id, c_custkey as unified_customer_id from {customer}
     """,
 }
 

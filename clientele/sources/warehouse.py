@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,14 @@ class Warehouse:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(struct(TABLES[name])).parquet(self.path(name))
 
+    def ensure_tables(self) -> None:
+        """Create the tables that do not exist yet, empty."""
+        for name, ddl in TABLES.items():
+            try:
+                self.spark.read.parquet(self.path(name))
+            except AnalysisException:
+                self.spark.createDataFrame([], struct(ddl)).write.parquet(self.path(name))
+
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Full refresh.  The new content is staged first, so it may come from the old one."""
         staged = materialise(conform(df, TABLES[name]), name)
