@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 MICROS_PER_DAY = 86_400_000_000
 
 
+def minor_units(column: Column, scale: int = 2) -> Column:
+    """The amount as a whole number of its smallest unit (cents for scale 2)."""
+    return F.floor(column.cast("double") * F.lit(float(10**scale)) + F.lit(0.5))
+
+
 def exact_sum(column: Column, scale: int = 2) -> Column:
-    """Sum through decimals, so the total does not depend on the row order."""
-    return F.sum(column.cast(f"decimal(24,{scale})")).cast("double")
+    """Sum in whole minor units, so the total does not depend on the row order.
+
+    Long sums stay in the fast hash aggregate, which wide decimals would not.
+    """
+    return F.sum(minor_units(column, scale)) / F.lit(float(10**scale))
 
 
 def round_half_up(column: Column | str, digits: int) -> Column:

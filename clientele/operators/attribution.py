@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import MICROS_PER_DAY, exact_sum, round_half_up
+from clientele.functions.columns import MICROS_PER_DAY, exact_sum, minor_units, round_half_up
 from clientele.operators.rfm import CUSTOMER
 
 # Half-lives per time block: sums inside a block span at most this many powers of two.
@@ -63,7 +63,7 @@ def _blocks(touches: DataFrame, half_life_days: float) -> DataFrame:
             F.max(order).alias("_last"),
             F.max("_stamp").alias("_latest"),
             F.max(converted.cast("int")).alias("_converted"),
-            exact_sum(F.when(converted, F.col("attributed_revenue"))).alias("_revenue"),
+            F.sum(minor_units(F.when(converted, F.col("attributed_revenue")))).alias("_cents"),
         )
     )
 
@@ -86,7 +86,7 @@ def journey_credit(touches: DataFrame, half_life_days: float = 7.0) -> DataFrame
                 "_journey_first": F.min("_first").over(journey),
                 "_journey_last": F.max("_last").over(journey),
                 "_journey_touches": F.sum("_touches").over(journey),
-                "_journey_revenue": F.sum(F.col("_revenue").cast("decimal(24,2)")).over(journey),
+                "_journey_cents": F.sum("_cents").over(journey),
             }
         )
         .where(F.col("_journey_converted") == 1)
@@ -98,7 +98,7 @@ def journey_credit(touches: DataFrame, half_life_days: float = 7.0) -> DataFrame
         F.sum((F.col("_last") == F.col("_journey_last")).cast("double")).alias("last_touch"),
         (F.sum("_touches") / F.max("_journey_touches")).alias("linear"),
         (F.sum("_weight") / F.max("_journey_weight")).alias("time_decay"),
-        F.max("_journey_revenue").cast("double").alias("revenue"),
+        (F.max("_journey_cents") / 100.0).alias("revenue"),
     )
 
 

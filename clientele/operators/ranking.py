@@ -121,17 +121,20 @@ def after(key: Column, tie: Column, edge_key, edge_tie) -> Column:
     return (key > F.lit(edge_key)) | ((key == F.lit(edge_key)) & (tie > F.lit(edge_tie)))
 
 
-def first_rows(df: DataFrame, id_col: str, count: int) -> DataFrame:
-    """The first ``count`` rows by a unique id.
+def first_rows(df: DataFrame, id_col: str, count: int, key: Column | None = None) -> DataFrame:
+    """The first ``count`` rows by an ascending key, if given, and a unique id.
 
     A short list is a plain top-k.  A long one would pass through one task, so there only
-    the id at the edge is looked up and the rows are filtered in place.
+    the row at the edge is looked up and the others are compared with it in place.
     """
     if count <= TOP_K_ROWS:
-        return df.orderBy(id_col).limit(count)
-    ids = df.select(id_col)
-    edge = rows_at_ranks(ids, [id_col], lambda total: [count] if total > count else [])
-    return df.where(F.col(id_col) <= F.lit(edge[count][id_col])) if edge else df
+        return df.orderBy(*([] if key is None else [key]), id_col).limit(count)
+    key = F.lit(0) if key is None else key
+    ordered = df.select(key.alias("_key"), F.col(id_col).alias("_id"))
+    edges = rows_at_ranks(ordered, ["_key", "_id"], lambda total: [count] if total > count else [])
+    if not edges:
+        return df
+    return df.where(~after(key, F.col(id_col), edges[count]["_key"], edges[count]["_id"]))
 
 
 def _tagged_keys(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:

@@ -50,7 +50,7 @@ QUERIES = {
     "c05_future_revenue": lambda v: cltv.future_revenue(v["cdp_transactions"], CLTV_WINDOW_DAYS),
     "c06_features": cltv_features,
     "c07_is_subscriber": lambda v: cltv_features(v).select("unified_customer_id", "is_subscriber"),
-    "c08_train_test_split": lambda v: cltv.train_test(v["cdp_profiles"]).select(
+    "c08_train_test_split": lambda v: cltv.train_test(v["cdp_customers"]).select(
         "unified_customer_id", "is_train"
     ),
     "c09_boosted_regression": _model_metrics,
@@ -96,7 +96,7 @@ PARTS = {
                coalesce(total_events, 0) as total_events, coalesce(pricing_views, 0) as pricing_views,
                coalesce(cart_adds, 0) as cart_adds, case when subscription_status = 'active' then 1 else 0 end as is_subscriber,
                coalesce(future_revenue, 0.0) as future_revenue
-        from {cdp_profiles} left join {cltv_history} using (unified_customer_id)
+        from {cdp_customers} left join {cltv_history} using (unified_customer_id)
              left join {cltv_engagement} using (unified_customer_id) left join {cltv_target} using (unified_customer_id)
     """,
     "cltv_fixed": """
@@ -126,12 +126,12 @@ SQL = {
     "c05_future_revenue": "select * from {cltv_target}",
     "c06_features": "select * from {cltv_features}",
     "c07_is_subscriber": """
-        select unified_customer_id, cast(coalesce(subscription_status, '') = 'active' as int) as is_subscriber from {cdp_profiles}
+        select unified_customer_id, cast(coalesce(subscription_status, '') = 'active' as int) as is_subscriber from {cdp_customers}
     """,
     "c08_train_test_split": """
         select unified_customer_id,
                cast(concat('0x', substr(md5(cast(unified_customer_id as varchar)), 1, 7)) as bigint) % 100 < 75 as is_train
-        from {cdp_profiles}
+        from {cdp_customers}
     """,
     "c11_score_deciles": "select unified_customer_id, predicted_cltv, cltv_decile from {cltv_deciles}",
     "c12_regression_metrics": """

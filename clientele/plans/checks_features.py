@@ -14,7 +14,7 @@ ITERATIONS = 5
 def _refresh(v):
     table, _ = refresh_features(
         v["cdp_transactions"],
-        v["cdp_profiles"],
+        v["cdp_customers"],
         v["cdp_early_events"],
         label_days=LABEL_DAYS,
         cltv_iterations=ITERATIONS,

@@ -13,12 +13,12 @@ LOOSE_THRESHOLD = 0.70
 
 
 def resolved(v, threshold=THRESHOLD):
-    return identity.resolve(v["cdp_identities"], threshold, v["cdp_entities"])
+    return identity.resolve(v["cdp_identities"], threshold, v["cdp_entity_ids"])
 
 
 def _clusters(v, threshold):
     edges = materialise(identity.link_edges(v["cdp_identities"], threshold), "identity")
-    return identity.entity_clusters(edges, v["cdp_entities"])
+    return identity.entity_clusters(edges, v["cdp_entity_ids"])
 
 
 def _golden(v):

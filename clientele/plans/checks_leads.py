@@ -126,7 +126,7 @@ PARTS = {
                coalesce(hist_orders, 0) as hist_orders, coalesce(hist_revenue, 0.0) as hist_revenue,
                cast(coalesce(date_sub('day', hist_last_order, (select cutoff from {lead_cutoff})), 999) as int) as hist_recency_days,
                cast(p.unified_customer_id in (select unified_customer_id from {lead_buyers}) as int) as converted_flag
-        from {cdp_profiles} p left join {lead_behaviour} using (unified_customer_id)
+        from {cdp_customers} p left join {lead_behaviour} using (unified_customer_id)
              left join {lead_momentum} using (unified_customer_id) left join {lead_orders} using (unified_customer_id)
     """,
     "lead_fixed": """

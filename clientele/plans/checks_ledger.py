@@ -45,7 +45,7 @@ QUERIES = {
     "n07_audit_log": lambda v: plain(_audit(v)),
     "n08_audit_rollup": lambda v: ledger.audit_rollup(_audit(v)),
     "n09_frequency_cap": lambda v: ledger.within_cap(
-        v["cdp_profiles"].select("unified_customer_id"), v["cdp_events"], AS_OF, WEEKLY_CAP
+        v["cdp_customers"].select("unified_customer_id"), v["cdp_events"], AS_OF, WEEKLY_CAP
     ),
 }
 
@@ -119,7 +119,7 @@ SQL = {
         from {decided} group by 1
     """,
     "n09_frequency_cap": """
-        select unified_customer_id from {cdp_profiles} where unified_customer_id not in (
+        select unified_customer_id from {cdp_customers} where unified_customer_id not in (
             select unified_customer_id from {cdp_events}
             where event_timestamp > timestamp '2024-01-18' and event_timestamp <= timestamp '2024-01-25'
             group by unified_customer_id having count(*) >= 16)

@@ -7,7 +7,7 @@ from clientele.plans.inputs import feature_table, plain, rfm_table, rounded
 
 
 def _base(v):
-    return rfm.customer_base(v["cdp_transactions"], v["cdp_profiles"])
+    return rfm.customer_base(v["cdp_transactions"], v["cdp_customers"])
 
 
 QUERIES = {
@@ -41,7 +41,7 @@ PARTS = {
     "rfm_base": """
         select unified_customer_id, coalesce(recency_days, 999) as recency_days, coalesce(frequency, 0) as frequency,
                round(coalesce(monetary, 0.0), 2) as monetary, round(coalesce(gross_margin, 0.0), 2) as gross_margin
-        from (select distinct unified_customer_id from {cdp_profiles}) left join {rfm_history} using (unified_customer_id)
+        from (select distinct unified_customer_id from {cdp_customers}) left join {rfm_history} using (unified_customer_id)
     """,
     "rfm_ranks": """
         select *, row_number() over (order by recency_days desc, unified_customer_id) as r_rank,

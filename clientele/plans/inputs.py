@@ -35,18 +35,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def rfm_table(v: Views) -> DataFrame:
-    return rfm.rfm_features(v["cdp_transactions"], v["cdp_profiles"])
+    return rfm.rfm_features(v["cdp_transactions"], v["cdp_customers"])
 
 
 def cltv_features(v: Views) -> DataFrame:
     return cltv.extract_features(
-        v["cdp_transactions"], v["cdp_profiles"], v["cdp_early_events"], CLTV_WINDOW_DAYS
+        v["cdp_transactions"], v["cdp_customers"], v["cdp_early_events"], CLTV_WINDOW_DAYS
     )
 
 
 def lead_features(v: Views) -> DataFrame:
     return leads.extract_features(
-        v["cdp_profiles"], v["cdp_events"], v["cdp_purchases"], LABEL_DAYS
+        v["cdp_customers"], v["cdp_events"], v["cdp_purchases"], LABEL_DAYS
     )
 
 

@@ -66,6 +66,17 @@ VIEWS: dict[str, str] = {
         select 'partner_file', 'email', s_name,
                concat('PRO_', lpad(cast(s_suppkey as string), 7, '0')), cast('NaN' as double) from {supplier}
     """,
+    # Ids of all entities, and the profile columns that the analytics read, without the joins.
+    "cdp_entity_ids": """
+        select concat('ENT_', lpad(cast(c_custkey as string), 7, '0')) as entity_id from {customer}
+        union all select concat('PRO_', lpad(cast(s_suppkey as string), 7, '0')) from {supplier}
+    """,
+    "cdp_customers": """
+        select c_custkey as unified_customer_id,
+               case when c_custkey % 20 < 8 then 'active' when c_custkey % 20 < 11 then 'churned' else 'none' end as subscription_status
+        from {customer}
+        union all select -1 - s_suppkey, 'none' from {supplier}
+    """,
     "cdp_profiles": """
         select customer_key as unified_customer_id, email as primary_email, phone as primary_phone,
                first_name, last_name, city, country, subscription_status, created_at

@@ -51,10 +51,16 @@ class Warehouse:
             except AnalysisException:
                 self.spark.createDataFrame([], struct(ddl)).write.parquet(self.path(name))
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Full refresh.  The new content is staged first, so it may come from the old one."""
-        staged = materialise(conform(df, TABLES[name]), name)
-        staged.write.mode("overwrite").parquet(self.path(name))
+    def replace(self, name: str, df: DataFrame, staged: bool = True) -> DataFrame:
+        """Full refresh.  The new content is written to scratch first and copied from there.
+
+        So it may come from the table itself, and a failing computation leaves the table as
+        it was.  Loads of large tables from elsewhere may write once, with ``staged=False``.
+        """
+        rows = conform(df, TABLES[name])
+        if staged:
+            rows = materialise(rows, name)
+        rows.write.mode("overwrite").parquet(self.path(name))
         return self.read(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
@@ -107,5 +113,5 @@ def load_feeds(
     warehouse.replace("customer_profile", profile_rows(feeds["entities"], mapping, now))
     warehouse.replace("identity_map", identity.identity_map(resolved).withColumn("created_at", stamp))
     for table, feed in FACTS.items():
-        warehouse.replace(table, fact_rows(feeds[feed], mapping, table))
+        warehouse.replace(table, fact_rows(feeds[feed], mapping, table), staged=False)
     warehouse.replace("consent_preference", consent_rows(feeds["consents"], mapping))
