@@ -15,7 +15,7 @@ KEY = "unified_customer_id"
 
 
 def _touches(v):
-    return v["cdp_touchpoints"]
+    return v["view_touchpoints"]
 
 
 def _credit(v):
@@ -86,7 +86,7 @@ PARTS = {
                max(conversion_flag) over (partition by unified_customer_id) as converted,
                sum(cast(case when conversion_flag = 1 then attributed_revenue else 0 end as decimal(24, 2)))
                    over (partition by unified_customer_id) as total
-        from {cdp_touchpoints} t
+        from {view_touchpoints} t
     """,
     "weighted": """
         select *, power(2.0, -date_diff('microsecond', event_timestamp, last_time) / 86400000000.0 / 7.0) as w7,
@@ -125,7 +125,7 @@ PARTS = {
     """,
     "mass0": """
         select removed, 'Start' as state, cast(1.0 as double) as mass
-        from (select '' as removed union all select distinct concat('channel:', channel) from {cdp_touchpoints})
+        from (select '' as removed union all select distinct concat('channel:', channel) from {view_touchpoints})
     """,
     **{f"mass{i}": _step(f"mass{i - 1}") for i in range(1, 6)},
     "markov_reached": """
@@ -150,12 +150,12 @@ PARTS = {
 
 SQL = {
     "a01_touch_window": """
-        select touchpoint_id, unified_customer_id, channel, conversion_flag from {cdp_touchpoints}
+        select touchpoint_id, unified_customer_id, channel, conversion_flag from {view_touchpoints}
         where event_timestamp >= timestamp '2024-01-08' and event_timestamp <= timestamp '2024-01-20'
     """,
     "a02_converting_journeys": """
-        select touchpoint_id, unified_customer_id from {cdp_touchpoints}
-        where unified_customer_id in (select unified_customer_id from {cdp_touchpoints} where conversion_flag = 1)
+        select touchpoint_id, unified_customer_id from {view_touchpoints}
+        where unified_customer_id in (select unified_customer_id from {view_touchpoints} where conversion_flag = 1)
     """,
     "a03_first_touch": """
         select unified_customer_id, channel, cast(ft as double) as first_touch, revenue from {touch_credit} where ft > 0
@@ -192,7 +192,7 @@ SQL = {
         select total_converted_revenue, last_touch_attributed_revenue,
                abs(total_converted_revenue - last_touch_attributed_revenue) < 1.0 as match
         from (select round(cast(sum(cast(attributed_revenue as decimal(24, 2))) as double), 2) as total_converted_revenue
-              from {cdp_touchpoints} where conversion_flag = 1),
+              from {view_touchpoints} where conversion_flag = 1),
              (select round(sum(last_touch_revenue), 2) as last_touch_attributed_revenue from {rule_based})
     """,
     "a16_conversions_by_model": """

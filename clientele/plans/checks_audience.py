@@ -29,7 +29,7 @@ def _verdicts(v):
     rows = None
     for name, (criteria, limit) in cases.items():
         chosen = audience.select_audience(features, criteria, limit)
-        row = audience.compliance_summary(chosen, v["cdp_consent"]).withColumn("audience", F.lit(name))
+        row = audience.compliance_summary(chosen, v["view_consent"]).withColumn("audience", F.lit(name))
         rows = row if rows is None else rows.unionByName(row)
     return rows.select("audience", "is_compliant", "governance_note")
 
@@ -39,11 +39,11 @@ def _win_back(v):
 
 
 def _summary(v):
-    return audience.compliance_summary(_win_back(v), v["cdp_consent"])
+    return audience.compliance_summary(_win_back(v), v["view_consent"])
 
 
 def _members(v):
-    return audience.compliant_members(materialise(_win_back(v), "audience"), v["cdp_consent"])
+    return audience.compliant_members(materialise(_win_back(v), "audience"), v["view_consent"])
 
 
 def _texts(v):
@@ -85,7 +85,7 @@ QUERIES = {
     "g03_size_floor": _verdicts,
     "g04_consent_gate": _members,
     "g04_consent_gate_without_opt_in": lambda v: audience.compliant_members(
-        materialise(_win_back(v), "audience"), v["cdp_consent"], require_opt_in=False
+        materialise(_win_back(v), "audience"), v["view_consent"], require_opt_in=False
     ),
     "g05_compliance_summary": _summary,
     "g06_audience_definition": lambda v: plain(
@@ -95,8 +95,8 @@ QUERIES = {
         audience.audience_membership(_members(v), "AUD_WINBACK", NOW)
     ),
     "g07_mask_text": _masked_texts,
-    "g08_mask_profile": lambda v: plain(privacy.mask_profile(v["cdp_profiles"])),
-    "g09_consent_summary": lambda v: audience.consent_summary(v["cdp_consent"]),
+    "g08_mask_profile": lambda v: plain(privacy.mask_profile(v["view_profiles"])),
+    "g09_consent_summary": lambda v: audience.consent_summary(v["view_consent"]),
     "g10_policy_phrases": _flagged,
 }
 
@@ -104,7 +104,7 @@ PARTS = {
     "win_back": """
         select * from {feature_table} where rfm_segment = 'At-Risk High Value' and frequency >= 2 order by unified_customer_id limit 5000
     """,
-    "win_back_consent": "select * from {win_back} left join {cdp_consent} using (unified_customer_id)",
+    "win_back_consent": "select * from {win_back} left join {view_consent} using (unified_customer_id)",
     "win_back_counts": """
         select count(*) as evaluated,
                count(*) filter (coalesce(do_not_track, true) = false and coalesce(marketing_opt_in, false) = true) as compliant
@@ -194,7 +194,7 @@ SQL = {
     "g09_consent_summary": """
         select count(*) filter (marketing_opt_in) as marketing_opted_in, count(*) filter (not marketing_opt_in) as marketing_opted_out,
                count(*) filter (do_not_track) as do_not_track_active
-        from {cdp_consent}
+        from {view_consent}
     """,
     "g10_policy_phrases": """
         select origin, text_id, phrase is not null as blocked, phrase

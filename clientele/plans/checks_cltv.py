@@ -35,22 +35,22 @@ def _model_scores(v):
 QUERIES = {
     "c01_cutoff": lambda v: plain(
         v.spark.range(1).select(
-            cltv.cutoff_date(v["cdp_transactions"], CLTV_WINDOW_DAYS).alias("cutoff")
+            cltv.cutoff_date(v["view_transactions"], CLTV_WINDOW_DAYS).alias("cutoff")
         )
     ),
     "c02_split_periods": lambda v: cltv.split_periods(
-        v["cdp_transactions"], CLTV_WINDOW_DAYS
+        v["view_transactions"], CLTV_WINDOW_DAYS
     ).select("order_id", "unified_customer_id", "period"),
     "c03_history_features": lambda v: plain(
-        cltv.history_features(v["cdp_transactions"], CLTV_WINDOW_DAYS)
+        cltv.history_features(v["view_transactions"], CLTV_WINDOW_DAYS)
     ),
     "c04_engagement_features": lambda v: cltv.engagement_features(
-        v["cdp_early_events"], v["cdp_transactions"], CLTV_WINDOW_DAYS
+        v["view_early_events"], v["view_transactions"], CLTV_WINDOW_DAYS
     ),
-    "c05_future_revenue": lambda v: cltv.future_revenue(v["cdp_transactions"], CLTV_WINDOW_DAYS),
+    "c05_future_revenue": lambda v: cltv.future_revenue(v["view_transactions"], CLTV_WINDOW_DAYS),
     "c06_features": cltv_features,
     "c07_is_subscriber": lambda v: cltv_features(v).select("unified_customer_id", "is_subscriber"),
-    "c08_train_test_split": lambda v: cltv.train_test(v["cdp_customers"]).select(
+    "c08_train_test_split": lambda v: cltv.train_test(v["view_customers"]).select(
         "unified_customer_id", "is_train"
     ),
     "c09_boosted_regression": _model_metrics,
@@ -68,7 +68,7 @@ QUERIES = {
 }
 
 PARTS = {
-    "cltv_cutoff": "select max(order_timestamp) - interval 180 day as cutoff from {cdp_transactions}",
+    "cltv_cutoff": "select max(order_timestamp) - interval 180 day as cutoff from {view_transactions}",
     "cltv_history": """
         select unified_customer_id, cast(count(distinct order_id) as int) as hist_orders,
                cast(sum(cast(revenue as decimal(24, 2))) as double) as hist_revenue,
@@ -77,17 +77,17 @@ PARTS = {
                max(order_timestamp) as last_order_date, min(order_timestamp) as first_order_date,
                cast(date_sub('day', max(order_timestamp), (select cutoff from {cltv_cutoff})) as int) as hist_recency_days,
                cast(date_sub('day', min(order_timestamp), (select cutoff from {cltv_cutoff})) as int) as customer_tenure_days
-        from {cdp_transactions} where order_timestamp <= (select cutoff from {cltv_cutoff}) group by unified_customer_id
+        from {view_transactions} where order_timestamp <= (select cutoff from {cltv_cutoff}) group by unified_customer_id
     """,
     "cltv_engagement": """
         select unified_customer_id, cast(count(*) as int) as total_events,
                cast(count(*) filter (event_type = 'pricing_view') as int) as pricing_views,
                cast(count(*) filter (event_type = 'add_to_cart') as int) as cart_adds
-        from {cdp_early_events} where event_timestamp <= (select cutoff from {cltv_cutoff}) group by unified_customer_id
+        from {view_early_events} where event_timestamp <= (select cutoff from {cltv_cutoff}) group by unified_customer_id
     """,
     "cltv_target": """
         select unified_customer_id, cast(sum(cast(revenue as decimal(24, 2))) as double) as future_revenue
-        from {cdp_transactions} where order_timestamp > (select cutoff from {cltv_cutoff}) group by unified_customer_id
+        from {view_transactions} where order_timestamp > (select cutoff from {cltv_cutoff}) group by unified_customer_id
     """,
     "cltv_features": """
         select unified_customer_id, coalesce(hist_orders, 0) as hist_orders, coalesce(hist_revenue, 0.0) as hist_revenue,
@@ -96,7 +96,7 @@ PARTS = {
                coalesce(total_events, 0) as total_events, coalesce(pricing_views, 0) as pricing_views,
                coalesce(cart_adds, 0) as cart_adds, case when subscription_status = 'active' then 1 else 0 end as is_subscriber,
                coalesce(future_revenue, 0.0) as future_revenue
-        from {cdp_customers} left join {cltv_history} using (unified_customer_id)
+        from {view_customers} left join {cltv_history} using (unified_customer_id)
              left join {cltv_engagement} using (unified_customer_id) left join {cltv_target} using (unified_customer_id)
     """,
     "cltv_fixed": """
@@ -114,7 +114,7 @@ SQL = {
     "c02_split_periods": """
         select order_id, unified_customer_id,
                case when order_timestamp <= (select cutoff from {cltv_cutoff}) then 'observation' else 'performance' end as period
-        from {cdp_transactions}
+        from {view_transactions}
     """,
     "c03_history_features": """
         select unified_customer_id, hist_orders, hist_revenue, hist_margin, avg_order_value,
@@ -126,12 +126,12 @@ SQL = {
     "c05_future_revenue": "select * from {cltv_target}",
     "c06_features": "select * from {cltv_features}",
     "c07_is_subscriber": """
-        select unified_customer_id, cast(coalesce(subscription_status, '') = 'active' as int) as is_subscriber from {cdp_customers}
+        select unified_customer_id, cast(coalesce(subscription_status, '') = 'active' as int) as is_subscriber from {view_customers}
     """,
     "c08_train_test_split": """
         select unified_customer_id,
                cast(concat('0x', substr(md5(cast(unified_customer_id as varchar)), 1, 7)) as bigint) % 100 < 75 as is_train
-        from {cdp_customers}
+        from {view_customers}
     """,
     "c11_score_deciles": "select unified_customer_id, predicted_cltv, cltv_decile from {cltv_deciles}",
     "c12_regression_metrics": """

@@ -13,11 +13,11 @@ NOW = datetime(2026, 1, 1)
 
 
 def _arms(v):
-    return experiment.assign_arms(v["cdp_experiment_members"], ACTIVATION, 0.1)
+    return experiment.assign_arms(v["view_experiment_members"], ACTIVATION, 0.1)
 
 
 def _outcomes(v):
-    return experiment.arm_outcomes(_arms(v), v["cdp_purchases"], ACTIVATED_AT)
+    return experiment.arm_outcomes(_arms(v), v["view_purchases"], ACTIVATED_AT)
 
 
 def _lift(v):
@@ -38,11 +38,11 @@ PARTS = {
         select unified_customer_id, case when rk <= greatest(1, n // 10) then 'control' else 'treatment' end as arm
         from (select unified_customer_id, count(*) over () as n,
                      row_number() over (order by md5(concat('ACT_SPRING:', unified_customer_id)), unified_customer_id) as rk
-              from {cdp_experiment_members})
+              from {view_experiment_members})
     """,
     "outcomes": """
         select arm, count(*) as members, count(*) filter (bought) as conversions, round(avg(cast(bought as int)), 4) as conversion_rate
-        from (select arm, unified_customer_id in (select unified_customer_id from {cdp_purchases}
+        from (select arm, unified_customer_id in (select unified_customer_id from {view_purchases}
                                                   where order_timestamp > timestamp '2024-01-28') as bought from {arms})
         group by arm
     """,

@@ -13,9 +13,9 @@ ITERATIONS = 5
 
 def _refresh(v):
     table, _ = refresh_features(
-        v["cdp_transactions"],
-        v["cdp_customers"],
-        v["cdp_early_events"],
+        v["view_transactions"],
+        v["view_customers"],
+        v["view_early_events"],
         label_days=LABEL_DAYS,
         cltv_iterations=ITERATIONS,
         lead_iterations=ITERATIONS,

@@ -13,21 +13,21 @@ LOOSE_THRESHOLD = 0.70
 
 
 def resolved(v, threshold=THRESHOLD):
-    return identity.resolve(v["cdp_identities"], threshold, v["cdp_entity_ids"])
+    return identity.resolve(v["view_identities"], threshold, v["view_entity_ids"])
 
 
 def _clusters(v, threshold):
-    edges = materialise(identity.link_edges(v["cdp_identities"], threshold), "identity")
-    return identity.entity_clusters(edges, v["cdp_entity_ids"])
+    edges = materialise(identity.link_edges(v["view_identities"], threshold), "identity")
+    return identity.entity_clusters(edges, v["view_entity_ids"])
 
 
 def _golden(v):
     mapping = identity.entity_map(resolved(v))
-    return plain(identity.golden_records(v["cdp_entities"], mapping))
+    return plain(identity.golden_records(v["view_entities"], mapping))
 
 
 def _customer_360(v):
-    view = identity.customer_360(v["cdp_profiles"], feature_table(v), v["cdp_consent"])
+    view = identity.customer_360(v["view_profiles"], feature_table(v), v["view_consent"])
     return flags_as_text(plain(view))
 
 
@@ -36,13 +36,13 @@ def _lookups(v):
 
 
 QUERIES = {
-    "i01_normalised_identifiers": lambda v: identity.normalised(v["cdp_identities"]).select(
+    "i01_normalised_identifiers": lambda v: identity.normalised(v["view_identities"]).select(
         "source_system", "node", "canonical_entity_id"
     ),
-    "i02_confident_links": lambda v: identity.confident(v["cdp_identities"], THRESHOLD).select(
+    "i02_confident_links": lambda v: identity.confident(v["view_identities"], THRESHOLD).select(
         "source_system", "identifier_type", "identifier_value", "canonical_entity_id", "confidence_score"
     ),
-    "i03_identity_edges": lambda v: identity.link_edges(v["cdp_identities"], THRESHOLD).select(
+    "i03_identity_edges": lambda v: identity.link_edges(v["view_identities"], THRESHOLD).select(
         "node", "entity_id"
     ),
     "i04_connected_components": lambda v: _clusters(v, THRESHOLD).select("entity_id", "root_id"),
@@ -57,14 +57,14 @@ QUERIES = {
     "i08_resolution_summary": lambda v: identity.resolution_summary(resolved(v)),
     "i09_customer_360": _customer_360,
     "i09_customer_lookup": lambda v: identity.lookup_customers(
-        _lookups(v), v["cdp_profiles"].select("unified_customer_id", "city", "country")
+        _lookups(v), v["view_profiles"].select("unified_customer_id", "city", "country")
     ),
-    "i10_customer_explorer": lambda v: identity.explorer(v["cdp_profiles"], feature_table(v)),
+    "i10_customer_explorer": lambda v: identity.explorer(v["view_profiles"], feature_table(v)),
     "i11_linked_identifiers": lambda v: identity.linked_identifiers(
         identity.identity_map(resolved(v))
     ),
     "i12_transaction_history": lambda v: plain(
-        identity.transaction_history(v["cdp_transactions"])
+        identity.transaction_history(v["view_transactions"])
     ),
 }
 
@@ -72,7 +72,7 @@ PARTS = {
     "id_links": """
         select source_system, identifier_type, lower(trim(identifier_value)) as identifier_value,
                concat(identifier_type, ':', lower(trim(identifier_value))) as node, canonical_entity_id, confidence_score
-        from {cdp_identities} where trim(identifier_value) <> ''
+        from {view_identities} where trim(identifier_value) <> ''
     """,
     "id_edges": """
         select distinct node, canonical_entity_id as entity_id, identifier_type, identifier_value
@@ -89,11 +89,11 @@ PARTS = {
         select distinct a.entity_id as x, b.entity_id as y from {id_edges_loose} a join {id_edges_loose} b on a.node = b.node
     """,
     "id_reach": """
-        select entity_id as x, entity_id as y from {cdp_entities}
+        select entity_id as x, entity_id as y from {view_entities}
         union select r.x, n.y from id_reach r join {id_neighbours} n on r.y = n.x
     """,
     "id_reach_loose": """
-        select entity_id as x, entity_id as y from {cdp_entities}
+        select entity_id as x, entity_id as y from {view_entities}
         union select r.x, n.y from id_reach_loose r join {id_neighbours_loose} n on r.y = n.x
     """,
     "id_roots": "select x as entity_id, min(y) as root_id from {id_reach} group by x",
@@ -118,7 +118,7 @@ PARTS = {
                arg_min(country, (created_at, entity_id)) filter (country is not null) as country,
                arg_min(subscription_status, (created_at, entity_id)) filter (subscription_status is not null) as subscription_status,
                min(created_at) as created_at
-        from {cdp_entities} join {id_unified} using (entity_id) group by unified_customer_id
+        from {view_entities} join {id_unified} using (entity_id) group by unified_customer_id
     """,
     "masked_profiles": """
         select unified_customer_id,
@@ -128,7 +128,7 @@ PARTS = {
                case when first_name is null then '' else concat(left(first_name, 1), '***') end as first_name,
                case when last_name is null then '' else concat(left(last_name, 1), '***') end as last_name,
                city, country, subscription_status, created_at
-        from {cdp_profiles}
+        from {view_profiles}
     """,
     "id_map": """
         select concat('IDM_', lpad(cast(row_number() over (order by unified_customer_id, node_type, identifier_type, identifier_value) - 1 as varchar), 7, '0')) as id,
@@ -140,7 +140,7 @@ PARTS = {
 SQL = {
     "i01_normalised_identifiers": "select source_system, node, canonical_entity_id from {id_links}",
     "i02_confident_links": """
-        select source_system, identifier_type, identifier_value, canonical_entity_id, confidence_score from {cdp_identities}
+        select source_system, identifier_type, identifier_value, canonical_entity_id, confidence_score from {view_identities}
         where not isnan(confidence_score) and confidence_score >= 0.75
     """,
     "i03_identity_edges": "select node, entity_id from {id_edges}",
@@ -159,12 +159,12 @@ SQL = {
                f.rfm_segment, f.predicted_cltv, f.lead_score, f.churn_risk, cast(c.marketing_opt_in as varchar) as marketing_opt_in,
                cast(c.do_not_track as varchar) as do_not_track
         from {masked_profiles} p left join {feature_table} f using (unified_customer_id)
-             left join {cdp_consent} c using (unified_customer_id)
+             left join {view_consent} c using (unified_customer_id)
     """,
     "i09_customer_lookup": """
         select r.unified_customer_id, city, country, case when p.unified_customer_id is null then 'NOT_FOUND' else 'PII_MASKED' end as status
         from (select distinct o_custkey + 5 as unified_customer_id from {orders}) r
-             left join {cdp_profiles} p on r.unified_customer_id = p.unified_customer_id
+             left join {view_profiles} p on r.unified_customer_id = p.unified_customer_id
     """,
     "i10_customer_explorer": """
         select unified_customer_id, first_name, last_name, primary_email, subscription_status, rfm_segment, predicted_cltv,
@@ -183,6 +183,6 @@ SQL = {
     "i12_transaction_history": """
         select unified_customer_id, order_id, strftime(order_timestamp, '%Y-%m-%d %H:%M:%S.%f') as order_timestamp, revenue,
                gross_margin, channel
-        from {cdp_transactions}
+        from {view_transactions}
     """,
 }

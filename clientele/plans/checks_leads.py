@@ -26,7 +26,7 @@ def _model_scores(v):
 
 def _order_part(*columns):
     def build(v):
-        orders = leads.order_features(v["cdp_purchases"], lead_cutoff(v), LABEL_DAYS)
+        orders = leads.order_features(v["view_purchases"], lead_cutoff(v), LABEL_DAYS)
         return plain(orders.select("unified_customer_id", *columns))
 
     return build
@@ -36,15 +36,15 @@ QUERIES = {
     "l01_cutoff": lambda v: plain(
         v.spark.range(1).select(lead_cutoff(v).alias("cutoff"))
     ),
-    "l02_observed_events": lambda v: leads.observed_events(v["cdp_events"], lead_cutoff(v)).select(
+    "l02_observed_events": lambda v: leads.observed_events(v["view_events"], lead_cutoff(v)).select(
         "event_id", "unified_customer_id"
     ),
     "l03_behaviour_features": lambda v: plain(
-        leads.behaviour_features(v["cdp_events"], lead_cutoff(v)).drop(
+        leads.behaviour_features(v["view_events"], lead_cutoff(v)).drop(
             "events_last_7d", "events_last_30d"
         )
     ),
-    "l04_momentum": lambda v: leads.behaviour_features(v["cdp_events"], lead_cutoff(v)).select(
+    "l04_momentum": lambda v: leads.behaviour_features(v["view_events"], lead_cutoff(v)).select(
         "unified_customer_id", "events_last_7d", "events_last_30d"
     ),
     "l05_order_history": lambda v: _order_part("hist_orders", "hist_revenue", "hist_last_order")(v)
@@ -78,10 +78,10 @@ QUERIES = {
 
 PARTS = {
     "lead_cutoff": """
-        select greatest((select max(event_timestamp) from {cdp_events}), (select max(order_timestamp) from {cdp_purchases}))
+        select greatest((select max(event_timestamp) from {view_events}), (select max(order_timestamp) from {view_purchases}))
                - interval 7 day as cutoff
     """,
-    "lead_events": "select * from {cdp_events} where event_timestamp <= (select cutoff from {lead_cutoff})",
+    "lead_events": "select * from {view_events} where event_timestamp <= (select cutoff from {lead_cutoff})",
     "lead_behaviour": """
         select unified_customer_id, cast(count(distinct session_id) as int) as total_sessions,
                cast(count(*) as int) as total_pageviews,
@@ -108,10 +108,10 @@ PARTS = {
     "lead_orders": """
         select unified_customer_id, cast(count(distinct order_id) as int) as hist_orders,
                cast(sum(cast(revenue as decimal(24, 2))) as double) as hist_revenue, max(order_timestamp) as hist_last_order
-        from {cdp_purchases} where order_timestamp <= (select cutoff from {lead_cutoff}) group by unified_customer_id
+        from {view_purchases} where order_timestamp <= (select cutoff from {lead_cutoff}) group by unified_customer_id
     """,
     "lead_buyers": """
-        select distinct unified_customer_id from {cdp_purchases}
+        select distinct unified_customer_id from {view_purchases}
         where order_timestamp > (select cutoff from {lead_cutoff})
           and order_timestamp <= (select cutoff from {lead_cutoff}) + interval 7 day
     """,
@@ -126,7 +126,7 @@ PARTS = {
                coalesce(hist_orders, 0) as hist_orders, coalesce(hist_revenue, 0.0) as hist_revenue,
                cast(coalesce(date_sub('day', hist_last_order, (select cutoff from {lead_cutoff})), 999) as int) as hist_recency_days,
                cast(p.unified_customer_id in (select unified_customer_id from {lead_buyers}) as int) as converted_flag
-        from {cdp_customers} p left join {lead_behaviour} using (unified_customer_id)
+        from {view_customers} p left join {lead_behaviour} using (unified_customer_id)
              left join {lead_momentum} using (unified_customer_id) left join {lead_orders} using (unified_customer_id)
     """,
     "lead_fixed": """

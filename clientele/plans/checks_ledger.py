@@ -13,11 +13,11 @@ WEEKLY_CAP = 16
 
 
 def _decided(v):
-    return ledger.decide_requests(v["cdp_activation_requests"], v["cdp_approvals"])
+    return ledger.decide_requests(v["view_activation_requests"], v["view_approvals"])
 
 
 def _log(v):
-    return ledger.activations(_decided(v), v["cdp_audiences"])
+    return ledger.activations(_decided(v), v["view_audiences"])
 
 
 def _audit(v):
@@ -26,17 +26,17 @@ def _audit(v):
 
 QUERIES = {
     "n01_approval_upsert": lambda v: plain(
-        ledger.upsert_approvals(v["cdp_approvals"], v["cdp_reissued_approvals"])
+        ledger.upsert_approvals(v["view_approvals"], v["view_reissued_approvals"])
     ),
     "n02_campaign_drafts": lambda v: plain(
-        ledger.draft_campaigns(v["cdp_campaign_requests"], v["cdp_audiences"])
+        ledger.draft_campaigns(v["view_campaign_requests"], v["view_audiences"])
     ),
     "n03_activation_gate": lambda v: ledger.check_requests(
-        v["cdp_activation_requests"], v["cdp_approvals"]
+        v["view_activation_requests"], v["view_approvals"]
     ).select("request_id", "nonce", "gate_reason"),
     "n04_single_use": lambda v: _decided(v).select("request_id", "status", "reason"),
     "n04_consumed_approvals": lambda v: plain(
-        ledger.consume_approvals(v["cdp_approvals"], _decided(v)).select(
+        ledger.consume_approvals(v["view_approvals"], _decided(v)).select(
             "nonce", "consumed_at", "consumed_by"
         )
     ),
@@ -45,7 +45,7 @@ QUERIES = {
     "n07_audit_log": lambda v: plain(_audit(v)),
     "n08_audit_rollup": lambda v: ledger.audit_rollup(_audit(v)),
     "n09_frequency_cap": lambda v: ledger.within_cap(
-        v["cdp_customers"].select("unified_customer_id"), v["cdp_events"], AS_OF, WEEKLY_CAP
+        v["view_customers"].select("unified_customer_id"), v["view_events"], AS_OF, WEEKLY_CAP
     ),
 }
 
@@ -58,7 +58,7 @@ PARTS = {
                     when r.campaign_name is distinct from q.campaign_name then 'SCOPE_CAMPAIGN'
                     when r.audience_id is distinct from q.audience_id then 'SCOPE_AUDIENCE'
                     when r.channel is distinct from q.channel then 'SCOPE_CHANNEL' end as gate_reason
-        from {cdp_activation_requests} q left join {cdp_approvals} r on q.nonce = r.nonce
+        from {view_activation_requests} q left join {view_approvals} r on q.nonce = r.nonce
     """,
     "decided": """
         select *, case when gate_reason is not null then gate_reason when consumed_at is null and turn = 1 then null
@@ -70,7 +70,7 @@ PARTS = {
                channel as target_channel, approved_by, 'APPROVED_AND_ACTIVATED' as approval_status, requested_at as activated_at,
                coalesce(audience_size, 0) as audience_size,
                concat('{{"nonce":"', nonce, '","target_channel":"', channel, '","approved_by":"', approved_by, '"}}') as payload
-        from {decided} left join {cdp_audiences} using (audience_id) where reason is null
+        from {decided} left join {view_audiences} using (audience_id) where reason is null
     """,
 }
 
@@ -79,8 +79,8 @@ SQL = {
         select nonce, campaign_name, audience_id, channel, approved_by, {_STAMP.format("issued_at")}, {_STAMP.format("expires_at")},
                {_STAMP.format("consumed_at")}, consumed_by
         from (select *, row_number() over (partition by nonce order by batch desc, issued_at desc, expires_at desc, approved_by desc) as rn
-              from (select *, 0 as batch from {{cdp_approvals}}
-                    union all by name select *, null::timestamp as consumed_at, null::varchar as consumed_by, 1 as batch from {{cdp_reissued_approvals}}))
+              from (select *, 0 as batch from {{view_approvals}}
+                    union all by name select *, null::timestamp as consumed_at, null::varchar as consumed_by, 1 as batch from {{view_reissued_approvals}}))
         where rn = 1
     """,
     "n02_campaign_drafts": """
@@ -88,7 +88,7 @@ SQL = {
                concat(frequency_cap, ' touches / week') as frequency_cap, coalesce(audience_size, 0) as audience_size,
                'PENDING_HUMAN_APPROVAL' as approval_status,
                strftime(requested_at + interval 60 minute, '%Y-%m-%d %H:%M:%S.%f') as token_expires_at
-        from {cdp_campaign_requests} left join {cdp_audiences} using (audience_id)
+        from {view_campaign_requests} left join {view_audiences} using (audience_id)
     """,
     "n03_activation_gate": "select request_id, nonce, gate_reason from {gated}",
     "n04_single_use": """
@@ -97,7 +97,7 @@ SQL = {
     "n04_consumed_approvals": """
         select nonce, strftime(coalesce(r.consumed_at, d.requested_at), '%Y-%m-%d %H:%M:%S.%f') as consumed_at,
                coalesce(r.consumed_by, d.requested_by) as consumed_by
-        from {cdp_approvals} r left join (select * from {decided} where reason is null) d using (nonce)
+        from {view_approvals} r left join (select * from {decided} where reason is null) d using (nonce)
     """,
     "n05_activation_log": f"select * replace ({_STAMP.format('activated_at')}) from {{activation_log}}",
     "n06_latest_activations": """
@@ -119,8 +119,8 @@ SQL = {
         from {decided} group by 1
     """,
     "n09_frequency_cap": """
-        select unified_customer_id from {cdp_customers} where unified_customer_id not in (
-            select unified_customer_id from {cdp_events}
+        select unified_customer_id from {view_customers} where unified_customer_id not in (
+            select unified_customer_id from {view_events}
             where event_timestamp > timestamp '2024-01-18' and event_timestamp <= timestamp '2024-01-25'
             group by unified_customer_id having count(*) >= 16)
     """,

@@ -23,7 +23,7 @@ def _labelled(v):
 def _fixed_prospects(v):
     """A similarity by formula instead of a model."""
     score = F.col("monetary") / (F.col("monetary") + 1000000.0)
-    return lookalike.prospects(_labelled(v).withColumn("raw_score", score), v["cdp_consent"])
+    return lookalike.prospects(_labelled(v).withColumn("raw_score", score), v["view_consent"])
 
 
 def _similarity(v):
@@ -45,7 +45,7 @@ QUERIES = {
     "k04_numeric_inputs": lambda v: lookalike.filled_inputs(_labelled(v)),
     "k05_seed_classifier": _similarity,
     "k06_lookalike_audience": lambda v: lookalike.generate(
-        materialise(feature_table(v), "features"), v["cdp_consent"], SEED, TOP_K, ITERATIONS
+        materialise(feature_table(v), "features"), v["view_consent"], SEED, TOP_K, ITERATIONS
     )[0],
     "k07_compliant_prospects": lambda v: rounded(
         _fixed_prospects(v).select("unified_customer_id", "raw_score")
@@ -60,7 +60,7 @@ QUERIES = {
 PARTS = {
     "prospects": """
         select unified_customer_id, monetary / (monetary + 1000000.0) as raw_score, predicted_cltv
-        from {feature_table} join {cdp_consent} using (unified_customer_id)
+        from {feature_table} join {view_consent} using (unified_customer_id)
         where rfm_segment <> 'Champions' and marketing_opt_in = true and do_not_track = false
     """,
     "top_prospects": """

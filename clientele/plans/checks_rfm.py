@@ -7,14 +7,14 @@ from clientele.plans.inputs import feature_table, plain, rfm_table, rounded
 
 
 def _base(v):
-    return rfm.customer_base(v["cdp_transactions"], v["cdp_customers"])
+    return rfm.customer_base(v["view_transactions"], v["view_customers"])
 
 
 QUERIES = {
     "r01_reference_date": lambda v: plain(
-        v.spark.range(1).select(rfm.reference_date(v["cdp_transactions"]).alias("reference_date"))
+        v.spark.range(1).select(rfm.reference_date(v["view_transactions"]).alias("reference_date"))
     ),
-    "r02_purchase_history": lambda v: rounded(rfm.purchase_history(v["cdp_transactions"]), 2),
+    "r02_purchase_history": lambda v: rounded(rfm.purchase_history(v["view_transactions"]), 2),
     "r03_customer_base": _base,
     "r04_score_ranks": lambda v: rfm.score_ranks(_base(v)),
     "r05_quintile_scores": lambda v: rfm.quintile_scores(_base(v)).select(
@@ -29,19 +29,19 @@ QUERIES = {
 }
 
 PARTS = {
-    "rfm_reference": "select max(order_timestamp) + interval 1 day as ref from {cdp_transactions}",
+    "rfm_reference": "select max(order_timestamp) + interval 1 day as ref from {view_transactions}",
     "rfm_history": """
         select unified_customer_id,
                cast(date_sub('day', max(order_timestamp), (select ref from {rfm_reference})) as int) as recency_days,
                cast(count(distinct order_id) as int) as frequency,
                cast(sum(cast(revenue as decimal(24, 2))) as double) as monetary,
                cast(sum(cast(gross_margin as decimal(24, 6))) as double) as gross_margin
-        from {cdp_transactions} where unified_customer_id is not null group by unified_customer_id
+        from {view_transactions} where unified_customer_id is not null group by unified_customer_id
     """,
     "rfm_base": """
         select unified_customer_id, coalesce(recency_days, 999) as recency_days, coalesce(frequency, 0) as frequency,
                round(coalesce(monetary, 0.0), 2) as monetary, round(coalesce(gross_margin, 0.0), 2) as gross_margin
-        from (select distinct unified_customer_id from {cdp_customers}) left join {rfm_history} using (unified_customer_id)
+        from (select distinct unified_customer_id from {view_customers}) left join {rfm_history} using (unified_customer_id)
     """,
     "rfm_ranks": """
         select *, row_number() over (order by recency_days desc, unified_customer_id) as r_rank,

@@ -18,8 +18,8 @@ from clientele.sources.scratch import checkpoint_root
 NOW = datetime(2026, 1, 1)
 
 FEED_VIEWS = {
-    "entities": "cdp_entities",
-    "identities": "cdp_identities",
+    "entities": "view_entities",
+    "identities": "view_identities",
     "transactions": "feed_transactions",
     "events": "feed_events",
     "touchpoints": "feed_touchpoints",
@@ -74,7 +74,7 @@ def _stored_features(v):
 
 
 def _adhoc(v):
-    warehouse.register(v["cdp_transactions"], "transaction_fact")
+    warehouse.register(v["view_transactions"], "transaction_fact")
     return rounded(
         warehouse.query(
             v.spark,
@@ -86,7 +86,7 @@ def _adhoc(v):
 
 
 def _bound(v):
-    warehouse.register(v["cdp_transactions"], "transaction_fact")
+    warehouse.register(v["view_transactions"], "transaction_fact")
     return warehouse.query_params(
         v.spark,
         "select order_id, revenue from transaction_fact where channel = :channel and revenue >= :least",
@@ -95,7 +95,7 @@ def _bound(v):
 
 
 def _registered(v):
-    warehouse.register(v["cdp_consent"], "consent_preference")
+    warehouse.register(v["view_consent"], "consent_preference")
     return v.spark.table("consent_preference").select("unified_customer_id", "tracking_consent", "third_party_sharing")
 
 
@@ -103,7 +103,7 @@ QUERIES = {
     "s01_raw_feeds": _raw_feeds,
     "s02_unified_ids_on_feed": _mapped,
     "s03_customer_profile": lambda v: plain(
-        warehouse.profile_rows(v["cdp_entities"], _mapping(v), NOW)
+        warehouse.profile_rows(v["view_entities"], _mapping(v), NOW)
     ),
     "s04_identity_map": _identity_map,
     "s05_transaction_fact": _fact("feed_transactions", "transaction_fact"),
@@ -130,8 +130,8 @@ def _counts(feed: str, view: str, columns: int, entity: str = "entity_id") -> st
 SQL = {
     "s01_raw_feeds": " union all ".join(
         [
-            _counts("entities", "cdp_entities", 12),
-            _counts("identities", "cdp_identities", 6, "canonical_entity_id"),
+            _counts("entities", "view_entities", 12),
+            _counts("identities", "view_identities", 6, "canonical_entity_id"),
             _counts("transactions", "feed_transactions", 8),
             _counts("events", "feed_events", 7),
             _counts("touchpoints", "feed_touchpoints", 8),
@@ -170,10 +170,10 @@ SQL = {
     """,
     "s10_adhoc_sql": """
         select channel, count(*) as orders, round(cast(sum(cast(revenue as decimal(24, 2))) as double), 2) as revenue
-        from {cdp_transactions} group by channel
+        from {view_transactions} group by channel
     """,
     "s11_bound_parameters": """
-        select order_id, revenue from {cdp_transactions} where channel = 'paid_search' and revenue >= 100000
+        select order_id, revenue from {view_transactions} where channel = 'paid_search' and revenue >= 100000
     """,
-    "s12_registered_frame": "select unified_customer_id, tracking_consent, third_party_sharing from {cdp_consent}",
+    "s12_registered_frame": "select unified_customer_id, tracking_consent, third_party_sharing from {view_consent}",
 }

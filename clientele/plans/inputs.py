@@ -35,23 +35,23 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def rfm_table(v: Views) -> DataFrame:
-    return rfm.rfm_features(v["cdp_transactions"], v["cdp_customers"])
+    return rfm.rfm_features(v["view_transactions"], v["view_customers"])
 
 
 def cltv_features(v: Views) -> DataFrame:
     return cltv.extract_features(
-        v["cdp_transactions"], v["cdp_customers"], v["cdp_early_events"], CLTV_WINDOW_DAYS
+        v["view_transactions"], v["view_customers"], v["view_early_events"], CLTV_WINDOW_DAYS
     )
 
 
 def lead_features(v: Views) -> DataFrame:
     return leads.extract_features(
-        v["cdp_customers"], v["cdp_events"], v["cdp_purchases"], LABEL_DAYS
+        v["view_customers"], v["view_events"], v["view_purchases"], LABEL_DAYS
     )
 
 
 def lead_cutoff(v: Views) -> Column:
-    return leads.cutoff_date(v["cdp_events"], v["cdp_purchases"], LABEL_DAYS)
+    return leads.cutoff_date(v["view_events"], v["view_purchases"], LABEL_DAYS)
 
 
 def fixed_cltv(v: Views) -> DataFrame:

@@ -19,7 +19,7 @@ TABLES = (
 
 VIEWS: dict[str, str] = {
     # Raw profiles: customers, and suppliers as prospects who never bought.
-    "cdp_entities": """
+    "view_entities": """
         select concat('ENT_', lpad(cast(c_custkey as string), 7, '0')) as entity_id,
                c_custkey as customer_key,
                concat('F', cast(c_custkey % 97 as string)) as first_name,
@@ -37,7 +37,7 @@ VIEWS: dict[str, str] = {
         from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
     """,
     # Identity links: cookies overlap in chains of seven, phones join four chains each.
-    "cdp_identities": """
+    "view_identities": """
         select 'salesforce_crm' as source_system, 'crm_id' as identifier_type,
                concat('CRM_', cast(c_custkey as string)) as identifier_value,
                concat('ENT_', lpad(cast(c_custkey as string), 7, '0')) as canonical_entity_id,
@@ -67,22 +67,22 @@ VIEWS: dict[str, str] = {
                concat('PRO_', lpad(cast(s_suppkey as string), 7, '0')), cast('NaN' as double) from {supplier}
     """,
     # Ids of all entities, and the profile columns that the analytics read, without the joins.
-    "cdp_entity_ids": """
+    "view_entity_ids": """
         select concat('ENT_', lpad(cast(c_custkey as string), 7, '0')) as entity_id from {customer}
         union all select concat('PRO_', lpad(cast(s_suppkey as string), 7, '0')) from {supplier}
     """,
-    "cdp_customers": """
+    "view_customers": """
         select c_custkey as unified_customer_id,
                case when c_custkey % 20 < 8 then 'active' when c_custkey % 20 < 11 then 'churned' else 'none' end as subscription_status
         from {customer}
         union all select -1 - s_suppkey, 'none' from {supplier}
     """,
-    "cdp_profiles": """
+    "view_profiles": """
         select customer_key as unified_customer_id, email as primary_email, phone as primary_phone,
                first_name, last_name, city, country, subscription_status, created_at
-        from {cdp_entities}
+        from {view_entities}
     """,
-    "cdp_transactions": """
+    "view_transactions": """
         select concat('ORD_', cast(o_orderkey as string)) as order_id, o_custkey as unified_customer_id,
                o_orderdate as order_timestamp, o_totalprice as revenue,
                o_totalprice * (0.35 + 0.0003 * (o_orderkey % 1000)) as gross_margin,
@@ -92,7 +92,7 @@ VIEWS: dict[str, str] = {
         from {orders} left join (select l_orderkey, count(*) as items from {lineitem} group by l_orderkey) li
              on o_orderkey = l_orderkey
     """,
-    "cdp_events": """
+    "view_events": """
         select event_id, user_id as unified_customer_id, ts as event_timestamp,
                case when event_id % 100 < 40 then 'page_view' when event_id % 100 < 65 then 'product_view'
                     when event_id % 100 < 77 then 'pricing_view' when event_id % 100 < 87 then 'add_to_cart'
@@ -104,19 +104,19 @@ VIEWS: dict[str, str] = {
         from {events}
     """,
     # The same events moved before the order cutoff, for lifetime value.
-    "cdp_early_events": """
+    "view_early_events": """
         select event_id, unified_customer_id, event_timestamp - interval 8400 day as event_timestamp, event_type,
                session_id, device_type
-        from {cdp_events}
+        from {view_events}
     """,
     # Purchases on the clock of the events, for lead scoring and experiments.
-    "cdp_purchases": """
+    "view_purchases": """
         select event_id as order_id, user_id as unified_customer_id, ts as order_timestamp, value as revenue,
                value * 0.5 as gross_margin
         from {events} where event_type = 'purchase'
     """,
     # Campaign touches; a journey is one user on one day.
-    "cdp_touchpoints": """
+    "view_touchpoints": """
         select event_id as touchpoint_id,
                concat(cast(user_id as string), '_', cast(cast(ts as date) as string)) as unified_customer_id,
                ts as event_timestamp,
@@ -129,7 +129,7 @@ VIEWS: dict[str, str] = {
         from {events}
     """,
     # Consent; prospects have no row and some flags are null.
-    "cdp_consent": """
+    "view_consent": """
         select c_custkey as unified_customer_id,
                case when c_custkey % 50 = 48 then null else c_custkey % 20 >= 3 end as marketing_opt_in,
                c_custkey % 10 <> 0 as tracking_consent, c_custkey % 20 >= 7 as third_party_sharing,
@@ -141,12 +141,12 @@ VIEWS: dict[str, str] = {
     "feed_transactions": """
         select order_id, concat('ENT_', lpad(cast(unified_customer_id as string), 7, '0')) as entity_id, order_timestamp,
                revenue, gross_margin, channel, payment_status, items_count
-        from {cdp_transactions}
+        from {view_transactions}
     """,
     "feed_events": """
         select cast(event_id as string) as event_id, concat('ENT_', lpad(cast(unified_customer_id as string), 7, '0')) as entity_id,
                event_timestamp, event_type, page_url, session_id, device_type
-        from {cdp_events}
+        from {view_events}
     """,
     "feed_touchpoints": """
         select cast(event_id as string) as touchpoint_id,
@@ -162,20 +162,20 @@ VIEWS: dict[str, str] = {
     "feed_consents": """
         select concat('ENT_', lpad(cast(unified_customer_id as string), 7, '0')) as entity_id, marketing_opt_in, tracking_consent,
                third_party_sharing, do_not_track, updated_at
-        from {cdp_consent}
+        from {view_consent}
     """,
     # One audience per market segment and nation.
-    "cdp_audience_members": """
+    "view_audience_members": """
         select concat('AUD_', c_mktsegment, '_', cast(c_nationkey as string)) as audience_id,
                c_custkey as unified_customer_id, timestamp '2001-01-01 00:00:00' as added_at
         from {customer}
     """,
-    "cdp_audiences": """
+    "view_audiences": """
         select audience_id, concat('Audience ', audience_id) as name, count(*) as audience_size
-        from {cdp_audience_members} group by audience_id
+        from {view_audience_members} group by audience_id
     """,
     # Campaign requests, one per catalogue part; some name an unknown audience.
-    "cdp_campaign_requests": """
+    "view_campaign_requests": """
         select concat('camp_', cast(p_partkey as string)) as campaign_name,
                concat('AUD_', case p_partkey % 6 when 0 then 'HOUSEHOLD' when 1 then 'MACHINERY' when 2 then 'FURNITURE'
                       when 3 then 'BUILDING' when 4 then 'AUTOMOBILE' else 'UNKNOWN' end, '_', cast(p_size % 25 as string)) as audience_id,
@@ -185,7 +185,7 @@ VIEWS: dict[str, str] = {
         from {part}
     """,
     # One approval per order; a few are already consumed.
-    "cdp_approvals": """
+    "view_approvals": """
         select concat('N', cast(o_orderkey as string)) as nonce, concat('camp_', cast(o_orderkey % 40 as string)) as campaign_name,
                concat('AUD_', case o_orderkey % 5 when 0 then 'HOUSEHOLD' when 1 then 'MACHINERY' when 2 then 'FURNITURE' when 3 then 'BUILDING' else 'AUTOMOBILE' end,
                       '_', cast(o_orderkey % 25 as string)) as audience_id,
@@ -197,7 +197,7 @@ VIEWS: dict[str, str] = {
         from {orders}
     """,
     # Approvals issued again for the same nonce; the newest of a batch counts.
-    "cdp_reissued_approvals": """
+    "view_reissued_approvals": """
         select concat('N', cast(l_orderkey + 7 as string)) as nonce, concat('camp_', cast(l_partkey % 40 as string)) as campaign_name,
                concat('AUD_', cast(l_suppkey % 25 as string)) as audience_id, 'email_marketing' as channel,
                concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
@@ -206,7 +206,7 @@ VIEWS: dict[str, str] = {
         from {lineitem}
     """,
     # Activation requests, one per order line: replays, late ones, wrong scopes, unknown nonces.
-    "cdp_activation_requests": """
+    "view_activation_requests": """
         select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
                       cast(cast(round(l_extendedprice * 100) as bigint) as string), '-', cast(cast(l_shipdate as date) as string)) as request_id,
                case when l_quantity > 48 then concat('X', cast(l_orderkey as string)) else concat('N', cast(l_orderkey as string)) end as nonce,
@@ -218,7 +218,7 @@ VIEWS: dict[str, str] = {
         from {lineitem}
     """,
     # Members of one activation.
-    "cdp_experiment_members": """
+    "view_experiment_members": """
         select 'ACT_SPRING' as activation_id, c_custkey as unified_customer_id from {customer}
     """,
 }
