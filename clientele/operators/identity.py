@@ -1,11 +1,9 @@
 """Identity resolution: identifier links to unified customers.
 
 Entities that share an identifier belong together.  Each identifier's entities are first
-tied to the smallest of them, which leaves a graph of entities only; its components come
-from rounds that alternately tie a node's larger and smaller neighbours to its smallest
-one.  Every round is aggregates and equi-joins, written to the shared scratch folder; a
-hub with a large share of all links is pre-aggregated for the minimum and split by the
-adaptive skew join for the rest.
+tied to the smallest of them, which leaves a graph of entities only, whose components are
+then found.  The smallest entity of each identifier is written before it is joined back,
+so that an identifier with a large share of all links is split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clientele.functions.columns import identifier_key, stripped
 from clientele.functions.privacy import mask_identifier, mask_profile
+from clientele.operators.components import components
 from clientele.operators.ranking import global_rank
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.scratch import materialise
@@ -52,46 +51,6 @@ def link_edges(links: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFr
     )
 
 
-def _is_settled(edges: DataFrame) -> bool:
-    """True when every node hangs on one node that hangs on nobody."""
-    ends = F.array(
-        F.struct(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
-        F.struct(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
-    )
-    nodes = edges.select(F.inline(ends)).groupBy("node")
-    ties = nodes.agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return ties.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
-
-
-def _tie_larger(edges: DataFrame) -> DataFrame:
-    """Tie every larger neighbour of a node to the smallest of the node and its neighbours."""
-    smallest = edges.groupBy("high").agg(F.min("low").alias("_least"))
-    # A node without smaller neighbours is itself the smallest, and its edges stay.
-    centre = edges.join(smallest.withColumnRenamed("high", "low"), "low", "left").select(
-        "high", F.coalesce("_least", "low").alias("low")
-    )
-    return centre.distinct()
-
-
-def _tie_smaller(edges: DataFrame) -> DataFrame:
-    """Tie a node and its smaller neighbours to the smallest of those."""
-    smallest = edges.groupBy("high").agg(F.min("low").alias("_least"))
-    siblings = edges.join(smallest, "high").select(F.col("low").alias("high"), F.col("_least").alias("low"))
-    parents = smallest.select("high", F.col("_least").alias("low"))
-    return parents.unionByName(siblings.where(F.col("high") != F.col("low"))).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Smallest member of each node's component, for integer edges ``high > low``.
-
-    Returns ``(high, low)``: one row per node that is not itself the smallest.
-    """
-    current = materialise(edges, "edges")
-    while not _is_settled(current):
-        current = materialise(_tie_smaller(_tie_larger(current)), "edges")
-    return current
-
-
 def entity_clusters(edges: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """``(entity_id, root_id, cluster)``: the smallest member and the running cluster number.
 
@@ -103,7 +62,7 @@ def entity_clusters(edges: DataFrame, entities: DataFrame | None = None) -> Data
     known = known.where(F.col("entity_id").isNotNull()).distinct()
     numbered = global_rank(known, ["entity_id"], "idx")
     pairs = materialise(edges.join(numbered, "entity_id").select("node", "idx"), "links")
-    smallest = pairs.groupBy("node").agg(F.min("idx").alias("low"))
+    smallest = materialise(pairs.groupBy("node").agg(F.min("idx").alias("low")), "minima")
     ties = (
         pairs.join(smallest, "node")
         .where(F.col("idx") > F.col("low"))

@@ -6,6 +6,7 @@ still there when an executor is lost.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,21 @@ def checkpoint_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and return the table, free of its lineage."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path of its own below the shared scratch folder."""
+    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a materialised table that no later step reads."""
+    spark = table.sparkSession
+    root = checkpoint_root(spark)
+    for name in {os.path.dirname(file) for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() in path.toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
