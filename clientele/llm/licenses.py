@@ -14,6 +14,7 @@ give repeated results; an empty table gives an empty result; extra columns are i
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -212,16 +213,22 @@ def _labelled(places: Column, label: str) -> Column:
 _DETECTION = "array<struct<first:bigint,back:bigint,rank:int,label:string>>"
 
 
-def _detections(line: Column, words: Column, table: list[Rule]) -> Column:
+def _keywords(table: list[Rule]) -> list[str]:
+    return sorted({r.keyword for r in table})
+
+
+def _by_keyword(table: list[Rule]) -> Column:
+    """The rules of every keyword, as a constant map."""
+    entries: dict[str, list[dict]] = {keyword: [] for keyword in _keywords(table)}
+    for rule in table:
+        entries[rule.keyword].append({"pattern": rule.pattern, "rank": rule.rank, "label": rule.label})
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,array<struct<pattern:string,rank:int,label:string>>>")
+
+
+def _detections(line: Column, held: Column, table: list[Rule]) -> Column:
     """All matches of the rules whose keyword the text holds, sorted: outer intervals come first."""
-    known = F.array(
-        *[
-            F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.rank).alias("rank"), F.lit(r.label).alias("label"))
-            for r in table
-        ]
-    )
-    held = F.array_intersect(words, F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})]))
-    asked = F.when(F.size(held) > 0, F.filter(known, lambda r: F.array_contains(held, r["keyword"])))
+    known = _by_keyword(table)
+    asked = F.flatten(F.transform(held, lambda keyword: F.element_at(known, keyword)))
     each = F.transform(
         asked,
         lambda r: F.transform(
@@ -229,7 +236,7 @@ def _detections(line: Column, words: Column, table: list[Rule]) -> Column:
             lambda p: F.struct(p["first"].alias("first"), (-p["last"]).alias("back"), r["rank"].alias("rank"), r["label"].alias("label")),
         ),
     )
-    return F.coalesce(F.array_sort(F.flatten(each)), F.array().cast(_DETECTION))
+    return F.array_sort(F.flatten(each))
 
 
 def _kept(detections: Column) -> Column:
@@ -263,13 +270,12 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     words = docs.select(
         F.col("doc_id").cast("bigint"), F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), 0).alias("_words")
     )
-    lined = words.withColumn(
-        "_line",
-        # Only texts with a keyword need the line.
-        F.when(
-            F.arrays_overlap("_words", F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})])),
-            F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")),
-        ).otherwise(F.lit("")),
+    # The keywords a text holds are a column of their own, so that they are looked up once per text.
+    held = words.withColumn("_held", F.array_intersect("_words", F.array(*[F.lit(k) for k in _keywords(table)])))
+    some = F.size("_held") > 0
+    # Only texts with a keyword need the line.
+    lined = held.withColumn(
+        "_line", F.when(some, F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))).otherwise(F.lit(""))
     )
     base = F.flatten(
         F.array(
@@ -279,10 +285,11 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
             ]
         )
     )
+    nothing = F.array()
     found = lined.select(
         "doc_id", F.size("_words").cast("bigint").alias("n_words"),
-        F.when(F.col("_line") != "", base).otherwise(F.array().cast("array<struct<first:bigint,label:string>>")).alias("base"),
-        F.when(F.col("_line") != "", _detections(F.col("_line"), F.col("_words"), table)).otherwise(F.array().cast(_DETECTION)).alias("_all"),
+        F.when(some, base).otherwise(nothing.cast("array<struct<first:bigint,label:string>>")).alias("base"),
+        F.when(some, _detections(F.col("_line"), F.col("_held"), table)).otherwise(nothing.cast(_DETECTION)).alias("_all"),
     ).withColumn("detections", _kept(F.col("_all")))
     weight = F.lit(0.0)
     for rank in sorted(WEIGHTS, reverse=True):
