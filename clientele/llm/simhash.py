@@ -235,7 +235,8 @@ def trie_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) ->
     )
     flat = (
         pairs.repartition(4 * range_partitions(distinct.sparkSession), "block", "chunk", "other", "other_chunk")
-        .select(F.monotonically_increasing_id().alias("cell"), F.explode(sides).alias("s"))
+        .withColumn("cell", F.monotonically_increasing_id())  # before, not beside, the explode: one per pair
+        .select("cell", F.explode(sides).alias("s"))
         .select("cell", "s.side", F.explode("s.fps").alias("fp"))
     )
 
