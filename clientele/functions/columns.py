@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 MICROS_PER_DAY = 86_400_000_000
 
 
-def minor_units(column: Column, scale: int = 2) -> Column:
-    """The amount as a whole number of its smallest unit (cents for scale 2)."""
-    return F.floor(column.cast("double") * F.lit(float(10**scale)) + F.lit(0.5))
+def amount(column: Column) -> Column:
+    """The amount as a decimal of six places, far below a cent; null if it is no finite number."""
+    return column.cast("double").try_cast("decimal(28,6)")
 
 
-def exact_sum(column: Column, scale: int = 2) -> Column:
-    """Sum in whole minor units, so the total does not depend on the row order.
+def exact_sum(column: Column) -> Column:
+    """Sum as decimals, so the total does not depend on the row order and nothing is rounded to cents.
 
-    Long sums stay in the fast hash aggregate, which wide decimals would not.
+    A NaN or an infinity among the amounts makes the sum one, as it does with doubles.
     """
-    return F.sum(minor_units(column, scale)) / F.lit(float(10**scale))
+    value = column.cast("double")
+    odd = F.sum(F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), value))
+    return F.coalesce(odd, F.sum(amount(value)).cast("double"))
 
 
 def round_half_up(column: Column | str, digits: int) -> Column:

@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import MICROS_PER_DAY, exact_sum, minor_units, round_half_up
+from clientele.functions.columns import MICROS_PER_DAY, amount, exact_sum, round_half_up
 from clientele.operators.rfm import CUSTOMER
+from clientele.sources.scratch import materialise
 
 # Half-lives per time block: sums inside a block span at most this many powers of two.
 BLOCK_HALF_LIVES = 32
@@ -34,7 +35,8 @@ def in_window(touches: DataFrame, start: str | None = None, end: str | None = No
 
 def converting_journeys(touches: DataFrame) -> DataFrame:
     """All touches of customers with at least one conversion."""
-    converters = touches.where(F.col("conversion_flag") == 1).select(CUSTOMER).distinct()
+    # Written first, so that both join inputs are plain shuffles and a long journey can be split.
+    converters = materialise(touches.where(F.col("conversion_flag") == 1).select(CUSTOMER).distinct(), "converters")
     return touches.join(converters, CUSTOMER, "left_semi")
 
 
@@ -63,7 +65,7 @@ def _blocks(touches: DataFrame, half_life_days: float) -> DataFrame:
             F.max(order).alias("_last"),
             F.max("_stamp").alias("_latest"),
             F.max(converted.cast("int")).alias("_converted"),
-            F.sum(minor_units(F.when(converted, F.col("attributed_revenue")))).alias("_cents"),
+            F.sum(amount(F.when(converted, F.col("attributed_revenue")))).alias("_revenue"),
         )
     )
 
@@ -71,7 +73,8 @@ def _blocks(touches: DataFrame, half_life_days: float) -> DataFrame:
 def journey_credit(touches: DataFrame, half_life_days: float = 7.0) -> DataFrame:
     """Credit of every channel in every converting journey, by model.
 
-    The credits of one model add up to 1 per journey; revenue is the journey's total.
+    The credits of one model add up to 1 per journey; revenue is the journey's total, to which amounts
+    that are no finite number add nothing.
     """
     journey = Window.partitionBy(CUSTOMER)
     scale = F.pow(
@@ -86,7 +89,7 @@ def journey_credit(touches: DataFrame, half_life_days: float = 7.0) -> DataFrame
                 "_journey_first": F.min("_first").over(journey),
                 "_journey_last": F.max("_last").over(journey),
                 "_journey_touches": F.sum("_touches").over(journey),
-                "_journey_cents": F.sum("_cents").over(journey),
+                "_journey_revenue": F.sum("_revenue").over(journey),
             }
         )
         .where(F.col("_journey_converted") == 1)
@@ -98,7 +101,7 @@ def journey_credit(touches: DataFrame, half_life_days: float = 7.0) -> DataFrame
         F.sum((F.col("_last") == F.col("_journey_last")).cast("double")).alias("last_touch"),
         (F.sum("_touches") / F.max("_journey_touches")).alias("linear"),
         (F.sum("_weight") / F.max("_journey_weight")).alias("time_decay"),
-        (F.max("_journey_cents") / 100.0).alias("revenue"),
+        F.max("_journey_revenue").cast("double").alias("revenue"),
     )
 
 

@@ -54,7 +54,7 @@ def order_features(transactions: DataFrame, window_days: int = 180) -> DataFrame
         .agg(
             F.countDistinct(past("order_id")).cast("int").alias("hist_orders"),
             exact_sum(past("revenue")).alias("hist_revenue"),
-            exact_sum(past("gross_margin"), 6).alias("hist_margin"),
+            exact_sum(past("gross_margin")).alias("hist_margin"),
             F.count(past("revenue")).alias("_priced"),
             F.max(past("order_timestamp")).alias("last_order_date"),
             F.min(past("order_timestamp")).alias("first_order_date"),
@@ -178,7 +178,7 @@ def top_decile_share(actual: str, decile: str) -> Column:
 
 
 def mean_by_decile(df: DataFrame, score: str = "predicted_cltv", decile: str = "cltv_decile") -> DataFrame:
-    mean = exact_sum(F.col(score), 6) / F.count(score)
+    mean = exact_sum(F.col(score)) / F.count(score)
     return df.groupBy(decile).agg(mean.alias(f"mean_{score}")).orderBy(decile)
 
 

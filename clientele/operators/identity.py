@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import identifier_key, stripped
+from clientele.functions.columns import identifier_key, phone_digits, stripped
 from clientele.functions.privacy import mask_identifier, mask_profile
 from clientele.operators.components import components
 from clientele.operators.ranking import global_rank
@@ -21,9 +21,14 @@ from clientele.sources.scratch import materialise
 DEFAULT_THRESHOLD = 0.70
 
 
-def normalised(links: DataFrame) -> DataFrame:
-    """Add the trimmed, lower-cased value and the node key; blank identifiers are no identifiers."""
+def normalised(links: DataFrame, phones: bool = False) -> DataFrame:
+    """Add the trimmed, lower-cased value and the node key; blank identifiers are no identifiers.
+
+    ``phones`` reduces phone numbers to their last ten digits, so that spellings of one number tie.
+    """
     cleaned = F.lower(stripped(F.col("identifier_value")))
+    if phones:
+        cleaned = F.when(F.col("identifier_type") == "phone", phone_digits(cleaned)).otherwise(cleaned)
     return (
         links.withColumn("identifier_value", cleaned)
         .where(F.col("identifier_value") != "")
@@ -39,11 +44,13 @@ def confident(links: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFra
     return links.where(~F.isnan(score) & (score >= threshold))
 
 
-def link_edges(links: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Distinct identifier-entity edges with the identifier's type and value."""
+def link_edges(
+    links: DataFrame, threshold: float = DEFAULT_THRESHOLD, phones: bool = False
+) -> DataFrame:
+    """Distinct identifier-entity edges with the identifier's type and value; links without a type are none."""
     return (
-        normalised(confident(links, threshold))
-        .where(F.col("canonical_entity_id").isNotNull())
+        normalised(confident(links, threshold), phones)
+        .where(F.col("canonical_entity_id").isNotNull() & F.col("identifier_type").isNotNull())
         .select(
             "node", F.col("canonical_entity_id").alias("entity_id"), "identifier_type", "identifier_value"
         )

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientele.functions.privacy import mask_text
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.scratch import materialise
 
@@ -64,11 +65,19 @@ def gate_reason() -> Column:
         .when(~F.col("campaign_name").eqNullSafe(F.col("_campaign")), "SCOPE_CAMPAIGN")
         .when(~F.col("audience_id").eqNullSafe(F.col("_audience")), "SCOPE_AUDIENCE")
         .when(~F.col("channel").eqNullSafe(F.col("_channel")), "SCOPE_CHANNEL")
+        .when(F.col("_known").isNull(), "UNKNOWN_AUDIENCE")
+        .when(~F.col("_status").eqNullSafe(F.lit("COMPLIANT")), "AUDIENCE_REJECTED")
     )
 
 
-def check_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
-    """Each request with the approval it names and ``gate_reason``, null when it passes."""
+def check_requests(requests: DataFrame, registry: DataFrame, audiences: DataFrame) -> DataFrame:
+    """Each request with the approval it names and ``gate_reason``, null when it passes.
+
+    ``audiences`` are the definitions, ``(audience_id, status)`` with one row per id.
+    """
+    definitions = audiences.select(
+        F.col("audience_id").alias("_known"), F.col("status").alias("_status")
+    )
     approvals = registry.select(
         F.col("nonce").alias("_nonce"),
         F.col("campaign_name").alias("_campaign"),
@@ -80,8 +89,9 @@ def check_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
     )
     return (
         requests.join(approvals, F.col("nonce") == F.col("_nonce"), "left")
+        .join(definitions, F.col("audience_id") == F.col("_known"), "left")
         .withColumn("gate_reason", gate_reason())
-        .drop("_nonce", "_campaign", "_audience", "_channel")
+        .drop("_nonce", "_campaign", "_audience", "_channel", "_known", "_status")
     )
 
 
@@ -96,13 +106,13 @@ def first_claims(checked: DataFrame) -> DataFrame:
     )
 
 
-def decide_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
+def decide_requests(requests: DataFrame, registry: DataFrame, audiences: DataFrame) -> DataFrame:
     """Status and reason per request: a nonce serves one request, later ones are replays.
 
     The claims are joined on the request id, which is unique, so a nonce that a large
     share of all requests names does not skew the join.
     """
-    checked = materialise(check_requests(requests, registry), "requests")
+    checked = materialise(check_requests(requests, registry, audiences), "requests")
     reason = (
         F.when(F.col("gate_reason").isNotNull(), F.col("gate_reason"))
         .when(F.col("_claims"), F.lit(None).cast("string"))
@@ -142,7 +152,7 @@ def activations(decided: DataFrame, audiences: DataFrame) -> DataFrame:
         decided.where(F.col("status") == "SUCCESS")
         .join(audiences.select("audience_id", "audience_size"), "audience_id", "left")
         .select(
-            F.concat(F.lit("ACT_"), F.upper(F.substring(F.md5("request_id"), 1, 12))).alias("activation_id"),
+            F.concat(F.lit("ACT_"), F.upper(F.md5("request_id"))).alias("activation_id"),
             "audience_id",
             "campaign_name",
             F.col("channel").alias("target_channel"),
@@ -167,11 +177,11 @@ def audit_rows(decided: DataFrame, session_id: str, tool_name: str = "activate_c
     """One audit row per decision, accepted or not."""
     accepted = F.col("status") == "SUCCESS"
     return decided.select(
-        F.concat(F.lit("LOG_"), F.upper(F.substring(F.md5("request_id"), 1, 12))).alias("log_id"),
+        F.concat(F.lit("LOG_"), F.upper(F.md5("request_id"))).alias("log_id"),
         F.lit(session_id).alias("session_id"),
         F.when(accepted, "campaign_activation").otherwise("activation_attempt").alias("action_type"),
         F.lit(tool_name).alias("tool_name"),
-        F.col("campaign_name").alias("request_prompt"),
+        mask_text(F.col("campaign_name")).alias("request_prompt"),
         F.when(accepted, "APPROVED_BY_HUMAN").otherwise("BLOCKED_BY_GOVERNANCE").alias("governance_status"),
         F.to_json(F.struct("reason", "campaign_name", "audience_id", "channel")).alias("details"),
         F.col("requested_at").alias("timestamp"),

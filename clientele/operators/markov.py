@@ -23,9 +23,6 @@ PREFIX = "channel:"
 # Only journeys of up to this many transitions earn conversion probability.
 HORIZON = 5
 
-# Below this many transitions the matrix work stays in one partition, without shuffles.
-SMALL_MATRIX = 10_000
-
 NOTHING_REMOVED = ""
 
 
@@ -126,6 +123,49 @@ def transition_counts(touches: DataFrame) -> DataFrame:
     )
 
 
+def journey_steps(touches: DataFrame) -> DataFrame:
+    """Every step of every journey: ``(customer, touchpoint_id, from_state, to_state)``.
+
+    The step into the first channel has no touch; the last touch leads to Conversion or Null.  Steps
+    inside a range partition come from ``lead``, those between partitions from one row per journey and
+    partition.
+    """
+    order = ["event_timestamp", "touchpoint_id"]
+    state = F.concat(F.lit(PREFIX), F.coalesce("channel", F.lit("unknown")))
+    inside = Window.partitionBy("_part", CUSTOMER).orderBy(*order)
+    steps = materialise(
+        touches.where(F.col(CUSTOMER).isNotNull())
+        .select(CUSTOMER, *order, state.alias("_state"), (F.col("conversion_flag") == 1).alias("_converts"))
+        .repartitionByRange(range_partitions(touches.sparkSession), CUSTOMER, *order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_next", F.lead("_state").over(inside)),
+        "steps",
+    )
+    pieces = steps.groupBy(CUSTOMER, "_part").agg(
+        F.min_by("_state", F.struct(*order)).alias("_head"), F.max(F.coalesce("_converts", F.lit(False))).alias("_converts")
+    )
+    journey = Window.partitionBy(CUSTOMER)
+    ends = materialise(
+        pieces.withColumns(
+            {
+                "_next_head": F.lead("_head").over(journey.orderBy("_part")),
+                "_first": F.row_number().over(journey.orderBy("_part")) == 1,
+                "_outcome": F.when(F.max("_converts").over(journey), CONVERSION).otherwise(NULL),
+            }
+        ).drop("_converts"),
+        "ends",
+    )
+    starts = ends.where("_first").select(
+        CUSTOMER, F.lit(None).cast(steps.schema["touchpoint_id"].dataType).alias("touchpoint_id"),
+        F.lit(START).alias("from_state"), F.col("_head").alias("to_state"),
+    )
+    following = steps.join(ends, [CUSTOMER, "_part"]).select(
+        CUSTOMER, "touchpoint_id", F.col("_state").alias("from_state"),
+        F.coalesce("_next", "_next_head", "_outcome").alias("to_state"),
+    )
+    return starts.unionByName(following)
+
+
 def transition_probabilities(counts: DataFrame) -> DataFrame:
     """Share of each next state; the counts have at most (channels + 2) squared rows."""
     total = F.sum("n").over(Window.partitionBy("from_state"))
@@ -139,8 +179,6 @@ def conversion_probabilities(probabilities: DataFrame) -> DataFrame:
     mass in Conversion stays there, so five steps leave the bounded total.
     """
     matrix = materialise(probabilities.select("from_state", "to_state", "p"), "matrix")
-    if matrix.count() <= SMALL_MATRIX:
-        matrix = matrix.coalesce(1)
     stays = matrix.where(F.col("to_state") == CONVERSION).select(
         F.lit(CONVERSION).alias("from_state"), "to_state", F.lit(1.0).alias("p")
     )
@@ -178,7 +216,7 @@ def removal_effects(reached: DataFrame) -> DataFrame:
         reached.withColumn("_base", base)
         .where(F.col("removed") != NOTHING_REMOVED)
         .select(
-            F.substring(F.col("removed"), len(PREFIX) + 1, 1_000_000).alias("channel"),
+            F.substr("removed", F.lit(len(PREFIX) + 1)).alias("channel"),
             effect.alias("removal_effect"),
         )
     )

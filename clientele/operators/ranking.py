@@ -21,9 +21,6 @@ from clientele.sources.scratch import materialise
 _POSITION_BITS = 33
 _SLOT = "_slot"
 
-# Longest list that is taken as a plain top-k.
-TOP_K_ROWS = 100_000
-
 
 def range_partitions(spark: SparkSession) -> int:
     """Partitions for an explicit range split: the session's setting, or all cores if more."""
@@ -117,18 +114,22 @@ def rows_at_ranks(
 
 
 def after(key: Column, tie: Column, edge_key, edge_tie) -> Column:
-    """True where (key, tie) sorts after the edge row."""
-    return (key > F.lit(edge_key)) | ((key == F.lit(edge_key)) & (tie > F.lit(edge_tie)))
+    """True where (key, tie) sorts after the edge row; nulls sort first, as they do in a sort."""
+
+    def greater(column: Column, edge) -> Column:
+        return column.isNotNull() if edge is None else F.coalesce(column > F.lit(edge), F.lit(False))
+
+    return greater(key, edge_key) | (key.eqNullSafe(F.lit(edge_key)) & greater(tie, edge_tie))
 
 
 def first_rows(df: DataFrame, id_col: str, count: int, key: Column | None = None) -> DataFrame:
     """The first ``count`` rows by an ascending key, if given, and a unique id.
 
-    A short list is a plain top-k.  A long one would pass through one task, so there only
-    the row at the edge is looked up and the others are compared with it in place.
+    A limit would pass through one task.  Only the row at the edge is looked up, and the others are
+    compared with it in place.
     """
-    if count <= TOP_K_ROWS:
-        return df.orderBy(*([] if key is None else [key]), id_col).limit(count)
+    if count <= 0:
+        return df.where(F.lit(False))
     key = F.lit(0) if key is None else key
     ordered = df.select(key.alias("_key"), F.col(id_col).alias("_id"))
     edges = rows_at_ranks(ordered, ["_key", "_id"], lambda total: [count] if total > count else [])

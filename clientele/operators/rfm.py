@@ -35,7 +35,7 @@ def purchase_history(
             F.max("order_timestamp").alias("last_order"),
             F.countDistinct("order_id").cast("int").alias("frequency"),
             exact_sum(F.col("revenue")).alias("monetary"),
-            exact_sum(F.col("gross_margin"), 6).alias("gross_margin"),
+            exact_sum(F.col("gross_margin")).alias("gross_margin"),
         )
     )
     recency = whole_days(F.col("last_order"), reference_date(transactions, given))

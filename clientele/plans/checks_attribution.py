@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from clientele.operators import attribution, markov
 from clientele.plans.inputs import rounded
 
@@ -53,8 +51,7 @@ QUERIES = {
         attribution.journey_credit(_touches(v), 0.25).select(KEY, "channel", "time_decay")
     ),
     "a07_channel_rollup": _rule_based,
-    "a08_journey_edges": lambda v: markov.transition_counts(_touches(v))
-    .where(F.col("from_state").eqNullSafe(markov.START) | F.col("to_state").isin("Conversion", "Null")),
+    "a08_journey_edges": lambda v: markov.journey_steps(_touches(v)),
     "a09_transition_counts": lambda v: markov.transition_counts(_touches(v)),
     "a10_transition_probabilities": lambda v: rounded(_probabilities(v)),
     "a11_conversion_probability": lambda v: rounded(_reached(v)),
@@ -84,7 +81,7 @@ PARTS = {
                count(*) over (partition by unified_customer_id) as touches,
                max(event_timestamp) over (partition by unified_customer_id) as last_time,
                max(conversion_flag) over (partition by unified_customer_id) as converted,
-               sum(cast(case when conversion_flag = 1 then attributed_revenue else 0 end as decimal(24, 2)))
+               sum(cast(case when conversion_flag = 1 then attributed_revenue else 0 end as decimal(28, 6)))
                    over (partition by unified_customer_id) as total
         from {view_touchpoints} t
     """,
@@ -175,7 +172,13 @@ SQL = {
     """,
     "a07_channel_rollup": "select * from {rule_based}",
     "a08_journey_edges": """
-        select * from {markov_counts} where from_state = 'Start' or to_state in ('Conversion', 'Null')
+        select unified_customer_id, null as touchpoint_id, 'Start' as from_state, concat('channel:', coalesce(channel, 'unknown')) as to_state
+        from {journeys} where position = 1 and unified_customer_id is not null
+        union all
+        select unified_customer_id, touchpoint_id, concat('channel:', coalesce(channel, 'unknown')),
+               coalesce(lead(concat('channel:', coalesce(channel, 'unknown'))) over (partition by unified_customer_id order by position),
+                        case when converted = 1 then 'Conversion' else 'Null' end)
+        from {journeys} where unified_customer_id is not null
     """,
     "a09_transition_counts": "select * from {markov_counts}",
     "a10_transition_probabilities": "select from_state, to_state, n, round(p, 6) as p from {markov_matrix}",
@@ -191,7 +194,7 @@ SQL = {
     "a15_reconciliation": """
         select total_converted_revenue, last_touch_attributed_revenue,
                abs(total_converted_revenue - last_touch_attributed_revenue) < 1.0 as match
-        from (select round(cast(sum(cast(attributed_revenue as decimal(24, 2))) as double), 2) as total_converted_revenue
+        from (select round(cast(sum(cast(attributed_revenue as decimal(28, 6))) as double), 2) as total_converted_revenue
               from {view_touchpoints} where conversion_flag = 1),
              (select round(sum(last_touch_revenue), 2) as last_touch_attributed_revenue from {rule_based})
     """,

@@ -25,7 +25,7 @@ def _features(v):
 def _verdicts(v):
     """The gate on a normal audience, on one below the size floor, and on an empty one."""
     features = _features(v)
-    cases = {"win_back": (WIN_BACK, 5000), "tiny": ({}, 5), "hostile": (HOSTILE, 5000)}
+    cases = {"win_back": (WIN_BACK, None), "tiny": ({}, 5), "hostile": (HOSTILE, None)}
     rows = None
     for name, (criteria, limit) in cases.items():
         chosen = audience.select_audience(features, criteria, limit)
@@ -102,7 +102,7 @@ QUERIES = {
 
 PARTS = {
     "win_back": """
-        select * from {feature_table} where rfm_segment = 'At-Risk High Value' and frequency >= 2 order by unified_customer_id limit 5000
+        select * from {feature_table} where rfm_segment = 'At-Risk High Value' and frequency >= 2
     """,
     "win_back_consent": "select * from {win_back} left join {view_consent} using (unified_customer_id)",
     "win_back_counts": """

@@ -71,9 +71,9 @@ PARTS = {
     "cltv_cutoff": "select max(order_timestamp) - interval 180 day as cutoff from {view_transactions}",
     "cltv_history": """
         select unified_customer_id, cast(count(distinct order_id) as int) as hist_orders,
-               cast(sum(cast(revenue as decimal(24, 2))) as double) as hist_revenue,
-               cast(sum(cast(gross_margin as decimal(24, 6))) as double) as hist_margin,
-               cast(sum(cast(revenue as decimal(24, 2))) as double) / count(*) as avg_order_value,
+               cast(sum(cast(revenue as decimal(28, 6))) as double) as hist_revenue,
+               cast(sum(cast(gross_margin as decimal(28, 6))) as double) as hist_margin,
+               cast(sum(cast(revenue as decimal(28, 6))) as double) / count(*) as avg_order_value,
                max(order_timestamp) as last_order_date, min(order_timestamp) as first_order_date,
                cast(date_sub('day', max(order_timestamp), (select cutoff from {cltv_cutoff})) as int) as hist_recency_days,
                cast(date_sub('day', min(order_timestamp), (select cutoff from {cltv_cutoff})) as int) as customer_tenure_days
@@ -86,7 +86,7 @@ PARTS = {
         from {view_early_events} where event_timestamp <= (select cutoff from {cltv_cutoff}) group by unified_customer_id
     """,
     "cltv_target": """
-        select unified_customer_id, cast(sum(cast(revenue as decimal(24, 2))) as double) as future_revenue
+        select unified_customer_id, cast(sum(cast(revenue as decimal(28, 6))) as double) as future_revenue
         from {view_transactions} where order_timestamp > (select cutoff from {cltv_cutoff}) group by unified_customer_id
     """,
     "cltv_features": """
@@ -146,7 +146,7 @@ SQL = {
                as top_decile_actual_revenue_share_pct from {cltv_deciles}
     """,
     "c14_mean_by_decile": """
-        select cltv_decile, cast(sum(cast(predicted_cltv as decimal(24, 6))) as double) / count(*) as mean_predicted_cltv
+        select cltv_decile, cast(sum(cast(predicted_cltv as decimal(28, 6))) as double) / count(*) as mean_predicted_cltv
         from {cltv_deciles} group by cltv_decile
     """,
 }

@@ -31,6 +31,19 @@ def _customer_360(v):
     return flags_as_text(plain(view))
 
 
+def _customer_lookup(v):
+    view = identity.customer_360(v["view_profiles"], feature_table(v), v["view_consent"])
+    return flags_as_text(plain(identity.lookup_customers(_lookups(v), view)))
+
+
+def _spelled_phones(v):
+    """Phones as people write them; other identifiers as they are."""
+    digits = F.col("identifier_value")
+    spelled = F.concat(F.lit("+1 ("), F.substring(digits, 1, 3), F.lit(") "), F.substring(digits, 4, 3), F.lit("-"), F.substr(digits, F.lit(7)))
+    is_phone = (F.col("identifier_type") == "phone") & (F.length(digits) >= 10)
+    return v["view_identities"].withColumn("identifier_value", F.when(is_phone, spelled).otherwise(digits))
+
+
 def _lookups(v):
     return v["orders"].select((F.col("o_custkey") + 5).alias("unified_customer_id")).distinct()
 
@@ -56,19 +69,39 @@ QUERIES = {
     "i07_golden_records": _golden,
     "i08_resolution_summary": lambda v: identity.resolution_summary(resolved(v)),
     "i09_customer_360": _customer_360,
-    "i09_customer_lookup": lambda v: identity.lookup_customers(
-        _lookups(v), v["view_profiles"].select("unified_customer_id", "city", "country")
-    ),
+    "i09_customer_lookup": _customer_lookup,
     "i10_customer_explorer": lambda v: identity.explorer(v["view_profiles"], feature_table(v)),
     "i11_linked_identifiers": lambda v: identity.linked_identifiers(
         identity.identity_map(resolved(v))
     ),
+    "i11_one_customers_identifiers": lambda v: identity.linked_identifiers(
+        identity.identity_map(resolved(v)), "UCID_000005"
+    ),
     "i12_transaction_history": lambda v: plain(
         identity.transaction_history(v["view_transactions"])
     ),
+    "i12_one_customers_transactions": lambda v: plain(identity.transaction_history(v["view_transactions"], 7)),
+    "i01_phone_numbers": lambda v: identity.normalised(_spelled_phones(v), phones=True).select(
+        "source_system", "identifier_value", "node", "canonical_entity_id"
+    ),
 }
 
 PARTS = {
+    "linked_identifiers": """
+        select unified_customer_id, identifier_type,
+               case when identifier_type = 'email' then case when identifier_value like '%@%'
+                         then concat(left(identifier_value, 2), '***@', split_part(identifier_value, '@', -1)) else '[REDACTED]' end
+                    when identifier_type = 'phone' then concat('***-***-', right(identifier_value, 4))
+                    else concat('***', right(identifier_value, 4)) end as identifier_value
+        from {id_map}
+    """,
+    "customer_360": """
+        select p.* replace (strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as created_at), f.recency_days, f.frequency, f.monetary,
+               f.rfm_segment, f.predicted_cltv, f.lead_score, f.churn_risk, cast(c.marketing_opt_in as varchar) as marketing_opt_in,
+               cast(c.do_not_track as varchar) as do_not_track
+        from {masked_profiles} p left join {feature_table} f using (unified_customer_id)
+             left join {view_consent} c using (unified_customer_id)
+    """,
     "id_links": """
         select source_system, identifier_type, lower(trim(identifier_value)) as identifier_value,
                concat(identifier_type, ':', lower(trim(identifier_value))) as node, canonical_entity_id, confidence_score
@@ -154,17 +187,12 @@ SQL = {
     "i08_resolution_summary": """
         select count(*) as mapping_rows, count(distinct unified_customer_id) as unified_customers from {id_resolved}
     """,
-    "i09_customer_360": """
-        select p.* replace (strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as created_at), f.recency_days, f.frequency, f.monetary,
-               f.rfm_segment, f.predicted_cltv, f.lead_score, f.churn_risk, cast(c.marketing_opt_in as varchar) as marketing_opt_in,
-               cast(c.do_not_track as varchar) as do_not_track
-        from {masked_profiles} p left join {feature_table} f using (unified_customer_id)
-             left join {view_consent} c using (unified_customer_id)
-    """,
+    "i09_customer_360": "select * from {customer_360}",
     "i09_customer_lookup": """
-        select r.unified_customer_id, city, country, case when p.unified_customer_id is null then 'NOT_FOUND' else 'PII_MASKED' end as status
+        select r.unified_customer_id, p.* exclude (unified_customer_id),
+               case when p.unified_customer_id is null then 'NOT_FOUND' else 'PII_MASKED' end as status
         from (select distinct o_custkey + 5 as unified_customer_id from {orders}) r
-             left join {view_profiles} p on r.unified_customer_id = p.unified_customer_id
+             left join {customer_360} p on r.unified_customer_id = p.unified_customer_id
     """,
     "i10_customer_explorer": """
         select unified_customer_id, first_name, last_name, primary_email, subscription_status, rfm_segment, predicted_cltv,
@@ -172,13 +200,20 @@ SQL = {
         from {masked_profiles} join {feature_table} using (unified_customer_id)
         order by predicted_cltv desc, unified_customer_id limit 200
     """,
-    "i11_linked_identifiers": """
-        select unified_customer_id, identifier_type,
-               case when identifier_type = 'email' then case when identifier_value like '%@%'
-                         then concat(left(identifier_value, 2), '***@', split_part(identifier_value, '@', -1)) else '[REDACTED]' end
-                    when identifier_type = 'phone' then concat('***-***-', right(identifier_value, 4))
-                    else concat('***', right(identifier_value, 4)) end as identifier_value
-        from {id_map}
+    "i11_linked_identifiers": "select * from ({linked_identifiers})",
+    "i11_one_customers_identifiers": """
+        select * from ({linked_identifiers}) where unified_customer_id = 'UCID_000005'
+    """,
+    "i12_one_customers_transactions": """
+        select unified_customer_id, order_id, strftime(order_timestamp, '%Y-%m-%d %H:%M:%S.%f') as order_timestamp, revenue,
+               gross_margin, channel
+        from {view_transactions} where unified_customer_id = 7
+    """,
+    "i01_phone_numbers": """
+        select source_system, case when identifier_type = 'phone' then right(regexp_replace(identifier_value, '[^0-9]', '', 'g'), 10) else identifier_value end as identifier_value,
+               concat(identifier_type, ':', case when identifier_type = 'phone' then right(regexp_replace(identifier_value, '[^0-9]', '', 'g'), 10) else identifier_value end) as node,
+               canonical_entity_id
+        from {id_links}
     """,
     "i12_transaction_history": """
         select unified_customer_id, order_id, strftime(order_timestamp, '%Y-%m-%d %H:%M:%S.%f') as order_timestamp, revenue,

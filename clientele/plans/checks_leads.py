@@ -107,7 +107,7 @@ PARTS = {
     """,
     "lead_orders": """
         select unified_customer_id, cast(count(distinct order_id) as int) as hist_orders,
-               cast(sum(cast(revenue as decimal(24, 2))) as double) as hist_revenue, max(order_timestamp) as hist_last_order
+               cast(sum(cast(revenue as decimal(28, 6))) as double) as hist_revenue, max(order_timestamp) as hist_last_order
         from {view_purchases} where order_timestamp <= (select cutoff from {lead_cutoff}) group by unified_customer_id
     """,
     "lead_buyers": """

@@ -13,7 +13,7 @@ WEEKLY_CAP = 16
 
 
 def _decided(v):
-    return ledger.decide_requests(v["view_activation_requests"], v["view_approvals"])
+    return ledger.decide_requests(v["view_activation_requests"], v["view_approvals"], v["view_audiences"])
 
 
 def _log(v):
@@ -32,7 +32,7 @@ QUERIES = {
         ledger.draft_campaigns(v["view_campaign_requests"], v["view_audiences"])
     ),
     "n03_activation_gate": lambda v: ledger.check_requests(
-        v["view_activation_requests"], v["view_approvals"]
+        v["view_activation_requests"], v["view_approvals"], v["view_audiences"]
     ).select("request_id", "nonce", "gate_reason"),
     "n04_single_use": lambda v: _decided(v).select("request_id", "status", "reason"),
     "n04_consumed_approvals": lambda v: plain(
@@ -57,8 +57,10 @@ PARTS = {
                case when r.nonce is null then 'NOT_REGISTERED' when r.expires_at < q.requested_at then 'EXPIRED'
                     when r.campaign_name is distinct from q.campaign_name then 'SCOPE_CAMPAIGN'
                     when r.audience_id is distinct from q.audience_id then 'SCOPE_AUDIENCE'
-                    when r.channel is distinct from q.channel then 'SCOPE_CHANNEL' end as gate_reason
+                    when r.channel is distinct from q.channel then 'SCOPE_CHANNEL'
+                    when a.audience_id is null then 'UNKNOWN_AUDIENCE' when a.status is distinct from 'COMPLIANT' then 'AUDIENCE_REJECTED' end as gate_reason
         from {view_activation_requests} q left join {view_approvals} r on q.nonce = r.nonce
+             left join {view_audiences} a on q.audience_id = a.audience_id
     """,
     "decided": """
         select *, case when gate_reason is not null then gate_reason when consumed_at is null and turn = 1 then null
@@ -66,7 +68,7 @@ PARTS = {
         from (select *, row_number() over (partition by nonce, gate_reason is null order by requested_at, request_id) as turn from {gated})
     """,
     "activation_log": """
-        select concat('ACT_', upper(substr(md5(request_id), 1, 12))) as activation_id, audience_id, campaign_name,
+        select concat('ACT_', upper(md5(request_id))) as activation_id, audience_id, campaign_name,
                channel as target_channel, approved_by, 'APPROVED_AND_ACTIVATED' as approval_status, requested_at as activated_at,
                coalesce(audience_size, 0) as audience_size,
                concat('{{"nonce":"', nonce, '","target_channel":"', channel, '","approved_by":"', approved_by, '"}}') as payload
@@ -105,7 +107,7 @@ SQL = {
         from {activation_log} order by activated_at desc, activation_id limit 5
     """,
     "n07_audit_log": """
-        select concat('LOG_', upper(substr(md5(request_id), 1, 12))) as log_id, 'session_1' as session_id,
+        select concat('LOG_', upper(md5(request_id))) as log_id, 'session_1' as session_id,
                case when reason is null then 'campaign_activation' else 'activation_attempt' end as action_type,
                'activate_campaign' as tool_name, campaign_name as request_prompt,
                case when reason is null then 'APPROVED_BY_HUMAN' else 'BLOCKED_BY_GOVERNANCE' end as governance_status,

@@ -34,8 +34,8 @@ PARTS = {
         select unified_customer_id,
                cast(date_sub('day', max(order_timestamp), (select ref from {rfm_reference})) as int) as recency_days,
                cast(count(distinct order_id) as int) as frequency,
-               cast(sum(cast(revenue as decimal(24, 2))) as double) as monetary,
-               cast(sum(cast(gross_margin as decimal(24, 6))) as double) as gross_margin
+               cast(sum(cast(revenue as decimal(28, 6))) as double) as monetary,
+               cast(sum(cast(gross_margin as decimal(28, 6))) as double) as gross_margin
         from {view_transactions} where unified_customer_id is not null group by unified_customer_id
     """,
     "rfm_base": """
@@ -86,14 +86,14 @@ SQL = {
     "r08_segment_overview": """
         select rfm_segment, count(*) as customer_count, round(avg(recency_days), 1) as avg_recency_days,
                round(avg(frequency), 1) as avg_orders,
-               round(cast(sum(cast(monetary as decimal(24, 2))) as double) / count(*), 2) as avg_monetary_value,
-               round(cast(sum(cast(predicted_cltv as decimal(24, 2))) as double) / count(*), 2) as avg_predicted_cltv
+               round(cast(sum(cast(monetary as decimal(28, 6))) as double) / count(*), 2) as avg_monetary_value,
+               round(cast(sum(cast(predicted_cltv as decimal(28, 6))) as double) / count(*), 2) as avg_predicted_cltv
         from {feature_table} group by rfm_segment
     """,
     "r09_segment_summary": """
         select rfm_segment, count(*) as count,
-               round(cast(sum(cast(predicted_cltv as decimal(24, 2))) as double) / count(*), 4) as avg_cltv,
-               round(cast(sum(cast(monetary as decimal(24, 2))) as double) / count(*), 4) as avg_rev
+               round(cast(sum(cast(predicted_cltv as decimal(28, 6))) as double) / count(*), 4) as avg_cltv,
+               round(cast(sum(cast(monetary as decimal(28, 6))) as double) / count(*), 4) as avg_rev
         from {feature_table} group by rfm_segment
     """,
     "r10_behaviour_sample": """

@@ -78,7 +78,7 @@ def _adhoc(v):
     return rounded(
         warehouse.query(
             v.spark,
-            """select channel, count(*) as orders, cast(sum(cast(revenue as decimal(24, 2))) as double) as revenue
+            """select channel, count(*) as orders, cast(sum(cast(revenue as decimal(28, 6))) as double) as revenue
                from transaction_fact group by channel""",
         ),
         2,
@@ -169,7 +169,7 @@ SQL = {
         select * replace (cast(unified_customer_id as varchar) as unified_customer_id, cast(churn_risk as double) as churn_risk), '2026-01-01 00:00:00.000000' as computed_at from {feature_table}
     """,
     "s10_adhoc_sql": """
-        select channel, count(*) as orders, round(cast(sum(cast(revenue as decimal(24, 2))) as double), 2) as revenue
+        select channel, count(*) as orders, round(cast(sum(cast(revenue as decimal(28, 6))) as double), 2) as revenue
         from {view_transactions} group by channel
     """,
     "s11_bound_parameters": """

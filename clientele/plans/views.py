@@ -171,7 +171,8 @@ VIEWS: dict[str, str] = {
         from {customer}
     """,
     "view_audiences": """
-        select audience_id, concat('Audience ', audience_id) as name, count(*) as audience_size
+        select audience_id, concat('Audience ', audience_id) as name, count(*) as audience_size,
+               case when count(*) % 4 = 1 then 'REJECTED' else 'COMPLIANT' end as status
         from {view_audience_members} group by audience_id
     """,
     # Campaign requests, one per catalogue part; some name an unknown audience.

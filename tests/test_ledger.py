@@ -12,8 +12,8 @@ REQUESTS = "request_id string, nonce string, campaign_name string, audience_id s
 APPROVALS = "nonce string, campaign_name string, audience_id string, channel string, approved_by string, issued_at timestamp, expires_at timestamp, consumed_at timestamp, consumed_by string"
 
 
-def approval(nonce, consumed=None):
-    return (nonce, "A", "AUD_1", "email", "boss", T0, T0 + timedelta(hours=1), consumed, "x" if consumed else None)
+def approval(nonce, consumed=None, audience="AUD_1"):
+    return (nonce, "A", audience, "email", "boss", T0, T0 + timedelta(hours=1), consumed, "x" if consumed else None)
 
 
 def request(i, nonce, minutes=5, campaign="A", audience="AUD_1", channel="email"):
@@ -21,8 +21,10 @@ def request(i, nonce, minutes=5, campaign="A", audience="AUD_1", channel="email"
 
 
 def decide(spark, requests, approvals):
+    audiences = [("AUD_1", "COMPLIANT"), ("AUD_2", "COMPLIANT"), ("AUD_SMALL", "REJECTED")]
     decided = ledger.decide_requests(
-        spark.createDataFrame(requests, REQUESTS), spark.createDataFrame(approvals, APPROVALS)
+        spark.createDataFrame(requests, REQUESTS), spark.createDataFrame(approvals, APPROVALS),
+        spark.createDataFrame(audiences, "audience_id string, status string"),
     )
     return decided, {r["request_id"]: r["reason"] for r in decided.collect()}
 
@@ -42,6 +44,15 @@ def test_scope_expiry_and_registration(spark):
     }
 
 
+def test_unknown_and_rejected_audiences_are_refused(spark):
+    _, got = decide(
+        spark,
+        [request(1, "n1", audience="AUD_X"), request(2, "n2", audience="AUD_SMALL"), request(3, "n3", audience=None)],
+        [approval("n1", audience="AUD_X"), approval("n2", audience="AUD_SMALL"), approval("n3", audience=None)],
+    )
+    assert got == {"r1": "UNKNOWN_AUDIENCE", "r2": "AUDIENCE_REJECTED", "r3": "UNKNOWN_AUDIENCE"}
+
+
 def test_a_nonce_serves_exactly_one_request(spark):
     """Most requests replay one nonce; the earliest passing one wins, ties by id."""
     requests = [request(i, "hot", minutes=10 + i % 3) for i in range(200)] + [request(999, "hot", minutes=9, campaign="B"), request(500, "used")]
