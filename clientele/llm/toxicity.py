@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from clientele.llm.tokens import slices, texts_of
 
 SAMPLE_ROWS, VOCABULARY, LEAST_SUPPORT, LEAST_CLARITY = 8_000, 4_096, 5, 4.0
-THRESHOLD, FAIRNESS, RIDGE, ROUNDS = 0.3, 4.0, 2e-3, 400
+THRESHOLD, FAIRNESS, RIDGE, ROUNDS = 0.3, 4.0, 1e-4, 400
 
 #: Lengths of word beginnings that are features of their own, and the number of feature names.
 BEGINNINGS, NAMES = (4, 6), 1 << 24
