@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
 
+# The date by which stored facts are laid out.
+DATE = "date_part"
+
+
+def dated(df: DataFrame, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Leave out the dates of a stored fact table before and after two moments, so that a scan skips them.
+
+    Frames without the date column pass as they are; the exact bounds stay with the caller.
+    """
+    if DATE in df.columns:
+        if low is not None:
+            df = df.where(F.col(DATE) >= F.to_date(low))
+        if high is not None:
+            df = df.where(F.col(DATE) <= F.to_date(high))
+    return df
+
 
 def amount(column: Column) -> Column:
     """The amount as a decimal of six places, far below a cent; null if it is no finite number."""

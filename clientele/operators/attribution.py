@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import MICROS_PER_DAY, amount, exact_sum, round_half_up
+from clientele.functions.columns import MICROS_PER_DAY, amount, dated, exact_sum, round_half_up
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.scratch import materialise
 
@@ -27,9 +27,11 @@ MODELS = ("first_touch", "last_touch", "linear", "time_decay")
 def in_window(touches: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Touches between two optional moments, both included; a bare date means its midnight."""
     if start:
-        touches = touches.where(F.col("event_timestamp") >= F.lit(start).cast("timestamp"))
+        first = F.lit(start).cast("timestamp")
+        touches = dated(touches, low=first).where(F.col("event_timestamp") >= first)
     if end:
-        touches = touches.where(F.col("event_timestamp") <= F.lit(end).cast("timestamp"))
+        last = F.lit(end).cast("timestamp")
+        touches = dated(touches, high=last).where(F.col("event_timestamp") <= last)
     return touches
 
 

@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import days_before, exact_sum, hash_bucket, round_half_up, whole_days
+from clientele.functions.columns import dated, days_before, exact_sum, hash_bucket, round_half_up, whole_days
 from clientele.operators.ranking import quantile_buckets
 from clientele.operators.rfm import CUSTOMER, NEVER
 from clientele.sources.scratch import materialise
@@ -88,9 +88,11 @@ def engagement_features(
     events: DataFrame, transactions: DataFrame, window_days: int = 180
 ) -> DataFrame:
     """Event counts up to the cutoff."""
+    cutoff = cutoff_date(transactions, window_days)
     return (
-        events.where(F.col(CUSTOMER).isNotNull())
-        .where(F.col("event_timestamp") <= cutoff_date(transactions, window_days))
+        dated(events, high=cutoff)
+        .where(F.col(CUSTOMER).isNotNull())
+        .where(F.col("event_timestamp") <= cutoff)
         .groupBy(CUSTOMER)
         .agg(
             F.count("event_id").cast("int").alias("total_events"),

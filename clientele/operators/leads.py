@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import days_after, days_before, exact_sum, hash_bucket, round_half_up, whole_days
+from clientele.functions.columns import dated, days_after, days_before, exact_sum, hash_bucket, round_half_up, whole_days
 from clientele.operators import evaluation
 from clientele.operators.cltv import assemble, deciles
 from clientele.operators.rfm import CUSTOMER, NEVER
@@ -65,7 +65,7 @@ def cutoff_date(
 
 def observed_events(events: DataFrame, cutoff: Column) -> DataFrame:
     """Events known at the cutoff."""
-    return events.where(F.col("event_timestamp") <= cutoff)
+    return dated(events, high=cutoff).where(F.col("event_timestamp") <= cutoff)
 
 
 def behaviour_features(events: DataFrame, cutoff: Column) -> DataFrame:

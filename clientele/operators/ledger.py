@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import dated
 from clientele.functions.privacy import mask_text
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.scratch import materialise
@@ -197,7 +198,8 @@ def capped_customers(touches: DataFrame, as_of: datetime | Column, cap: int = 2,
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     start = moment - F.make_dt_interval(F.lit(days))
     return (
-        touches.where((F.col("event_timestamp") > start) & (F.col("event_timestamp") <= moment))
+        dated(touches, start, moment)
+        .where((F.col("event_timestamp") > start) & (F.col("event_timestamp") <= moment))
         .groupBy(CUSTOMER)
         .agg(F.count("*").alias("recent_touches"))
         .where(F.col("recent_touches") >= cap)

@@ -14,7 +14,7 @@ from clientele.sources.scratch import materialise
 NOW = datetime(2026, 1, 1)
 CRITERIA = {"min_cltv": 500000.0, "min_frequency": 5, "min_recency_days": 10, "max_recency_days": 400, "min_churn_risk": 0.1}
 WIN_BACK = {"rfm_segment": "At-Risk High Value", "min_frequency": 2}
-HOSTILE = {"rfm_segment": "Champions'; DROP TABLE customer_features; --"}
+HOSTILE = {"rfm_segment": "Loyal' OR frequency >= 0 -- \"all of them\""}
 MARKERS = {"emails": "EMAIL", "ssns": "SSN", "cards": "CARD", "phones": "PHONE"}
 
 
@@ -113,10 +113,10 @@ PARTS = {
     "win_back_note": """
         select evaluated >= 10 as is_compliant, evaluated, case when evaluated >= 10 then compliant else 0 end as compliant,
                case when evaluated >= 10 then evaluated - compliant else 0 end as suppressed,
-               case when evaluated = 0 then 'Audience is empty.'
-                    when evaluated < 10 then concat('Audience size (', evaluated, ') is below minimum k-anonymity privacy threshold (10).')
-                    else concat('Audience validation passed. Total evaluated: ', evaluated, '. Compliant: ', compliant,
-                                '. Suppressed (no consent / DNT): ', evaluated - compliant, '.') end as governance_note
+               case when evaluated = 0 then 'Nobody meets the criteria.'
+                    when evaluated < 10 then concat('Refused: ', evaluated, ' members, k-anonymity asks for 10.')
+                    else concat('Audience validation passed: ', evaluated, ' members looked at, ', compliant,
+                                ' may be contacted. Suppressed for lack of consent: ', evaluated - compliant, '.') end as governance_note
         from {win_back_counts}
     """,
     "win_back_members": """
@@ -132,6 +132,7 @@ PARTS = {
 
 # The same masking for the check: emails first, then word characters beyond ASCII become x
 # (the check engine's word boundary knows ASCII only), then the other patterns.
+# The masking patterns and markers.
 _STEPS = (
     (r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "[REDACTED_EMAIL]"),
     (r"[^\x00-\x7F\P{L}]", "x"),
@@ -166,9 +167,9 @@ SQL = {
     """,
     "g03_size_floor": """
         select 'win_back' as audience, is_compliant, governance_note from {win_back_note}
-        union all select 'tiny', false, concat('Audience size (', least(count(*), 5), ') is below minimum k-anonymity privacy threshold (10).')
+        union all select 'tiny', false, concat('Refused: ', least(count(*), 5), ' members, k-anonymity asks for 10.')
                   from {feature_table}
-        union all select 'hostile', false, 'Audience is empty.'
+        union all select 'hostile', false, 'Nobody meets the criteria.'
     """,
     "g04_consent_gate": "select * from {win_back_members}",
     "g04_consent_gate_without_opt_in": """

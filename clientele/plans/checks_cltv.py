@@ -14,22 +14,41 @@ from clientele.plans.inputs import (
 )
 from clientele.sources.scratch import materialise
 
-# Fewer boosting rounds than the default of 100 keep the registered model queries short.
-ITERATIONS = 10
-
 
 def _deciles(v):
     return cltv.deciles(fixed_cltv(v), "predicted_cltv", "cltv_decile")
 
 
 def _model_metrics(v):
-    return cltv.train_and_evaluate(cltv_features(v), ITERATIONS)[1]
+    """What must hold of the metrics of any fitted model, and the size of the part they come from."""
+    features = materialise(cltv_features(v), "features")
+    metrics = cltv.train_and_evaluate(features)[1]
+    test = cltv.train_test(features).where("NOT is_train").agg(F.count("*")).scalar()
+    share = F.col("top_decile_actual_revenue_share_pct")
+    return metrics.select(
+        test.alias("test_customers"),
+        (F.col("mae") >= 0).alias("error_is_no_less_than_zero"),
+        (F.col("rmse") >= F.col("mae")).alias("rmse_is_no_less_than_mae"),
+        (F.col("r2") <= 1).alias("r2_is_at_most_one"),
+        share.between(0, 100).alias("share_is_a_percentage"),
+    )
 
 
 def _model_scores(v):
+    """Every customer with the split flag and what must hold of the fitted score."""
     split = materialise(cltv.train_test(cltv_features(v)), "cltv")
-    scored = cltv.predict(cltv.train(split, ITERATIONS), split)
-    return scored.select("unified_customer_id", round_half_up("raw_cltv", 2).alias("predicted_cltv"))
+    scored = materialise(cltv.predict(cltv.train(split), split), "scored")
+    rounded = scored.withColumn("predicted_cltv", round_half_up("raw_cltv", 2))
+    ranked = cltv.deciles(rounded, "predicted_cltv", "cltv_decile")
+    lowest = ranked.groupBy((F.col("cltv_decile") - 1).alias("cltv_decile")).agg(F.min("predicted_cltv").alias("_next"))
+    score = F.col("predicted_cltv")
+    return ranked.join(F.broadcast(lowest), "cltv_decile", "left").select(
+        "unified_customer_id",
+        "is_train",
+        (score >= 0).alias("not_negative"),
+        (F.abs(score - F.col("raw_cltv")) <= 0.005001).alias("rounds_the_prediction"),
+        (F.coalesce("_next", score) >= score).alias("in_decile_order"),
+    )
 
 
 QUERIES = {
@@ -68,6 +87,11 @@ QUERIES = {
 }
 
 PARTS = {
+    "cltv_split": """
+        select unified_customer_id,
+               cast(concat('0x', substr(md5(cast(unified_customer_id as varchar)), 1, 7)) as bigint) % 100 < 75 as is_train
+        from {view_customers}
+    """,
     "cltv_cutoff": "select max(order_timestamp) - interval 180 day as cutoff from {view_transactions}",
     "cltv_history": """
         select unified_customer_id, cast(count(distinct order_id) as int) as hist_orders,
@@ -128,10 +152,14 @@ SQL = {
     "c07_is_subscriber": """
         select unified_customer_id, cast(coalesce(subscription_status, '') = 'active' as int) as is_subscriber from {view_customers}
     """,
-    "c08_train_test_split": """
-        select unified_customer_id,
-               cast(concat('0x', substr(md5(cast(unified_customer_id as varchar)), 1, 7)) as bigint) % 100 < 75 as is_train
-        from {view_customers}
+    "c08_train_test_split": "select * from {cltv_split}",
+    "c09_boosted_regression": """
+        select (select count(*) from {cltv_split} where not is_train) as test_customers, true as error_is_no_less_than_zero,
+               true as rmse_is_no_less_than_mae, true as r2_is_at_most_one, true as share_is_a_percentage
+    """,
+    "c10_model_scores": """
+        select unified_customer_id, is_train, true as not_negative, true as rounds_the_prediction, true as in_decile_order
+        from {cltv_split}
     """,
     "c11_score_deciles": "select unified_customer_id, predicted_cltv, cltv_decile from {cltv_deciles}",
     "c12_regression_metrics": """

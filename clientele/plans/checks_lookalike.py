@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clientele.functions.columns import round_half_up
@@ -11,8 +12,6 @@ from clientele.sources.scratch import materialise
 
 SEED = "Champions"
 TOP_K = 50
-# Fewer boosting rounds than the default of 70 keep the registered model queries short.
-ITERATIONS = 10
 
 
 def _labelled(v):
@@ -28,8 +27,31 @@ def _fixed_prospects(v):
 
 def _similarity(v):
     labelled = materialise(_labelled(v), "seed")
-    scored = lookalike.similarity(lookalike.train(labelled, ITERATIONS), labelled)
-    return scored.select("unified_customer_id", "is_seed", round_half_up("raw_score", 4).alias("similarity_score"))
+    scored = materialise(lookalike.similarity(lookalike.train(labelled), labelled), "scored")
+    mean = scored.groupBy("is_seed").agg(F.avg("raw_score").alias("mean"))
+    means = {row["is_seed"]: row["mean"] for row in mean.collect()}  # one row per label
+    return scored.select(
+        "unified_customer_id",
+        "is_seed",
+        F.col("raw_score").between(0, 1).alias("is_a_probability"),
+        (F.abs(round_half_up("raw_score", 4) - F.col("raw_score")) <= 0.0000501).alias("rounds_the_score"),
+        F.lit(means[1] > means[0]).alias("seeds_score_higher"),
+    )
+
+
+def _audience(v):
+    """The chosen by position, with what must hold of each."""
+    features = materialise(feature_table(v), "features")
+    chosen = materialise(lookalike.generate(features, v["view_consent"], SEED, TOP_K)[0], "chosen")
+    seed = lookalike.seed_by_segment(features, SEED).withColumn("_seed", F.lit(True))
+    place = Window.orderBy(F.desc("similarity_score"), "unified_customer_id")  # TOP_K rows at most
+    marked = chosen.join(seed, "unified_customer_id", "left").join(v["view_consent"], "unified_customer_id", "left")
+    return marked.select(
+        F.row_number().over(place).cast("bigint").alias("position"),
+        F.col("_seed").isNull().alias("is_no_seed"),
+        (F.col("marketing_opt_in") & ~F.col("do_not_track")).alias("consents"),
+        F.col("similarity_score").between(0, 1).alias("is_a_probability"),
+    )
 
 
 def _summary(v):
@@ -44,9 +66,7 @@ QUERIES = {
     "k03_seed_status": lambda v: lookalike.seed_status(_labelled(v)),
     "k04_numeric_inputs": lambda v: lookalike.filled_inputs(_labelled(v)),
     "k05_seed_classifier": _similarity,
-    "k06_lookalike_audience": lambda v: lookalike.generate(
-        materialise(feature_table(v), "features"), v["view_consent"], SEED, TOP_K, ITERATIONS
-    )[0],
+    "k06_lookalike_audience": _audience,
     "k07_compliant_prospects": lambda v: rounded(
         _fixed_prospects(v).select("unified_customer_id", "raw_score")
     ),
@@ -83,6 +103,15 @@ SQL = {
                coalesce(cltv_decile, 0) as cltv_decile, coalesce(lead_score, 0.0) as lead_score, cast(churn_risk as double) as churn_risk
         from {feature_table}
     """,
+    "k05_seed_classifier": """
+        select unified_customer_id, cast(rfm_segment = 'Champions' as int) as is_seed, true as is_a_probability, true as rounds_the_score,
+               true as seeds_score_higher
+        from {feature_table}
+    """,
+    "k06_lookalike_audience": """
+        select position, true as is_no_seed, true as consents, true as is_a_probability
+        from (select row_number() over (order by unified_customer_id) as position from {prospects}) where position <= 50
+    """,
     "k07_compliant_prospects": "select unified_customer_id, round(raw_score, 6) as raw_score from {prospects}",
     "k08_top_prospects": "select * from {top_prospects}",
     "k09_lookalike_summary": """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Columns of the feeds and tables.
 FEEDS = {
     "entities": """entity_id string, first_name string, last_name string, email string, phone string,
         city string, country string, created_at timestamp, churn_propensity double, cltv_archetype string,

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientele.functions.columns import DATE
 from clientele.operators import identity
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.feeds import conform
 from clientele.sources.schemas import TABLES, struct
-from clientele.sources.scratch import materialise
 
 
 def query(spark: SparkSession, sql: str) -> DataFrame:
@@ -30,41 +29,76 @@ def register(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
+# The time by whose date a fact table is laid out.
+DATED = {
+    "transaction_fact": "order_timestamp",
+    "event_fact": "event_timestamp",
+    "campaign_touchpoint": "event_timestamp",
+}
+
+
 class Warehouse:
-    """The tables below one folder."""
+    """The tables below one folder.
+
+    A table is a folder of numbered versions.  A version counts once its write is committed (Spark's
+    ``_SUCCESS`` file), and the newest that counts is the table; a failing write leaves the table as
+    it was.  The version before the newest is kept for readers that have begun with it.  Fact tables
+    are laid out by date and sorted by time inside, and carry the date as a column to prune by.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root
 
+    def _versions(self, name: str) -> list[int]:
+        """The committed versions, oldest first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(path):
+            return []
+        folders = [status.getPath() for status in store.listStatus(path)]
+        marked = [f.getName() for f in folders if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+        return sorted(int(n.removeprefix("v")) for n in marked if n.startswith("v") and n[1:].isdigit())
+
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """The folder of the newest version."""
+        return f"{self.root}/{name}/v{self._versions(name)[-1]}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(struct(TABLES[name])).parquet(self.path(name))
+        schema = struct(TABLES[name])
+        if name in DATED:
+            schema = schema.add(DATE, "date")
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def ensure_tables(self) -> None:
         """Create the tables that do not exist yet, empty."""
         for name, ddl in TABLES.items():
-            try:
-                self.spark.read.parquet(self.path(name))
-            except AnalysisException:
-                self.spark.createDataFrame([], struct(ddl)).write.parquet(self.path(name))
-
-    def replace(self, name: str, df: DataFrame, staged: bool = True) -> DataFrame:
-        """Full refresh.  The new content is written to scratch first and copied from there.
+            if not self._versions(name):
+                self._write(name, self.spark.createDataFrame([], struct(ddl)), f"{self.root}/{name}/v0", "errorifexists")
 
-        So it may come from the table itself, and a failing computation leaves the table as
-        it was.  Loads of large tables from elsewhere may write once, with ``staged=False``.
-        """
+    def _write(self, name: str, df: DataFrame, path: str, mode: str) -> None:
         rows = conform(df, TABLES[name])
-        if staged:
-            rows = materialise(rows, name)
-        rows.write.mode("overwrite").parquet(self.path(name))
+        if name not in DATED:
+            rows.write.mode(mode).parquet(path)
+            return
+        stamp = DATED[name]
+        # Rebalancing brings a date together and still splits a date that holds a large share of the rows.
+        dated = rows.withColumn(DATE, F.to_date(stamp)).hint("rebalance", DATE).sortWithinPartitions(DATE, stamp)
+        dated.write.mode(mode).partitionBy(DATE).parquet(path)
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        """Full refresh as a new version; the content may come from the table itself."""
+        versions = self._versions(name)
+        number = versions[-1] + 1 if versions else 0
+        # A version without its mark is what a failed write has left.
+        self._write(name, df, f"{self.root}/{name}/v{number}", "overwrite")
+        for old in versions[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v{old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return self.read(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        conform(df, TABLES[name]).write.mode("append").parquet(self.path(name))
+        self._write(name, df, self.path(name), "append")
         return self.read(name)
 
     def register_all(self, names: list[str]) -> None:
@@ -113,5 +147,5 @@ def load_feeds(
     warehouse.replace("customer_profile", profile_rows(feeds["entities"], mapping, now))
     warehouse.replace("identity_map", identity.identity_map(resolved).withColumn("created_at", stamp))
     for table, feed in FACTS.items():
-        warehouse.replace(table, fact_rows(feeds[feed], mapping, table), staged=False)
+        warehouse.replace(table, fact_rows(feeds[feed], mapping, table))
     warehouse.replace("consent_preference", consent_rows(feeds["consents"], mapping))

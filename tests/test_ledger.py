@@ -94,7 +94,7 @@ def test_holdout_has_the_exact_size_and_is_stable(spark, n, fraction, control):
 
 
 def test_small_audiences_are_refused(spark):
-    with pytest.raises(ValueError, match="too small"):
+    with pytest.raises(ValueError, match="too few"):
         experiment.assign_arms(spark.range(19).withColumnRenamed("id", "unified_customer_id"), "E")
 
 

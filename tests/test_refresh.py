@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from clientele.operators import attribution
+from clientele.operators import attribution, cltv, experiment, leads, ledger
 from clientele.plans.checks_sources import FEED_VIEWS
 from clientele.plans.refresh import refresh
 from clientele.plans.views import Views
@@ -59,3 +59,29 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert scratch.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
     table = scratch.materialise(spark.range(3).withColumn("t", F.lit(datetime(2024, 1, 1))), "probe")
     assert table.count() == 3 and "range" not in table._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_scans_skip_dates_outside_the_bounds(refreshed):
+    warehouse = refreshed[1]
+    events, touches, orders = (warehouse.read(t) for t in ("event_fact", "campaign_touchpoint", "transaction_fact"))
+    moment = datetime(2024, 1, 10)
+    members = warehouse.read("customer_profile").select("unified_customer_id", F.lit("control").alias("arm"))
+    bounded = {
+        "window": attribution.in_window(touches, "2024-01-08", "2024-01-20"),
+        "observed": leads.observed_events(events, F.lit(moment)),
+        "engaged": cltv.engagement_features(events, orders, 150),
+        "capped": ledger.capped_customers(touches, moment),
+        "outcomes": experiment.arm_outcomes(members, orders, moment),
+    }
+    for name, frame in bounded.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert any("date_part" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]), name
+
+
+def test_a_failing_replacement_leaves_the_table(spark, refreshed):
+    warehouse = refreshed[1]
+    before = warehouse.read("customer_profile").count()
+    broken = warehouse.read("customer_profile").withColumn("city", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        warehouse.replace("customer_profile", broken)
+    assert warehouse.read("customer_profile").count() == before
