@@ -41,6 +41,35 @@ def upsert_approvals(registry: DataFrame, issued: DataFrame) -> DataFrame:
     return newest.select("nonce", "_newest.*").select(*APPROVAL_COLUMNS)
 
 
+def newest_approvals(issued: DataFrame) -> DataFrame:
+    """The newest approval of every nonce in an append-only list."""
+    fields = [F.col(name) for name in APPROVAL_COLUMNS if name != "nonce"]
+    order = F.struct("issued_at", "expires_at", "approved_by")
+    newest = issued.groupBy("nonce").agg(F.max_by(F.struct(*fields), order).alias("_newest"))
+    return newest.select("nonce", "_newest.*").select(*APPROVAL_COLUMNS)
+
+
+def with_claims(registry: DataFrame, claims: DataFrame) -> DataFrame:
+    """The registry with the earliest claim since its issue as the consumption of each approval."""
+    issued = registry.select("nonce", "issued_at")
+    first = (
+        claims.join(issued, "nonce")
+        .where(F.col("requested_at") >= F.col("issued_at"))
+        .groupBy("nonce")
+        .agg(F.min(F.struct("requested_at", "request_id", "requested_by")).alias("_claim"))
+    )
+    return registry.join(first, "nonce", "left").select(
+        *[c for c in APPROVAL_COLUMNS if not c.startswith("consumed")],
+        F.coalesce("consumed_at", "_claim.requested_at").alias("consumed_at"),
+        F.coalesce("consumed_by", "_claim.requested_by").alias("consumed_by"),
+    )
+
+
+def claims(decided: DataFrame) -> DataFrame:
+    """What the successful requests claim."""
+    return decided.where(F.col("status") == "SUCCESS").select("nonce", "request_id", "requested_by", "requested_at")
+
+
 def draft_campaigns(
     requests: DataFrame, audiences: DataFrame, ttl_minutes: int = 60
 ) -> DataFrame:

@@ -1,0 +1,57 @@
+"""The claims on approvals: an append-only list with one atomic step per batch.
+
+A batch of claims is written as a folder of its own and then committed by creating the next numbered
+commit file, which fails when another caller has created it.  Whoever loses reads the claims anew and
+decides again, so two callers that start from the same state cannot both claim one approval.  The
+store has to create a file exclusively, as HDFS and most object stores do.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
+
+from clientele.sources.schemas import struct
+
+CLAIM = "nonce string, request_id string, requested_by string, requested_at timestamp"
+
+
+class ClaimLog:
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark = spark
+        self.root = root
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _store(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def read(self) -> tuple[DataFrame, int]:
+        """All committed claims, and the number of commits they come from."""
+        store, folder = self._store(), self._path("commits")
+        names = sorted(s.getPath().getName() for s in store.listStatus(folder)) if store.exists(folder) else []
+        # A commit file is named by its number and the folder of its claims.
+        batches = [self.spark.read.text(f"{self.root}/commits/{n}").first()[0] for n in names if n.isdigit()]
+        if not batches:
+            return self.spark.createDataFrame([], struct(CLAIM)), 0
+        return self.spark.read.schema(struct(CLAIM)).parquet(*[f"{self.root}/{b}" for b in batches]), len(batches)
+
+    def commit(self, claims: DataFrame, number: int) -> bool:
+        """Add a batch after ``number`` commits; False when another batch has come first."""
+        batch = f"batch-{uuid.uuid4().hex}"
+        claims.write.parquet(f"{self.root}/{batch}")
+        store = self._store()
+        store.mkdirs(self._path("commits"))
+        try:
+            out = store.create(self._path(f"commits/{number:010d}"), False)
+        except Py4JJavaError as refusal:
+            if "FileAlreadyExists" not in str(refusal.java_exception.getClass().getName()):
+                raise
+            store.delete(self._path(batch), True)
+            return False
+        out.write(bytearray(batch.encode()))
+        out.close()
+        return True
