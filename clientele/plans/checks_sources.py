@@ -12,6 +12,7 @@ from clientele.operators import identity
 from clientele.plans.checks_identity import resolved
 from clientele.plans.inputs import feature_table, flags_as_text, plain, rounded
 from clientele.sources import feeds, warehouse
+from clientele.sources.schemas import FEEDS
 from clientele.sources.scratch import checkpoint_root
 
 # Fixed value: the load time of the registered queries.
@@ -31,22 +32,36 @@ def _folder(v, name):
     return f"{checkpoint_root(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _as_text(name, kind):
+    """A value as text that both engines write alike."""
+    if kind == "timestamp":
+        return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if kind == "double":
+        return F.when(F.isnan(name), "NaN").otherwise(F.col(name).try_cast("decimal(28,6)").cast("string"))
+    return F.col(name).cast("string")
+
+
 def _raw_feeds(v):
-    """Write the feeds as folders, read them back with their schemas, and count them."""
+    """Write the feeds as folders, read them back with their schemas, and describe every column by value."""
     root = _folder(v, "feeds")
     for name, view in FEED_VIEWS.items():
         v[view].write.parquet(f"{root}/{name}")
-    entity = {"identities": "canonical_entity_id"}
-    counted = [
-        df.agg(
-            F.lit(name).alias("feed"),
-            F.count("*").alias("rows"),
-            F.countDistinct(entity.get(name, "entity_id")).alias("entities"),
-            F.lit(len(df.columns)).alias("columns"),
-        )
-        for name, df in feeds.read_feeds(v.spark, root).items()
-    ]
-    return reduce(lambda left, right: left.unionByName(right), counted)
+
+    def described(feed, df):
+        columns = [
+            F.struct(
+                F.lit(feed).alias("feed"), F.lit(name).alias("column_name"), F.lit(kind).alias("kind"), F.count("*").alias("rows"),
+                F.count(name).alias("known"), F.countDistinct(_as_text(name, kind)).alias("values"),
+                F.min(_as_text(name, kind)).alias("least"), F.max(_as_text(name, kind)).alias("greatest"),
+            )
+            for name, kind in df.dtypes
+        ]
+        return df.agg(F.array(*columns).alias("columns")).select(F.inline("columns"))
+
+    return reduce(
+        lambda left, right: left.unionByName(right),
+        [described(name, df) for name, df in feeds.read_feeds(v.spark, root).items()],
+    )
 
 
 def _mapping(v):
@@ -121,23 +136,29 @@ QUERIES = {
 _STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f') as {0}"
 
 
-def _counts(feed: str, view: str, columns: int, entity: str = "entity_id") -> str:
-    return f"""
-        select '{feed}' as feed, count(*) as rows, count(distinct {entity}) as entities, {columns} as columns from {{{view}}}
-    """
+# Columns of the feeds that the derived views do not have; they are read as nulls.
+_ABSENT = {"entities": ("churn_propensity", "cltv_archetype", "preferred_channel"), "identities": ("created_at",)}
+
+
+def _described(feed: str) -> list[str]:
+    """One row per column of a feed: kind, known and distinct values, least and greatest."""
+    texts = []
+    for name, kind in (field.split() for field in FEEDS[feed].split(",")):
+        text = {
+            "timestamp": f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f')",
+            "double": f"case when isnan({name}) then 'NaN' else cast(try_cast({name} as decimal(28, 6)) as varchar) end",
+        }.get(kind, f"cast({name} as varchar)")
+        if name in _ABSENT.get(feed, ()):
+            text = "cast(null as varchar)"
+        texts.append(f"""
+            select '{feed}' as feed, '{name}' as column_name, '{kind}' as kind, count(*) as rows, count({text}) as known,
+                   count(distinct {text}) as values, min({text}) as least, max({text}) as greatest from {{{FEED_VIEWS[feed]}}}
+        """)
+    return texts
 
 
 SQL = {
-    "s01_raw_feeds": " union all ".join(
-        [
-            _counts("entities", "view_entities", 12),
-            _counts("identities", "view_identities", 6, "canonical_entity_id"),
-            _counts("transactions", "feed_transactions", 8),
-            _counts("events", "feed_events", 7),
-            _counts("touchpoints", "feed_touchpoints", 8),
-            _counts("consents", "feed_consents", 6),
-        ]
-    ),
+    "s01_raw_feeds": " union all ".join(text for feed in FEED_VIEWS for text in _described(feed)),
     "s02_unified_ids_on_feed": """
         select touchpoint_id, entity_id, unified_customer_id from {feed_touchpoints} left join {id_unified} using (entity_id)
     """,
