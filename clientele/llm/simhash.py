@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.tokens import slices, texts_of
+from clientele.llm.tokens import forget, slices, texts_of
 from clientele.operators.components import components
 from clientele.operators.ranking import range_partitions
 from clientele.sources.scratch import discard, materialise
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp)`` of whole texts, one row per input row; ``fp`` is a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "text"):
             found = [fingerprint(text, words) for text in texts_of(batch)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])

@@ -71,6 +71,11 @@ def stretch_encoder(path: str, leading_blank: bool) -> StretchEncoder:
     return StretchEncoder(path, leading_blank)
 
 
+def forget() -> None:
+    """Drop the encoders: a worker serves many stages, and what one remembers is memory the next one lacks."""
+    stretch_encoder.cache_clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, characters: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of about so many bytes of text, so that memory stays bounded."""
     for batch in batches:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.tokens import slices, texts_of
+from clientele.llm.tokens import forget, slices, texts_of
 
 SAMPLE_ROWS, VOCABULARY, LEAST_SUPPORT, LEAST_CLARITY = 8_000, 4_096, 5, 4.0
 THRESHOLD, FAIRNESS, RIDGE, ROUNDS = 0.3, 4.0, 1e-4, 400
@@ -76,7 +76,7 @@ class _Features(dict):
         self._chosen = chosen
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = word_features(word)
         if self._chosen is not None:
@@ -210,6 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **
     chosen = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = _Features()
         for batch in slices(batches, "text"):
             numbers = [np.array(sorted(known.of(text)), "<i4").tobytes() for text in texts_of(batch)]
@@ -234,6 +235,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def _scorer(model: Model) -> Callable[[Column], Column]:
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         one = model.scorer()
         for texts in batches:
             yield texts.map(lambda text: one(text or ""))
