@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
 BASE: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: One word of each base phrase.
+BASE_KEYWORDS = {"cc", "general", "reserved"}
 
 #: Weight of a kept detection by rank.
 WEIGHTS = {1: 1.0, 2: 0.75, 3: 0.25}
@@ -214,7 +216,8 @@ _DETECTION = "array<struct<first:bigint,back:bigint,rank:int,label:string>>"
 
 
 def _keywords(table: list[Rule]) -> list[str]:
-    return sorted({r.keyword for r in table})
+    """Keywords of the rules, and of the base phrases whatever the rules are."""
+    return sorted({r.keyword for r in table} | BASE_KEYWORDS)
 
 
 def _by_keyword(table: list[Rule]) -> Column:
