@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.tokens import stretch_encoder, slices, texts_of
+from clientele.llm.tokens import slices, stretch_encoder, texts_of, with_end
 from clientele.sources.scratch import materialise
 
 CAPACITY = 2048
@@ -44,26 +44,25 @@ def pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = stretch_encoder(tokenizer, leading_blank), np.uint32(end_id).astype("<u4").tobytes()
-        step = 4 * capacity
+        encoder = stretch_encoder(tokenizer, leading_blank)
         for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(7)]
-            encoded = encoder.encode(texts_of(batch))
-            for doc, row, body in zip(
-                batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), encoded, strict=True
-            ):
-                ids = body + end
-                for number, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    values = (doc, row, number, at // 4, len(part) // 4, zlib.crc32(part), part)
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            ids, starts = with_end(*encoder.flat(texts_of(batch)), end_id)
+            sizes = np.diff(starts)
+            count = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), count)
+            number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            begin = number * capacity
+            length = np.minimum(sizes[doc] - begin, capacity)
+            joined, at = memoryview(ids.astype("<u4").tobytes()), 4 * (starts[doc] + begin)
+            parts = [joined[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            columns = [
+                batch.column("doc_id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(number, pa.int32()),
+                pa.array(begin, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(part) for part in parts], pa.int64()),
+            ]
+            if with_ids:
+                columns.append(pa.array([bytes(part) for part in parts], pa.binary()))
             names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"]
-            width = 7 if with_ids else 6
-            yield pa.record_batch(
-                [pa.array(v, k) for v, k in zip(out[:width], kinds, strict=False)], names=names[:width]
-            )
+            yield pa.record_batch(columns, names=names[: len(columns)])
 
     source = docs.select(
         F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string")

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm import (
-    bpe, cross_polytope, licenses, packing, passages, preferences, simhash, token_store, toxicity, vector_links,
+    alignment, bpe, checks, contamination, cross_polytope, divergence, licenses, packing, passages, preferences, simhash,
+    token_store, toxicity, vector_links,
 )
 from clientele.sources.scratch import scratch_path
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.align_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: build for name, build in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()
 }
@@ -194,7 +212,12 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base
 from d left join per_base using (r) left join per_label using (r) left join per_rank using (r)"""
 
 
-SQL: dict[str, str] = {"op3_preferences": _preference_sql(), "op9_licenses": _license_sql()}
+SQL: dict[str, str] = {
+    "op3_preferences": _preference_sql(),
+    "op9_licenses": _license_sql(),
+    "op12_contamination": checks.contamination_sql(),
+    "op13_divergence": checks.divergence_sql(),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,7 @@
 """Token ids on disk: one zstandard frame per document behind a shared trained dictionary.
 
 A store is a folder of a dictionary, shard files and a manifest.  Shards hold the documents in
-ascending id order, repeats by text, ids that are null first.  A shard file is, little-endian:
+ascending id order, repeats by a hash of their token ids, ids that are null first.  A shard file is, little-endian:
 
     magic "TOKZ0001", SHA-256 of the dictionary (32 bytes), bytes per id (1 byte)
     one zstandard frame per document, of its ids as unsigned integers of that width
@@ -25,18 +25,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm.tokens import stretch_encoder, slices, texts_of
+from clientele.llm.tokens import StretchEncoder, forget, slices, stretch_encoder, texts_of, with_end
 from clientele.operators.ranking import range_partitions
+from clientele.sources.scratch import discard, materialise
 
 #: The dictionary is trained on at most so many documents of at most so many characters, those of
 #: the smallest id hash: short documents are what it is for.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, DICTIONARY_BYTES = 2_000, 16_384, 65_536
+#: Bytes of ids a shard is meant for; a store has at least as many shards as a shuffle has partitions.
+SHARD_BYTES = 1 << 28
 
 _MAGIC = b"TOKZ0001"
 _HEADER = len(_MAGIC) + 32 + 1
@@ -71,7 +75,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     texts = short.join(keys, "doc_id", "left_semi").select("text")
     rows = texts.orderBy(F.xxhash64("text")).limit(SAMPLE_DOCUMENTS).collect()
     encoder = stretch_encoder(tokenizer, leading_blank=True)
-    samples = [_serialised(ids, end_id, width) for ids in encoder.encode([row["text"] for row in rows])]
+    samples = _serialised(encoder, [row["text"] for row in rows], end_id, width)
     if not samples:
         return b""
     try:
@@ -80,8 +84,23 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def _serialised(ids: bytes, end_id: int, width: int) -> bytes:
-    return np.append(np.frombuffer(ids, "<u4"), end_id).astype(f"<u{width}").tobytes()
+def _serialised(encoder: StretchEncoder, texts: Sequence[str], end_id: int, width: int) -> list[bytes]:
+    """The ids of each text and the end id, little-endian."""
+    ids, starts = with_end(*encoder.flat(texts), end_id)
+    joined, at = ids.astype(f"<u{width}").tobytes(), (width * starts).tolist()
+    return [joined[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _encoded(source: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    """``(doc_id, ids)``: serialized ids of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = stretch_encoder(tokenizer, leading_blank=True)
+        for batch in slices(batches, "text"):
+            found = _serialised(encoder, texts_of(batch), end_id, width)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+
+    return source.mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def write_store(
@@ -103,39 +122,49 @@ def write_store(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name, mark = f"shard-{task.partitionId():05d}", f"attempt-{task.taskAttemptId()}"
-        encoder = stretch_encoder(tokenizer, leading_blank=True)
+        forget()
         compressor = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
-        index: list[tuple] = []
+        index: list[np.ndarray] = []
         total = 0
 
         def body() -> Iterator[bytes]:
             nonlocal total
             yield _MAGIC + bytes.fromhex(digest) + bytes([width])
             offset = _HEADER
-            for batch in slices(batches, "text"):
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch)), strict=True):
-                    frame = compressor.compress(_serialised(ids, end_id, width))
-                    index.append((doc is not None, doc or 0, offset, len(frame), total))
-                    offset += len(frame)
-                    total += len(ids) // 4 + 1
-                    yield frame
-            table = np.array(index, _INDEX)
+            for batch in slices(batches, "ids"):
+                frames = [compressor.compress(ids.as_buffer()) for ids in batch.column("ids")]
+                counts = pc.binary_length(batch.column("ids")).to_numpy() // width
+                sizes = np.array([len(frame) for frame in frames])
+                entries = np.zeros(len(frames), _INDEX)
+                entries["known"] = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                entries["doc_id"] = pc.fill_null(batch.column("doc_id"), 0).to_numpy()
+                entries["offset"], entries["bytes"] = offset + np.cumsum(sizes) - sizes, sizes
+                entries["before"] = total + np.cumsum(counts) - counts
+                index.append(entries)
+                offset, total = offset + int(sizes.sum()), total + int(counts.sum())
+                yield b"".join(frames)
+            table = np.concatenate([np.zeros(0, _INDEX), *index])
             yield table.tobytes() + np.array([offset, len(table), total], "<u8").tobytes()
 
         out, at = _place(folder)
         _put(out, f"{at}/{name}", body(), mark)
         if index:
-            known = [row[1] for row in index if row[0]]
+            table = np.concatenate(index)
+            known = table["doc_id"][table["known"] == 1]
             yield pa.RecordBatch.from_pylist(
-                [{"shard": task.partitionId(), "file": name, "documents": len(index), "tokens": total,
-                  "first_id": known[0] if known else None, "last_id": known[-1] if known else None}],
+                [{"shard": task.partitionId(), "file": name, "documents": len(table), "tokens": total,
+                  "first_id": int(known[0]) if len(known) else None, "last_id": int(known[-1]) if len(known) else None}],
                 pa.schema([("shard", pa.int32()), ("file", pa.string()), ("documents", pa.int64()),
                            ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]),
             )
 
-    parts = shards or range_partitions(spark)
-    ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Written before it is dealt by range, which reads its input twice; ids are smaller than texts.
+    encoded = materialise(_encoded(source, tokenizer, end_id, width).withColumn("tie", F.xxhash64("ids")), "encoded")
+    size = encoded.agg(F.sum(F.octet_length("ids")).alias("bytes")).first()["bytes"] or 0
+    parts = shards or max(range_partitions(spark), -(-size // SHARD_BYTES))
+    ordered = encoded.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     written = sorted(ordered.mapInArrow(write, _SHARD).collect(), key=lambda row: row["shard"])
+    discard(encoded)
     manifest = {"dictionary_sha256": digest, "end_id": end_id, "id_bytes": width, "shards": []}
     before = 0
     for row in written:
