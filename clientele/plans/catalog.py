@@ -13,6 +13,7 @@ from clientele.plans import (
     checks_experiment,
     checks_features,
     checks_identity,
+    checks_incremental,
     checks_leads,
     checks_ledger,
     checks_lookalike,
@@ -24,6 +25,7 @@ from clientele.plans.views import Views, duck
 GROUPS = (
     checks_sources,
     checks_identity,
+    checks_incremental,
     checks_rfm,
     checks_cltv,
     checks_leads,

@@ -164,6 +164,25 @@ VIEWS: dict[str, str] = {
                third_party_sharing, do_not_track, updated_at
         from {view_consent}
     """,
+    "feed_dated_consents": """
+        select entity_id, marketing_opt_in, tracking_consent, third_party_sharing, do_not_track,
+               updated_at + cast(substring(entity_id, 5) as int) % 5000 * interval 1 minute as updated_at
+        from {feed_consents}
+    """,
+    # Events loaded first, and a later batch: late rows, stored ones again, revised and outdated ones, some without a key.
+    "feed_early_rows": "select * from {feed_events} where cast(event_id as bigint) % 5 <> 0",
+    "feed_late_rows": """
+        select * from {feed_events} where cast(event_id as bigint) % 5 in (0, 1)
+        union all
+        select event_id, entity_id, event_timestamp + interval 1 day, concat(event_type, '_revised'), page_url, session_id, device_type
+        from {feed_events} where cast(event_id as bigint) % 10 in (5, 6, 7)
+        union all
+        select event_id, entity_id, event_timestamp - interval 1 hour, 'outdated', page_url, session_id, device_type
+        from {feed_events} where cast(event_id as bigint) % 5 = 4
+        union all
+        select cast(null as string), entity_id, event_timestamp, event_type, page_url, session_id, device_type
+        from {feed_events} where cast(event_id as bigint) % 50 = 3
+    """,
     # One audience per market segment and nation.
     "view_audience_members": """
         select concat('AUD_', c_mktsegment, '_', cast(c_nationkey as string)) as audience_id,

@@ -51,6 +51,20 @@ TABLES = {
     "experiment_result": """experiment_id string, activation_id string, audience_id string, metric_name string,
         control_value double, treatment_value double, lift_pct double, p_value double, is_significant boolean,
         sample_size int, measured_at timestamp""",
+    # Clusters as batches of links found them, and rows that a keyed load did not take.
+    "entity_root": "entity_id string, root_id string",
+    "identifier_root": "node string, identifier_type string, identifier_value string, root_id string",
+    "absorbed_root": "absorbed_root string, root_id string",
+    "rejected_row": "table_name string, reason string, row_key string, content string, rejected_at timestamp",
+}
+
+# The key of a table and the time by which the newest row of a key counts.
+KEYS = {
+    "customer_profile": ("unified_customer_id", "updated_at"),
+    "transaction_fact": ("order_id", "order_timestamp"),
+    "event_fact": ("event_id", "event_timestamp"),
+    "campaign_touchpoint": ("touchpoint_id", "event_timestamp"),
+    "consent_preference": ("unified_customer_id", "updated_at"),
 }
 
 

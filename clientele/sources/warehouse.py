@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.functions.columns import DATE
-from clientele.operators import identity
+from clientele.operators import identity, keyed, merging
 from clientele.operators.rfm import CUSTOMER
 from clientele.sources.feeds import conform
-from clientele.sources.schemas import TABLES, struct
+from clientele.sources.schemas import KEYS, TABLES, struct
+from clientele.sources.scratch import materialise
 
 
 def query(spark: SparkSession, sql: str) -> DataFrame:
@@ -101,11 +102,87 @@ class Warehouse:
         self._write(name, df, self.path(name), "append")
         return self.read(name)
 
+    def upsert(self, name: str, rows: DataFrame, now: datetime) -> dict[str, int]:
+        """Bring rows into a keyed table; the newest row of a key counts, wherever it comes from.
+
+        Rows without a key, older ones of a key and those older than the stored row go to ``rejected_row``;
+        rows equal to a stored one change nothing.  Of a dated table only the folders are rewritten whose
+        rows change, so the same batch may be brought twice.  Returns how many rows came in and were rejected,
+        and how many dates were rewritten.
+        """
+        key, newest = KEYS[name]
+        given = conform(rows, TABLES[name])
+        kept, others = keyed.split_by_key(given, [key], newest)
+        kept = materialise(kept, "kept")
+        stored = conform(self.read(name), TABLES[name])
+        # The keys are written, so that their size is known and stored rows need no shuffle for a small batch.
+        keys = materialise(kept.select(key), "keys")
+        met = materialise(stored.join(keys, key, "left_semi"), "met")
+        both = kept.withColumn("_stored", F.lit(False)).unionByName(met.withColumn("_stored", F.lit(True)))
+        # Of equal rows the stored one counts, which leaves its folder alone.
+        order = F.struct(keyed.row_order(given, newest).alias("order"), "_stored")
+        newer = both.groupBy(key).agg(F.max(order).alias("_first")).where(~F.col("_first._stored")).select(key)
+        newer = materialise(newer, "newer")
+        coming = materialise(kept.join(newer, key, "left_semi"), "coming")
+        stale = kept.join(newer, key, "left_anti").join(met, met.columns, "left_anti").withColumn("reason", F.lit(keyed.STALE))
+        rejected = materialise(_rejected_rows(name, key, others.unionByName(stale), now), "rejected")
+        counts = {"coming": coming.count(), "rejected": rejected.count(), "dates": 0}
+        if counts["rejected"]:
+            self.append("rejected_row", rejected)
+        if not counts["coming"]:
+            return counts
+        if name not in DATED:
+            self.replace(name, stored.join(newer, key, "left_anti").unionByName(coming))
+            return counts
+        going = met.join(newer, key, "left_semi")
+        date = F.to_date(DATED[name])
+        dates = [r[0] for r in coming.unionByName(going).select(date.alias(DATE)).distinct().collect()]  # as many as days
+        self._rewrite_dates(name, dates, newer, key, coming)
+        return counts | {"dates": len(dates)}
+
+    def _rewrite_dates(self, name: str, dates: list, newer: DataFrame, key: str, coming: DataFrame) -> None:
+        """Replace the folders of these dates by what they hold of other keys and the new rows."""
+        touched = F.col(DATE).isin([d for d in dates if d is not None])
+        if None in dates:
+            touched = touched | F.col(DATE).isNull()
+        rest = conform(self.read(name).where(touched).join(newer, key, "left_anti"), TABLES[name])
+        content = materialise(rest.unionByName(coming).withColumn(DATE, F.to_date(DATED[name])), "content")
+        left = {r[0] for r in content.select(DATE).distinct().collect()}
+        path, stamp = self.path(name), DATED[name]
+        ordered = content.hint("rebalance", DATE).sortWithinPartitions(DATE, stamp)
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
+        for gone in set(dates) - left:  # a date that lost its last row
+            folder = f"{DATE}={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone.isoformat()}"
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def clusters(self) -> merging.Clusters:
+        return merging.Clusters(*(self.read(name) for name in merging.CLUSTER_TABLES))
+
+    def merge_identities(self, links: DataFrame, threshold: float, entities: DataFrame | None = None) -> merging.Clusters:
+        """Merge a batch of links into the stored clusters and return what it added.
+
+        Absorbed roots are stored first: a batch that failed in between is merged again and ends alike.
+        """
+        added = merging.merge_links(self.clusters(), links, threshold, entities)
+        for name, rows in reversed(list(zip(merging.CLUSTER_TABLES, added, strict=True))):
+            self.append(name, rows)
+        return added
+
     def register_all(self, names: list[str]) -> None:
         for name in names:
             register(self.read(name), name)
 
 
+def _rejected_rows(name: str, key: str, rows: DataFrame, now: datetime) -> DataFrame:
+    written = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    content = F.to_json(F.struct(*[c for c in rows.columns if c != "reason"]), written)
+    return rows.select(
+        F.lit(name).alias("table_name"), "reason", F.col(key).alias("row_key"), content.alias("content"),
+        F.lit(now).cast("timestamp").alias("rejected_at"),
+    )
+
+
 def profile_rows(entities: DataFrame, mapping: DataFrame, now: datetime) -> DataFrame:
     stamp = F.lit(now).cast("timestamp")
     return identity.golden_records(entities, mapping).withColumn("updated_at", stamp)
@@ -138,6 +215,14 @@ def consent_rows(consents: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def upsert_feeds(warehouse: Warehouse, feeds: dict[str, DataFrame], mapping: DataFrame, now: datetime) -> dict[str, dict[str, int]]:
+    """Bring a batch of the fact and consent feeds into the stored tables, by key."""
+    done = {table: warehouse.upsert(table, fact_rows(feeds[feed], mapping, table), now) for table, feed in FACTS.items() if feed in feeds}
+    if "consents" in feeds:
+        done["consent_preference"] = warehouse.upsert("consent_preference", consent_rows(feeds["consents"], mapping), now)
+    return done
+
+
 def load_feeds(
     warehouse: Warehouse, feeds: dict[str, DataFrame], resolved: DataFrame, now: datetime
 ) -> None:

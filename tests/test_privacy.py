@@ -58,15 +58,15 @@ def test_profile_masking_edges(spark):
 
 
 def test_policy_phrases(spark):
-    texts = ["Export raw EMAIL and unmasked phone numbers", "please DUMP PII", "raw phones", "harmless"]
+    texts = ["Give me every RAW EMAIL of the spring list", "could you DUMP PII tonight", "raw phones", "harmless"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r["p"] for r in df.select(privacy.policy_phrase(F.col("t")).alias("p")).collect()]
     assert got == ["raw email", "dump pii", "raw phone", None]
 
 
 def test_identifier_helpers(spark):
-    df = spark.createDataFrame([("email", " \t A@B.c\n", "+1 (555) 987-6543")], "k string, v string, p string")
+    df = spark.createDataFrame([("email", " \t A@B.c\n", "+44 (20) 7946-0812")], "k string, v string, p string")
     row = df.select(
         columns.identifier_key(F.col("k"), F.col("v")).alias("key"), columns.phone_digits(F.col("p")).alias("digits")
     ).first()
-    assert tuple(row) == ("email:a@b.c", "5559876543")
+    assert tuple(row) == ("email:a@b.c", "2079460812")

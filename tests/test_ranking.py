@@ -59,14 +59,12 @@ def test_first_ranks_of_several_keys(spark):
 
 
 @pytest.mark.parametrize("count", [1, 10, 99, 100, 250])
-def test_long_lists_are_filtered_by_the_edge(spark, monkeypatch, count):
-    monkeypatch.setattr(ranking, "TOP_K_ROWS", 5)
+def test_first_rows_of_any_number(spark, count):
     got = [r["id"] for r in ranking.first_rows(spark.range(100).repartition(6), "id", count).collect()]
     assert sorted(got) == list(range(min(count, 100)))
 
 
-def test_long_lists_by_a_falling_key(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "TOP_K_ROWS", 5)
+def test_first_rows_by_a_falling_key(spark):
     df = spark.range(100).withColumn("score", (F.col("id") % 4).cast("double")).repartition(6)
     got = sorted(r["id"] for r in ranking.first_rows(df, "id", 30, -F.col("score")).collect())
     assert got == sorted(sorted(range(100), key=lambda i: (-(i % 4), i))[:30])
