@@ -36,6 +36,8 @@ from clientele.sources.scratch import discard, materialise
 
 #: Counts in one piece of a vector, and vectors summed by one task of the tree.
 PIECE, FAN = 1 << 16, 16
+#: Stretches each of the two encoders of a worker keeps.
+REMEMBERED = 450_000
 
 _BYTES_AT_ONCE = 4_000_000
 
@@ -57,7 +59,7 @@ def byte_level_tokens(path: str) -> tuple[bytes, ...]:
 @functools.lru_cache(maxsize=2)
 def piece_tokens(path: str) -> tuple[bytes, ...]:
     """The bytes of every id of a piece model."""
-    model = piece_encoder(path).model
+    model = piece_encoder(path, REMEMBERED).model
     return tuple(
         bytes([int(model.id_to_piece(at)[3:-1], 16)]) if model.is_byte(at)
         else b"" if model.is_control(at) or model.is_unknown(at)
@@ -103,7 +105,7 @@ def _encoded(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """``(doc_id, a, b)``: ids of each document under both, empty where they do not spell it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = stretch_encoder(byte_level, True, " ", True), piece_encoder(pieces)
+        one, two = stretch_encoder(byte_level, True, " ", True, REMEMBERED), piece_encoder(pieces, REMEMBERED)
         tokens = byte_level_tokens(byte_level), piece_tokens(pieces)
         spellings = [Spelling(t) for t in tokens]
         for batch in slices(batches, "text", _BYTES_AT_ONCE):

@@ -1,17 +1,24 @@
-"""Near-duplicate documents by the exact Jaccard similarity of their word shingles.
+"""Near-duplicate documents: a fingerprint trie proposes, exact Jaccard similarity of word shingles decides.
 
-Two sets as similar as asked for share a token among the first few of each (their prefixes) in any
+Majority fingerprints of the shingles meet in the binary trie of ``simhash``, and its links are verified: they
+tie most copies together at little cost.  Fingerprints alone would miss pairs at the edge, so an exact join
+completes them: two sets as similar as asked for share a token among the first few of each (their prefixes) in any
 order of all tokens, so documents meet on prefix tokens and no pair is lost.  Tokens that many documents
 of a sample hold come last in that order, which keeps them out of most prefixes; the sample decides
-the speed alone.  Pairs that sizes and places rule out are left out, all others are verified on
-the texts.
+the speed alone.
+
+Pairs that sizes and places rule out are left out, and so are those whose bitmaps differ too much: every set
+has a bitmap with a bit for the hash of each token, and bits that only one of two bitmaps has count at most the
+tokens that only one set has.  Texts travel only for the pairs that are left, which are hardly more than the true ones.
 
 Documents with equal sets count once.  Holders of a token are first compared with the smallest of
 them; tokens whose holders that has tied together need no further pairs, so a large group of copies is
 not squared.
 
 Defined cases: words are runs of anything but ASCII white space, lower-cased as UTF-8 text; texts of
-fewer words than a shingle are one token; null and wordless texts are one group.
+fewer words than a shingle are one token; null and wordless texts are one group.  Repeated rows and
+ids, and rows without an id, are rows of their own; an empty table gives an empty result; columns of
+any name stay as they are.
 """
 
 from __future__ import annotations
@@ -25,8 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.llm.passages import WordHashes, shingles
+from clientele.llm.simhash import BUDGET, trie_links
 from clientele.llm.tokens import forget, slices, texts_of
 from clientele.operators.components import components
+from clientele.operators.keyed import free_name
 from clientele.sources.scratch import discard, materialise
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -62,8 +71,37 @@ def _common(numbered: DataFrame, words: int) -> np.ndarray:
     return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def _prefixes(numbered: DataFrame, common: np.ndarray, similarity: float, words: int) -> DataFrame:
-    """``(row, digest, size, prefix)``: digest and size of each set, and its first tokens in the common order."""
+def majority(tokens: np.ndarray) -> int:
+    """The bits that more than half of the tokens set, as a signed number."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(tokens), 1 << 16):
+        bits = np.unpackbits(tokens[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(tokens), bitorder="little").view("<i8")[0])
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit for the hash of each token, at least two bits a token; the width is a power of two of at least 64."""
+    width = max(64, 1 << int(2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens >> np.uint64(7)) & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
+def least_difference(one: np.ndarray, two: np.ndarray) -> int:
+    """At least so many tokens are in only one of the sets; the wider bitmap is folded to the width of the other."""
+    while len(one) > len(two):
+        one = one[: len(one) // 2] | one[len(one) // 2 :]
+    while len(two) > len(one):
+        two = two[: len(two) // 2] | two[len(two) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
+_SET = "row bigint, digest bigint, size int, fp bigint, bits binary, prefix array<bigint>"
+
+
+def _sets(numbered: DataFrame, common: np.ndarray, similarity: float, words: int) -> DataFrame:
+    """Of each set its digest, size, fingerprint and bitmap, and its first tokens in the common order."""
     by_value = np.argsort(common)
     ordered = common[by_value]
 
@@ -71,11 +109,13 @@ def _prefixes(numbered: DataFrame, common: np.ndarray, similarity: float, words:
         forget()
         known = WordHashes()
         for batch in slices(batches, "text"):
-            digests, sizes, prefixes = [], [], []
+            digests, sizes, marks, bits, prefixes = [], [], [], [], []
             for text in texts_of(batch):
                 found = shingle_set(text, known, words)
                 digests.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
                 sizes.append(len(found))
+                marks.append(majority(found))
+                bits.append(bitmap(found).tobytes())
                 if len(ordered):
                     at = np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)
                     late = np.where(ordered[at] == found, by_value[at] + 1, 0)
@@ -85,12 +125,12 @@ def _prefixes(numbered: DataFrame, common: np.ndarray, similarity: float, words:
             flat = np.concatenate(prefixes)
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             yield pa.record_batch(
-                [batch.column("_row"), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["row", "digest", "size", "prefix"],
+                [batch.column("row"), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.int64()),
+                 pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["row", "digest", "size", "fp", "bits", "prefix"],
             )
 
-    return numbered.select("_row", "text").mapInArrow(run, "row bigint, digest bigint, size int, prefix array<bigint>")
+    return numbered.select("row", "text").mapInArrow(run, _SET)
 
 
 def _may_reach(one: str, two: str, similarity: float):
@@ -101,8 +141,30 @@ def _may_reach(one: str, two: str, similarity: float):
     return (F.least(a, b) >= similarity * F.greatest(a, b) - _SLACK) & (rest >= share * (a + b) - _SLACK)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """``(high, low)``: those of the pairs whose texts are similar enough."""
+def _close(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that bitmaps leave possible; ``marks`` holds size and bitmap of each row."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(name).to_pylist() for name in ("size", "bits", "low_size", "low_bits")]
+            kept = [
+                least_difference(np.frombuffer(bits, "<u8"), np.frombuffer(low_bits, "<u8")) <= share * (size + low_size) + _SLACK
+                for size, bits, low_size, low_bits in zip(*columns, strict=True)
+            ]
+            yield batch.select(["high", "low"]).filter(pa.array(kept, pa.bool_()))
+
+    both = pairs.join(marks.withColumnRenamed("row", "high"), "high").join(
+        marks.select(F.col("row").alias("low"), F.col("size").alias("low_size"), F.col("bits").alias("low_bits")), "low"
+    )
+    return both.select("high", "low", "size", "bits", "low_size", "low_bits").mapInArrow(run, "high bigint, low bigint")
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, numbered: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``(high, low)``: those of the pairs whose texts are similar enough, as a written table."""
+    close = materialise(_close(pairs, marks, similarity), "close")
+    rows = materialise(close.select(F.explode(F.array("high", "low")).alias("row")).distinct(), "rows")
+    texts = materialise(numbered.select("row", "text").join(rows, "row", "left_semi"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -118,69 +180,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
                 kept.append(shared >= similarity * (len(mine) + len(last) - shared) - _SLACK)
             yield batch.select(["high", "low"]).filter(pa.array(kept, pa.bool_()))
 
-    both = pairs.join(texts.withColumnRenamed("row", "high"), "high").join(
+    both = close.join(texts.withColumnRenamed("row", "high"), "high").join(
         texts.select(F.col("row").alias("low"), F.col("text").alias("low_text")), "low"
     )
-    return both.select("high", "low", "text", "low_text").mapInArrow(run, "high bigint, low bigint")
+    found = materialise(both.select("high", "low", "text", "low_text").mapInArrow(run, "high bigint, low bigint"), "links")
+    for table in (close, rows, texts):
+        discard(table)
+    return found
+
+
+def _proposed(single: DataFrame, budget: int) -> DataFrame:
+    """Pairs of documents whose fingerprints the trie ties; of those with one fingerprint each with the smallest."""
+    of = materialise(single.select("row", "fp"), "fingerprints")
+    least = materialise(of.groupBy("fp").agg(F.min("row").alias("least")), "least")
+    equal = of.join(least, "fp").where(F.col("row") > F.col("least")).select(F.col("row").alias("high"), F.col("least").alias("low"))
+    links = trie_links(least.select("fp"), budget).distinct()
+    named = links.join(least.select(F.col("fp").alias("high"), F.col("least").alias("one")), "high").join(
+        least.select(F.col("fp").alias("low"), F.col("least").alias("two")), "low"
+    )
+    found = materialise(equal.unionByName(named.select(*_ordered("one", "two"))), "proposed")
+    discard(of)
+    discard(least)
+    return found
 
 
 def _ordered(one: str, two: str):
     return F.greatest(one, two).alias("high"), F.least(one, two).alias("low")
 
 
-def groups(numbered: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(row, root)`` for every ``_row``: the smallest row that pairs of similar texts reach.
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the smallest row that links reach, itself if none."""
+    roots = components(links).select(F.col("high").alias("row"), F.col("low").alias("root"))
+    return rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
+def _apart(rooted: DataFrame) -> DataFrame:
+    """The rows of tokens whose holders are not one group yet."""
+    tokens = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
+    return rooted.join(materialise(tokens, "apart"), "token", "left_semi")
+
+
+def groups(
+    numbered: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, budget: int = BUDGET
+) -> DataFrame:
+    """``(row, root)`` for every ``row``: the smallest row that pairs of similar texts reach.
 
-    ``numbered`` is a written table ``(_row, text)`` with unique rows.
+    ``numbered`` is a written table ``(row, text)`` with unique rows.
     """
-    sets = materialise(_prefixes(numbered, _common(numbered, words), similarity, words), "sets")
-    distinct = materialise(sets.groupBy("digest").agg(F.min("row").alias("least")), "distinct")
-    single = sets.join(distinct.select(F.col("least").alias("row")), "row", "left_semi")
-    postings = single.select("row", "size", F.posexplode("prefix").alias("place", "token"))
+    sets = materialise(_sets(numbered, _common(numbered, words), similarity, words), "sets")
+    members = materialise(sets.select("row", "digest"), "members")
+    distinct = materialise(members.groupBy("digest").agg(F.min("row").alias("least")), "distinct")
+    single = materialise(sets.join(distinct.select(F.col("least").alias("row")), "row", "left_semi").drop("digest"), "single")
+    discard(sets)
+    marks = single.select("row", "size", "bits")
+    proposed = _proposed(single, budget)
+    tied = _verified(proposed, marks, numbered, similarity, words)
+    discard(proposed)
 
-    holders = Window.partitionBy("token").orderBy("size", "row")
-    head = F.first(F.struct("row", "size", "place")).over(holders)
+    postings = single.select("row", "size", F.posexplode("prefix").alias("place", "token"))
+    beside = Window.partitionBy("token").orderBy("size", "row")
+    shared = postings.withColumns({"_before": F.lag("row").over(beside), "_after": F.lead("row").over(beside)})
     shared = materialise(
-        postings.withColumns({"head": head, "_before": F.lag("row").over(holders), "_after": F.lead("row").over(holders)})
-        .where(F.col("_before").isNotNull() | F.col("_after").isNotNull())
-        .select("token", "row", "size", "place", "head"),
-        "shared",
+        shared.where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).select("token", "row", "size", "place"), "shared"
     )
-    to_head = shared.where(F.col("row") != F.col("head.row")).select(
+
+    # First every holder of a token with its smallest holder, where the trie has left them apart.
+    open_ = materialise(_apart(materialise(_rooted(shared, tied), "rooted")), "open")
+    head = open_.groupBy("token").agg(F.min(F.struct("size", "row", "place", "root")).alias("head"))
+    to_head = open_.join(materialise(head, "heads"), "token").where(F.col("root") != F.col("head.root")).select(
         "row", "size", "place", *[F.col(f"head.{n}").alias(f"head_{n}") for n in ("row", "size", "place")]
     )
     first = materialise(to_head.where(_may_reach("", "head_", similarity)).select(*_ordered("row", "head_row")).distinct(), "pairs")
-    texts = numbered.select(F.col("_row").alias("row"), "text").join(
-        shared.select("row").distinct(), "row", "left_semi"
-    )
-    texts = materialise(texts, "texts")
-    links = materialise(_verified(first, texts, similarity, words), "links")
-    roots = components(links).select(F.col("high").alias("row"), F.col("low").alias("root"))
-
-    # Tokens whose holders are not one group yet: all pairs of different groups are compared.
-    rooted = materialise(
-        shared.drop("head").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted"
-    )
-    apart = materialise(
-        rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token"), "apart"
-    )
-    open_ = materialise(rooted.join(apart, "token", "left_semi"), "open")
-    others = open_.select("token", *[F.col(n).alias(f"other_{n}") for n in ("row", "size", "place", "root")])
-    met = open_.join(others, "token").where(
+    links = tied.unionByName(_verified(first, marks, numbered, similarity, words))
+    tied_now = materialise(links, "tied")
+
+    # Then all pairs of different groups among the holders of tokens that are still apart.
+    rooted = materialise(_rooted(open_.drop("root"), tied_now), "rooted")
+    left = materialise(_apart(rooted), "left")
+    others = left.select("token", *[F.col(n).alias(f"other_{n}") for n in ("row", "size", "place", "root")])
+    met = left.join(others, "token").where(
         (F.col("row") < F.col("other_row")) & (F.col("root") != F.col("other_root")) & _may_reach("", "other_", similarity)
     )
     rest = materialise(
         met.select(*_ordered("row", "other_row")).distinct().join(first, ["high", "low"], "left_anti"), "pairs"
     )
-    more = _verified(rest, texts, similarity, words)
-    tied = materialise(links.unionByName(more), "links")
-    ends = components(tied).select(F.col("high").alias("least"), F.col("low").alias("root"))
+    more = _verified(rest, marks, numbered, similarity, words)
+    ends = components(tied_now.unionByName(more)).select(F.col("high").alias("least"), F.col("low").alias("root"))
     found = materialise(
-        sets.select("row", "digest").join(distinct, "digest").join(ends, "least", "left")
-        .select("row", F.coalesce("root", "least").alias("root")),
+        members.join(distinct, "digest").join(ends, "least", "left").select("row", F.coalesce("root", "least").alias("root")),
         "groups",
     )
-    for table in (sets, distinct, shared, first, texts, links, rooted, apart, open_, rest, tied):
+    for table in (members, distinct, single, tied, shared, open_, first, tied_now, rooted, left, rest, more):
         discard(table)
     return found
 
@@ -190,11 +280,11 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHI
 
     A group of null ids alone keeps one row as well.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = groups(numbered.select("_row", F.col("text").cast("string").alias("text")), similarity, words)
-    members = found.select(F.col("row").alias("_row"), "root").join(
-        numbered.select("_row", F.col("doc_id").alias("_id")), "_row"
-    )
-    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"))
-    kept = members.groupBy("root").agg(F.min(order).alias("_first")).select(F.col("_first.c").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    number = free_name(docs, "_row")
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
+    found = groups(texts, similarity, words)
+    members = found.join(numbered.select(F.col(number).alias("row"), F.col("doc_id").alias("_id")), "row")
+    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("row").alias("c"))
+    kept = members.groupBy("root").agg(F.min(order).alias("_first")).select(F.col("_first.c").alias(number))
+    return numbered.join(kept, number, "left_semi").select(*docs.columns)

@@ -282,18 +282,3 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, budget: int = B
     smallest = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = materialise(placed.join(smallest, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
-    """One row of each component: the smallest id, of repeats of an id any one; columns stay as they are.
-
-    A component of null ids alone keeps one row as well.
-    """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), words, budget)
-    members = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(
-        numbered.select("_row", F.col("doc_id").alias("_id")), "_row"
-    )
-    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"))
-    kept = members.groupBy("_group").agg(F.min(order).alias("_first")).select(F.col("_first.c").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -42,9 +42,10 @@ def with_end(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 
 class _Stretches:
-    """Ids of whole texts from the ids of their stretches."""
+    """Ids of whole texts from the ids of their stretches, of which at most about ``remembered`` are kept."""
 
-    def __init__(self) -> None:
+    def __init__(self, remembered: int = REMEMBERED) -> None:
+        self._remembered = remembered
         self._number: dict[str, int] = {}
         self._starts = np.zeros(1, np.int64)  # of the ids of each stretch, and the end
         self._ids = np.zeros(1 << 16, np.uint32)
@@ -81,7 +82,7 @@ class _Stretches:
 
     def flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, unsigned 32-bit, and where each text begins, with the end."""
-        if len(self._number) > REMEMBERED:
+        if len(self._number) > self._remembered:
             self._number.clear()
             self._starts = self._starts[:1]
         if not len(texts):
@@ -148,8 +149,8 @@ class StretchEncoder(_Stretches):
     before every text.  With ``plain`` the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, leading_blank: bool, before: str = "", plain: bool = False) -> None:
-        super().__init__()
+    def __init__(self, path: str, leading_blank: bool, before: str = "", plain: bool = False, remembered: int = REMEMBERED) -> None:
+        super().__init__(remembered)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -238,8 +239,8 @@ class StretchEncoder(_Stretches):
 class PieceEncoder(_Stretches):
     """Encodes as ``encode(text)`` of a sentencepiece model none of whose pieces holds a blank after another character."""
 
-    def __init__(self, path: str) -> None:
-        super().__init__()
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        super().__init__(remembered)
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -258,14 +259,16 @@ class PieceEncoder(_Stretches):
 
 
 @functools.lru_cache(maxsize=2)
-def stretch_encoder(path: str, leading_blank: bool, before: str = "", plain: bool = False) -> StretchEncoder:
+def stretch_encoder(
+    path: str, leading_blank: bool, before: str = "", plain: bool = False, remembered: int = REMEMBERED
+) -> StretchEncoder:
     """The encoder of this worker, with what it has met in earlier tasks."""
-    return StretchEncoder(path, leading_blank, before, plain)
+    return StretchEncoder(path, leading_blank, before, plain, remembered)
 
 
 @functools.lru_cache(maxsize=1)
-def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def piece_encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
+    return PieceEncoder(path, remembered)
 
 
 def forget() -> None:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.llm.tokens import forget, slices, texts_of
+from clientele.operators.keyed import free_name
 
 SAMPLE_ROWS, VOCABULARY, LEAST_SUPPORT, LEAST_CLARITY = 8_000, 4_096, 5, 4.0
 THRESHOLD, FAIRNESS, RIDGE, ROUNDS = 0.3, 4.0, 1e-4, 400
@@ -245,5 +246,6 @@ def _scorer(model: Model) -> Callable[[Column], Column]:
 
 def keep_harmless(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold; columns stay as they are."""
-    marked = docs.withColumn("_toxicity", _scorer(model)(F.col("text").cast("string")))
-    return marked.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    name = free_name(docs, "_toxicity")
+    marked = docs.withColumn(name, _scorer(model)(F.col("text").cast("string")))
+    return marked.where(F.col(name) < threshold).select(*docs.columns)

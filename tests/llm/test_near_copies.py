@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from clientele.llm import near_copies
+from clientele.llm import near_copies, passages, toxicity
 
 
 def shingle_set(text):
@@ -62,3 +64,41 @@ def test_stage_keeps_what_brute_force_keeps(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "COMMON", 1 << 40)
     assert {r["doc_id"] for r in near_copies.keep_first(frame).collect()} == set(roots)
     assert near_copies.keep_first(frame.where("false")).count() == 0
+
+
+def test_ids_and_columns_of_any_kind(spark):
+    """Repeated and missing ids are rows of their own, and columns may have any name."""
+    words = " ".join(f"w{n}" for n in range(60))
+    rows = [(5, words), (5, words + " more"), (None, words), (None, "another text of some few words"), (None, "another text of some few words"),
+            (7, None), (8, ""), (9, "nothing like the others at all here")]
+    names = ["_row", "_toxicity", "_doc", "_digest", "_spans", "row", "size", "_id", "root"]
+    frame = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = near_copies.keep_first(frame)
+    assert kept.columns == frame.columns
+    found = [tuple(r) for r in kept.collect()]
+    assert sorted(str(r[0]) for r in found) == ["5", "7", "9", "None"] and all(r[2:] == tuple(range(len(names))) for r in found)
+    cut = passages.without_repeats(frame)
+    assert cut.columns == frame.columns and all(tuple(r)[2:] == tuple(range(len(names))) for r in cut.collect())
+    model = toxicity.learn(frame, spark.createDataFrame([(5, 1), (9, 0)], "doc_id long, toxic int"))
+    assert toxicity.keep_harmless(frame, model).columns == frame.columns
+
+
+def test_a_token_that_many_unlike_documents_share(spark):
+    """A third of all documents are copies of one text, others share its first line only."""
+    chance = random.Random(9)
+    base = [f"b{n}" for n in range(80)]
+    line = " ".join(base[:12])
+    texts = [" ".join([*base[:at], f"x{at}", *base[at + 1 :]]) for at in (chance.randrange(80) for _ in range(60))]
+    texts += [line + " " + " ".join(f"o{chance.randrange(4000)}" for _ in range(40)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert {r["doc_id"] for r in near_copies.keep_first(frame).collect()} == set(brute_roots(texts))
+
+
+def test_bitmaps_never_rule_out_too_much():
+    chance = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 900):
+        for _ in range(30):
+            pool = chance.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64)
+            one, two = (np.unique(chance.choice(pool, n)) for _ in range(2))
+            apart = len(np.setxor1d(one, two))
+            assert near_copies.least_difference(near_copies.bitmap(one), near_copies.bitmap(two)) <= apart
