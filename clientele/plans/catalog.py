@@ -17,6 +17,7 @@ from clientele.plans import (
     checks_leads,
     checks_ledger,
     checks_lookalike,
+    checks_models,
     checks_rfm,
     checks_sources,
 )
@@ -31,6 +32,7 @@ GROUPS = (
     checks_leads,
     checks_attribution,
     checks_lookalike,
+    checks_models,
     checks_audience,
     checks_ledger,
     checks_experiment,

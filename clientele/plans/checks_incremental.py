@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clientele.operators import identity, merging
 from clientele.plans.checks_identity import LOOSE_THRESHOLD, THRESHOLD, resolved
 from clientele.plans.checks_sources import NOW
-from clientele.plans.inputs import flags_as_text, plain
+from clientele.plans.inputs import feature_table, flags_as_text, plain
 from clientele.sources.schemas import FEEDS, TABLES
 from clientele.sources.feeds import conform
 from clientele.sources.scratch import checkpoint_root
@@ -65,7 +65,18 @@ def _streamed(v, table, feed, view, parts):
     return plain(conform(store.read(table), TABLES[table]))
 
 
+def _stored_customer(v):
+    """One customer's profile, features and consent, looked up in stored tables."""
+    store = Warehouse(v.spark, _folder(v, "customers"))
+    tables = {"customer_profile": v["view_profiles"], "customer_features": feature_table(v), "consent_preference": v["view_consent"]}
+    for name, rows in tables.items():
+        store.replace(name, rows)
+    found = identity.customer_360(*(store.of_customer(name, "7") for name in tables))
+    return flags_as_text(plain(found.drop("updated_at").withColumn("unified_customer_id", F.col("unified_customer_id").cast("bigint"))))
+
+
 QUERIES = {
+    "i09_stored_customer": _stored_customer,
     "i04_merged_components": lambda v: merging.entity_roots(_merged(v, THRESHOLD)),
     "i04_merged_components_loose": lambda v: merging.entity_roots(_merged(v, LOOSE_THRESHOLD)),
     "i06_merged_map": lambda v: merging.resolved(_merged(v, THRESHOLD)),
@@ -94,6 +105,7 @@ PARTS = {
 }
 
 SQL = {
+    "i09_stored_customer": "select * from ({customer_360}) where unified_customer_id = 7",
     "i04_merged_components": "select entity_id, root_id from {id_roots}",
     "i04_merged_components_loose": "select entity_id, root_id from {id_roots_loose}",
     "i06_merged_map": "select * from {id_resolved}",

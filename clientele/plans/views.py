@@ -183,6 +183,28 @@ VIEWS: dict[str, str] = {
         select cast(null as string), entity_id, event_timestamp, event_type, page_url, session_id, device_type
         from {feed_events} where cast(event_id as bigint) % 50 = 3
     """,
+    # Customers whose past tells their future: each spends in steps of their own, and a quarter looks at prices and buys.
+    "signal_transactions": """
+        select concat('ORD_', cast(o_orderkey as string)) as order_id, o_custkey as unified_customer_id, o_orderdate as order_timestamp,
+               cast(100 + 100 * (o_custkey % 9) as double) as revenue, cast(50 as double) as gross_margin
+        from {orders} where o_orderdate < timestamp '1998-01-01 00:00:00'
+        union all
+        select concat('NEXT_', cast(c_custkey as string)), c_custkey, timestamp '1998-03-01 00:00:00',
+               cast(300 + 300 * (c_custkey % 9) as double), cast(150 as double)
+        from {customer}
+    """,
+    "signal_events": """
+        select o_orderkey as event_id, o_custkey as unified_customer_id,
+               timestamp '2024-01-10 00:00:00' - (o_orderkey % 20) * interval 1 day as event_timestamp,
+               case when o_custkey % 4 = 0 then 'pricing_view' else 'page_view' end as event_type,
+               concat(cast(o_custkey as string), '_', cast(o_orderkey % 20 as string)) as session_id, 'desktop' as device_type
+        from {orders}
+    """,
+    "signal_purchases": """
+        select c_custkey as order_id, c_custkey as unified_customer_id, timestamp '2024-01-17 00:00:00' as order_timestamp,
+               cast(10 as double) as revenue, cast(5 as double) as gross_margin
+        from {customer} where c_custkey % 4 = 0 or c_custkey % 40 = 1
+    """,
     # One audience per market segment and nation.
     "view_audience_members": """
         select concat('AUD_', c_mktsegment, '_', cast(c_nationkey as string)) as audience_id,

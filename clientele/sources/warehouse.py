@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.functions.columns import DATE
@@ -38,13 +38,22 @@ DATED = {
 }
 
 
+def _findable(writer: DataFrameWriter) -> DataFrameWriter:
+    """Write Parquet bloom filters of the customer, so that a look-up skips the row groups without them."""
+    return writer.options(
+        **{f"parquet.bloom.filter.enabled#{CUSTOMER}": "true", f"parquet.bloom.filter.adaptive.enabled#{CUSTOMER}": "true"}
+    )
+
+
 class Warehouse:
     """The tables below one folder.
 
     A table is a folder of numbered versions.  A version counts once its write is committed (Spark's
     ``_SUCCESS`` file), and the newest that counts is the table; a failing write leaves the table as
     it was.  The version before the newest is kept for readers that have begun with it.  Fact tables
-    are laid out by date and sorted by time inside, and carry the date as a column to prune by.
+    are laid out by date and sorted by time inside, and carry the date as a column to prune by.  Other tables
+    of customers are laid out and sorted by customer.  All of both carry bloom filters of the customer, so
+    a look-up of one customer reads few row groups.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -71,6 +80,10 @@ class Warehouse:
             schema = schema.add(DATE, "date")
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def of_customer(self, name: str, customer: str) -> DataFrame:
+        """The rows of one customer."""
+        return self.read(name).where(F.col(CUSTOMER) == F.lit(customer))
+
     def ensure_tables(self) -> None:
         """Create the tables that do not exist yet, empty."""
         for name, ddl in TABLES.items():
@@ -80,12 +93,14 @@ class Warehouse:
     def _write(self, name: str, df: DataFrame, path: str, mode: str) -> None:
         rows = conform(df, TABLES[name])
         if name not in DATED:
-            rows.write.mode(mode).parquet(path)
+            if CUSTOMER in rows.columns:
+                rows = rows.hint("rebalance", CUSTOMER).sortWithinPartitions(CUSTOMER)
+            _findable(rows.write.mode(mode)).parquet(path)
             return
         stamp = DATED[name]
         # Rebalancing brings a date together and still splits a date that holds a large share of the rows.
         dated = rows.withColumn(DATE, F.to_date(stamp)).hint("rebalance", DATE).sortWithinPartitions(DATE, stamp)
-        dated.write.mode(mode).partitionBy(DATE).parquet(path)
+        _findable(dated.write.mode(mode)).partitionBy(DATE).parquet(path)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Full refresh as a new version; the content may come from the table itself."""
@@ -150,7 +165,8 @@ class Warehouse:
         left = {r[0] for r in content.select(DATE).distinct().collect()}
         path, stamp = self.path(name), DATED[name]
         ordered = content.hint("rebalance", DATE).sortWithinPartitions(DATE, stamp)
-        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
+        writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        _findable(writer).partitionBy(DATE).parquet(path)
         for gone in set(dates) - left:  # a date that lost its last row
             folder = f"{DATE}={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone.isoformat()}"
             place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
