@@ -1,14 +1,16 @@
 """Nearest neighbours by largest inner product with cross-polytope hashing.
 
 Candidates are split into bands of nearly equal length, in which order by inner product is nearly
-order by angle, and every band is searched: a small one as a whole, as its nearest rows need not be near
-in angle, a large one by hashing its vectors scaled to unit length.  In every table three rounds of random signs and a fast Hadamard transform turn the sphere; a vector belongs to the
+order by angle, and every band is searched by hashing its vectors scaled to unit length.  In every table
+three rounds of random signs and a fast Hadamard transform turn the sphere; a vector belongs to the
 bucket of its nearest signed axis (or of several such axes, one per hash).  A query probes the buckets of
 its best axes.  Candidates of a bucket are ranked by the exact inner product of the original vectors
 inside the task, cell by cell, so only the best of each cell travel on.  A query that finds fewer
 than it asks for is searched again against all rows, in blocks.
 
-Defaults suit up to about a million rows; beyond that, two hashes per table (``hashes=2, tables=24, probes=128``) keep buckets small.  Nothing is fitted.
+Axes, hashes, tables and probes of a band follow from its number of rows by one rule (``plan``): the share of the
+buckets that a query probes falls with the cube root of the rows, as neighbours come nearer the more rows there
+are, and small bands have fewer axes, so that buckets hold rows at all.  Nothing is fitted.
 
 Defined cases: null ids, vectors that are null, empty, zero or hold null or non-finite components
 take no part; queries meet candidates of their own length only.  Rows with the same id and vector
@@ -20,6 +22,7 @@ columns are ignored.  Ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,36 @@ from pyspark.sql import functions as F
 from clientele.llm.cells import CHUNK, chunk_counts, chunk_of, matrix, runs, sorted_cells, usable
 from clientele.sources.scratch import materialise
 
-TABLES, HASHES, PROBES, SEED = 16, 1, 6, 11
+SEED = 11
+
+#: Lengths of a band differ by less than this factor.
+BAND = 1.25
+#: Expected rows of a bucket below which a table has fewer axes.
+BUCKET_ROWS = 8
+#: Share of the buckets that a query probes in each of 16 tables at so many rows.
+SHARE, SHARE_ROWS = 1 / 32, 16_000
+#: From so many rows on, two hashes name a bucket: that share of the buckets is probed in each of 24 tables.
+TWO_HASHES, TWO_SHARE = 1_000_000, 1 / 128
+
+_SPAN = 64  # tables of a band are numbered within so many
+
+
+class Plan(NamedTuple):
+    axes: int
+    hashes: int
+    tables: int
+    probes: int
+
+
+def plan(rows: int, width: int) -> Plan:
+    """How a band of so many rows is hashed; vectors have ``width`` coordinates after the rotation."""
+    axes = min(width, 1 << max(0, (rows // (2 * BUCKET_ROWS)).bit_length() - 1))
+    if rows < TWO_HASHES:
+        share = min(1.0, SHARE * (SHARE_ROWS / max(rows, 1)) ** (1 / 3))
+        return Plan(axes, 1, 16, max(min(2, axes), int(np.ceil(2 * axes * share))))
+    share = TWO_SHARE * (TWO_HASHES / rows) ** (1 / 3)
+    return Plan(axes, 2, 24, max(8, int(np.ceil(4 * axes * axes * share))))
 
-#: Lengths of a band differ by less than this factor; bands of at most so many rows are compared as a whole.
-BAND, WHOLE = 1.25, 4096
 
 _BUCKET = ["size", "table", "bucket"]
 _CELL = [*_BUCKET, "chunk", "query_chunk"]
@@ -48,35 +77,42 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(width)
 
 
-class CrossPolytope:
-    """Scores of signed axes for vectors of one length."""
+def width_of(size: int) -> int:
+    """Coordinates of a vector of this size after the rotation."""
+    return 1 << max(1, (size - 1).bit_length())
 
-    def __init__(self, size: int, tables: int, hashes: int) -> None:
-        self.width = 1 << max(1, (size - 1).bit_length())
-        random = np.random.default_rng([SEED, size])
-        self._signs = random.choice([-1.0, 1.0], (tables, hashes, 3, self.width))
 
-    def axes(self, unit: np.ndarray, table: int, one: int) -> np.ndarray:
-        """Coordinates after the pseudo-rotation, for all axes and then all opposite axes."""
+class CrossPolytope:
+    """Scores of signed axes for vectors of one size."""
+
+    def __init__(self, size: int) -> None:
+        self.width = width_of(size)
+        self._size = size
+        self._signs: dict[tuple[int, int], np.ndarray] = {}
+
+    def axes(self, unit: np.ndarray, table: int, one: int, axes: int) -> np.ndarray:
+        """Coordinates after the pseudo-rotation, for the first axes and then their opposites."""
+        if (table, one) not in self._signs:
+            random = np.random.default_rng([SEED, self._size, table, one])
+            self._signs[table, one] = random.choice([-1.0, 1.0], (3, self.width))
         turned = np.zeros((len(unit), self.width))
         turned[:, : unit.shape[1]] = unit
         for signs in self._signs[table, one]:
             turned = hadamard(turned * signs)
-        return np.concatenate([turned, -turned], axis=1)
-
-    def buckets(self, unit: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
-        """The best ``probes`` buckets of each vector, best first; several hashes add their scores."""
-        scores = self.axes(unit, table, 0)
-        names = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-        for one in range(1, hashes):
+        return np.concatenate([turned[:, :axes], -turned[:, :axes]], axis=1)
+
+    def buckets(self, unit: np.ndarray, table: int, how: Plan) -> np.ndarray:
+        """The best buckets of each vector, best first; several hashes add their scores."""
+        scores = self.axes(unit, table, 0, how.axes)
+        every = np.broadcast_to(np.arange(2 * how.axes), scores.shape)
+        names = every
+        for one in range(1, how.hashes):
             # Only combinations of each side's best can be among the best sums.
-            names, scores = _best(names, scores, probes)
-            more, more_scores = _best(
-                np.broadcast_to(np.arange(2 * self.width), (len(unit), 2 * self.width)), self.axes(unit, table, one), probes
-            )
-            names = (names[:, :, None] * 2 * self.width + more[:, None, :]).reshape(len(unit), -1)
+            names, scores = _best(names, scores, how.probes)
+            more, more_scores = _best(every, self.axes(unit, table, one, how.axes), how.probes)
+            names = (names[:, :, None] * 2 * how.axes + more[:, None, :]).reshape(len(unit), -1)
             scores = (scores[:, :, None] + more_scores[:, None, :]).reshape(len(unit), -1)
-        return _best(names, scores, probes)[0]
+        return _best(names, scores, how.probes)[0]
 
 
 def _best(names: np.ndarray, scores: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +120,10 @@ def _best(names: np.ndarray, scores: np.ndarray, count: int) -> tuple[np.ndarray
     return np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
 
 
-def _hash(bands: dict[int, dict[int, tuple[int, bool]]], tables: int, hashes: int, probes: int):
+def _hash(bands: dict[int, dict[int, tuple[int, Plan]]]):
     """Rows ``(size, table, bucket, query, vec_id, vector)`` for candidates (one bucket) or queries (probes in all bands).
 
-    ``bands`` holds, by vector size and band, the band's number and whether it is compared as a whole;
-    each band has tables of its own.
+    ``bands`` holds, by vector size and band, the band's number and plan; each band has tables of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +142,7 @@ def _hash(bands: dict[int, dict[int, tuple[int, bool]]], tables: int, hashes: in
                 )
 
             for size in np.unique(sizes).tolist():
-                hasher = hashers.setdefault(size, CrossPolytope(size, tables, hashes))
+                hasher = hashers.setdefault(size, CrossPolytope(size))
                 asked = np.flatnonzero((sizes == size) & (flags == 1))
                 mine = [(1, asked, list(bands[size].values()))]
                 for band, place in bands[size].items():
@@ -117,15 +152,14 @@ def _hash(bands: dict[int, dict[int, tuple[int, bool]]], tables: int, hashes: in
                         continue
                     given = np.array([vectors[r] for r in rows], "<f8")
                     blobs = pa.array([v.tobytes() for v in given], pa.binary())
-                    for number, whole in places:
-                        if whole:
-                            yield made(size, query, rows, blobs, number * tables, np.zeros(len(rows)))
-                    hashed = [number for number, whole in places if not whole]
                     unit = given / np.linalg.norm(given, axis=1, keepdims=True)
-                    for table in range(tables if hashed else 0):
-                        for column in hasher.buckets(unit, table, hashes, probes if query else 1).T:
-                            for number in hashed:
-                                yield made(size, query, rows, blobs, number * tables + table, column)
+                    for how in sorted({of for _, of in places}):
+                        numbers = [number for number, of in places if of == how]
+                        asking = how if query else how._replace(probes=1)
+                        for table in range(how.tables):
+                            for column in hasher.buckets(unit, table, asking).T:
+                                for number in numbers:
+                                    yield made(size, query, rows, blobs, number * _SPAN + table, column)
 
     return run
 
@@ -189,9 +223,13 @@ def _best_per_query(found: DataFrame, count: int) -> DataFrame:
 
 
 def nearest(
-    embeddings: DataFrame, queries: DataFrame, count: int = 20, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
+    embeddings: DataFrame, queries: DataFrame, count: int = 20, tables: int | None = None, hashes: int | None = None,
+    probes: int | None = None,
 ) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the nearest rows found for every query of ``(vec_id, embedding)``."""
+    """``(query_id, rank, vec_id, score)``: the nearest rows found for every query of ``(vec_id, embedding)``.
+
+    What is given of tables (at most 64), hashes and probes takes the place of the planned number in every band.
+    """
 
     def clean(frame: DataFrame) -> DataFrame:
         given = frame.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -211,14 +249,15 @@ def nearest(
         "vectors",
     )
     counted = rows.where("query = 0").groupBy(F.size("vector").alias("size"), "band").agg(F.count("*").alias("rows"))
-    bands: dict[int, dict[int, tuple[int, bool]]] = {}
+    wished = {n: v for n, v in (("tables", tables), ("hashes", hashes), ("probes", probes)) if v is not None}
+    bands: dict[int, dict[int, tuple[int, Plan]]] = {}
     for r in counted.orderBy("size", "band").collect():  # one row per vector length and band
         of = bands.setdefault(r["size"], {})
-        of[r["band"]] = (len(of), r["rows"] <= WHOLE)
+        of[r["band"]] = (len(of), plan(r["rows"], width_of(r["size"]))._replace(**wished))
     known = rows.where(F.size("vector").isin([int(size) for size in bands]))
 
     schema = "size int, table int, bucket bigint, query int, vec_id bigint, vector binary"
-    hashed = known.mapInArrow(_hash(bands, tables, hashes, probes), schema)
+    hashed = known.mapInArrow(_hash(bands), schema)
     hot = chunk_counts(hashed.drop("vector"), [*_BUCKET, "query"], CHUNK)
     found = materialise(_best_per_query(_rank_cells(_in_cells(hashed, hot), count), count), "nearest")
 
