@@ -8,7 +8,7 @@ skew join can split a hub that holds a large share of the edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clientele.sources.scratch import discard, materialise
@@ -30,22 +30,26 @@ def _tie_larger(edges: DataFrame) -> DataFrame:
     return tied
 
 
-def _tie_smaller(edges: DataFrame) -> DataFrame:
-    """Tie a node and its smaller neighbours to the smallest of those."""
+def _tie_smaller(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Tie a node and its smaller neighbours to the smallest of those; also the state of the new edges."""
     smallest = _smallest(edges)
     siblings = edges.join(smallest, "high").select(F.col("low").alias("high"), F.col("_least").alias("low"))
     parents = smallest.select("high", F.col("_least").alias("low"))
-    tied = materialise(
-        parents.unionByName(siblings.where(F.col("high") != F.col("low"))).distinct(), "edges"
-    )
+    tied, state = _written(parents.unionByName(siblings.where(F.col("high") != F.col("low"))).distinct())
     discard(smallest)
-    return tied
+    return tied, state
+
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their state, taken in the same pass: their number and a digest free of order.
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and order-free digest of the edges: equal states mean that a round changed nothing."""
-    row = edges.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("high", "low")).alias("digest")).first()
-    return row["rows"], row["digest"]
+    Equal states mean that a round changed nothing.
+    """
+    seen = Observation()
+    table = materialise(
+        edges.observe(seen, F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("high", "low")).alias("digest")), "edges"
+    )
+    return table, (seen.get["rows"], seen.get["digest"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,12 +57,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns ``(high, low)``: one row per node that is not itself the smallest.
     """
-    current = materialise(edges, "edges")
-    state, before = _state(current), None
+    current, state = _written(edges)
+    before = None
     while state[0] and state != before:
         larger = _tie_larger(current)
         discard(current)
-        current, before = _tie_smaller(larger), state
+        before = state
+        current, state = _tie_smaller(larger)
         discard(larger)
-        state = _state(current)
     return current

@@ -49,22 +49,36 @@ def newest_approvals(issued: DataFrame) -> DataFrame:
     return newest.select("nonce", "_newest.*").select(*APPROVAL_COLUMNS)
 
 
-def with_claims(registry: DataFrame, claims: DataFrame) -> DataFrame:
-    """The registry with the earliest claim since its issue as the consumption of each approval."""
+def first_claimed(registry: DataFrame, claims: DataFrame) -> DataFrame:
+    """``(nonce, _claim)``: the first claim on every approval since its issue, of those made at once the smallest request."""
     issued = registry.select("nonce", "issued_at")
-    first = (
-        claims.join(issued, "nonce")
-        .where(F.col("requested_at") >= F.col("issued_at"))
-        .groupBy("nonce")
-        .agg(F.min(F.struct("requested_at", "request_id", "requested_by")).alias("_claim"))
+    order = F.struct("claimed_at", "request_id", "requested_at", "requested_by")
+    return (
+        claims.join(issued, "nonce").where(F.col("requested_at") >= F.col("issued_at")).groupBy("nonce").agg(F.min(order).alias("_claim"))
     )
-    return registry.join(first, "nonce", "left").select(
+
+
+def with_claims(registry: DataFrame, claims: DataFrame) -> DataFrame:
+    """The registry with the first claim since its issue as the consumption of each approval."""
+    return registry.join(first_claimed(registry, claims), "nonce", "left").select(
         *[c for c in APPROVAL_COLUMNS if not c.startswith("consumed")],
         F.coalesce("consumed_at", "_claim.requested_at").alias("consumed_at"),
         F.coalesce("consumed_by", "_claim.requested_by").alias("consumed_by"),
     )
 
 
+def without_lost_claims(decided: DataFrame, registry: DataFrame, claims: DataFrame) -> DataFrame:
+    """Decisions after the claims were appended: a success whose claim is not the first one is a replay."""
+    won = first_claimed(registry, claims).select(F.col("_claim.request_id").alias("request_id"), F.lit(True).alias("_won"))
+    lost = (F.col("status") == "SUCCESS") & F.col("_won").isNull()
+    return decided.join(won, "request_id", "left").select(
+        *[
+            F.when(lost, F.lit(value)).otherwise(F.col(c)).alias(c) if (value := {"status": "REJECTED", "reason": "ALREADY_CONSUMED"}.get(c)) else c
+            for c in decided.columns
+        ]
+    )
+
+
 def claims(decided: DataFrame) -> DataFrame:
     """What the successful requests claim."""
     return decided.where(F.col("status") == "SUCCESS").select("nonce", "request_id", "requested_by", "requested_at")

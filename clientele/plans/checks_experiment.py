@@ -9,6 +9,8 @@ from clientele.plans.inputs import plain
 
 ACTIVATION = "ACT_SPRING"
 ACTIVATED_AT = datetime(2024, 1, 28)
+# Later by half the time of the events, so that both sides of it hold purchases.
+ADJUSTED_AT = datetime(2024, 1, 16)
 NOW = datetime(2026, 1, 1)
 
 
@@ -28,6 +30,9 @@ QUERIES = {
     "x01_holdout_split": _arms,
     "x02_arm_outcomes": _outcomes,
     "x03_lift_test": _lift,
+    "x03_adjusted_lift": lambda v: experiment.adjusted_lift(
+        experiment.revenue_around(_arms(v), v["view_purchases"], ADJUSTED_AT)
+    ),
     "x04_experiment_result": lambda v: plain(
         experiment.experiment_result(_lift(v), "EXP_SPRING", ACTIVATION, "AUD_SPRING", NOW)
     ),
@@ -68,7 +73,40 @@ PARTS = {
     """,
 }
 
+_SUMS = ", ".join(
+    f"sum(cast({term} as decimal(28, 6))) filter (arm = '{arm}') as {arm[0]}_{name}"
+    for arm in ("control", "treatment")
+    for name, term in {"x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y"}.items()
+)
+
+PARTS |= {
+    "around": """
+        select arm, coalesce(cast(sum(cast(case when order_timestamp <= timestamp '2024-01-16' then revenue end as decimal(28, 6))) as double), 0) as x,
+               coalesce(cast(sum(cast(case when order_timestamp > timestamp '2024-01-16' then revenue end as decimal(28, 6))) as double), 0) as y
+        from {arms} a left join {view_purchases} p on a.unified_customer_id = p.unified_customer_id group by a.unified_customer_id, arm
+    """,
+    "moments": f"""
+        select cast(count(*) filter (arm = 'control') as double) as c_n, cast(count(*) filter (arm = 'treatment') as double) as t_n, {_SUMS}
+        from {{around}}
+    """,
+    "within": """
+        select c_n, t_n, cast(c_x as double) / c_n as mcx, cast(t_x as double) / t_n as mtx, cast(c_y as double) / c_n as mcy, cast(t_y as double) / t_n as mty,
+               (cast(c_xx as double) - cast(c_x as double) * cast(c_x as double) / c_n) + (cast(t_xx as double) - cast(t_x as double) * cast(t_x as double) / t_n) as sxx,
+               (cast(c_xy as double) - cast(c_x as double) * cast(c_y as double) / c_n) + (cast(t_xy as double) - cast(t_x as double) * cast(t_y as double) / t_n) as sxy,
+               (cast(c_yy as double) - cast(c_y as double) * cast(c_y as double) / c_n) + (cast(t_yy as double) - cast(t_y as double) * cast(t_y as double) / t_n) as syy
+        from {moments}
+    """,
+}
+
 SQL = {
+    "x03_adjusted_lift": """
+        select round(mcy, 4) as control_mean, round(mty, 4) as treatment_mean, round(mty - mcy, 4) as difference,
+               round((mty - mcy) / sqrt(syy / (c_n + t_n - 2) * (1 / c_n + 1 / t_n)), 4) as z,
+               round((mty - mcy) - sxy / sxx * (mtx - mcx), 4) as adjusted_difference,
+               round(((mty - mcy) - sxy / sxx * (mtx - mcx)) / sqrt((syy - sxy / sxx * sxy) / (c_n + t_n - 3) * (1 / c_n + 1 / t_n)), 4) as adjusted_z,
+               round(sxy / sxx, 6) as slope, round(sxy / sxx * sxy / syy * 100, 2) as variance_saved_pct
+        from {within}
+    """,
     "x01_holdout_split": "select * from {arms}",
     "x02_arm_outcomes": "select * from {outcomes}",
     "x03_lift_test": "select * from {lift}",

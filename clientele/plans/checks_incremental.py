@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from clientele.operators import identity, merging
+from clientele.operators import identity, merging, sketches
 from clientele.plans.checks_identity import LOOSE_THRESHOLD, THRESHOLD, resolved
 from clientele.plans.checks_sources import NOW
 from clientele.plans.inputs import feature_table, flags_as_text, plain
 from clientele.sources.schemas import FEEDS, TABLES
 from clientele.sources.feeds import conform
-from clientele.sources.scratch import checkpoint_root
+from clientele.sources.scratch import checkpoint_root, materialise
 from clientele.sources.warehouse import Warehouse, fact_rows
 from clientele.streaming import intake
 
@@ -75,7 +75,30 @@ def _stored_customer(v):
     return flags_as_text(plain(found.drop("updated_at").withColumn("unified_customer_id", F.col("unified_customer_id").cast("bigint"))))
 
 
+def _sketched_sessions(v):
+    """Exact counts of sessions in the last 7 and 30 days, and whether estimates from daily sketches agree."""
+    events = v["view_events"]
+    as_of = materialise(events, "events").agg(F.max(F.to_date("event_timestamp"))).first()[0]
+    halves = [events.where(F.pmod("event_id", F.lit(2)) == n) for n in (0, 1)]
+    days = sketches.merged_days(*(sketches.daily_sketches(half) for half in halves))
+    estimated = sketches.window_sessions(days, as_of)
+    day = F.to_date("event_timestamp")
+    exact = events.where(day > F.date_sub(F.lit(as_of), 30)).groupBy("unified_customer_id").agg(
+        *[
+            F.countDistinct(F.when(day > F.date_sub(F.lit(as_of), n), F.col("session_id"))).alias(f"exact_{n}d")
+            for n in (7, 30)
+        ]
+    )
+
+    def agrees(n):
+        bound = 3 * sketches.standard_error() * F.col(f"exact_{n}d") + 0.5
+        return (F.abs(F.col(f"sessions_{n}d") - F.col(f"exact_{n}d")) <= bound).alias(f"agrees_{n}d")
+
+    return exact.join(estimated, "unified_customer_id").select("unified_customer_id", "exact_7d", "exact_30d", agrees(7), agrees(30))
+
+
 QUERIES = {
+    "l03_sketched_sessions": _sketched_sessions,
     "i09_stored_customer": _stored_customer,
     "i04_merged_components": lambda v: merging.entity_roots(_merged(v, THRESHOLD)),
     "i04_merged_components_loose": lambda v: merging.entity_roots(_merged(v, LOOSE_THRESHOLD)),
@@ -105,6 +128,12 @@ PARTS = {
 }
 
 SQL = {
+    "l03_sketched_sessions": """
+        select unified_customer_id, count(distinct case when cast(event_timestamp as date) > as_of - 7 then session_id end) as exact_7d,
+               count(distinct session_id) as exact_30d, true as agrees_7d, true as agrees_30d
+        from {view_events}, (select max(cast(event_timestamp as date)) as as_of from {view_events})
+        where cast(event_timestamp as date) > as_of - 30 group by unified_customer_id
+    """,
     "i09_stored_customer": "select * from ({customer_360}) where unified_customer_id = 7",
     "i04_merged_components": "select entity_id, root_id from {id_roots}",
     "i04_merged_components_loose": "select entity_id, root_id from {id_roots_loose}",

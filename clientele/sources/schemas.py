@@ -48,6 +48,8 @@ TABLES = {
         request_prompt string, governance_status string, details string, timestamp timestamp""",
     "approval_token": """nonce string, campaign_name string, audience_id string, channel string,
         approved_by string, issued_at timestamp, expires_at timestamp, consumed_at timestamp, consumed_by string""",
+    "approval_claim": """nonce string, request_id string, requested_by string, requested_at timestamp,
+        claimed_at timestamp""",
     "experiment_result": """experiment_id string, activation_id string, audience_id string, metric_name string,
         control_value double, treatment_value double, lift_pct double, p_value double, is_significant boolean,
         sample_size int, measured_at timestamp""",

@@ -94,8 +94,10 @@ class Warehouse:
         rows = conform(df, TABLES[name])
         if name not in DATED:
             if CUSTOMER in rows.columns:
-                rows = rows.hint("rebalance", CUSTOMER).sortWithinPartitions(CUSTOMER)
-            _findable(rows.write.mode(mode)).parquet(path)
+                placed = rows.hint("rebalance", CUSTOMER).sortWithinPartitions(CUSTOMER)
+                _findable(placed.write.mode(mode)).parquet(path)
+            else:
+                rows.write.mode(mode).parquet(path)
             return
         stamp = DATED[name]
         # Rebalancing brings a date together and still splits a date that holds a large share of the rows.
