@@ -7,7 +7,7 @@ summed in a tree, and a second pass aligns the documents again and looks the cou
 itself kept beside each count to tell whether it is known.
 
 Two linked tokens end at the same byte, so one's bytes end with all of the other's.  The pairs are hence at
-most as many as two vocabularies have of that kind (``most_pairs``; 305,000 for the public byte-level and piece
+most as many as two vocabularies have of that kind (``most_pairs``; 324,299 for the public byte-level and piece
 vocabularies), whatever the corpus: hash, keys and counts are of bounded size, and are broadcast.
 
 Encoded documents are written once, as 16-bit or 32-bit ids, and both passes read them.
@@ -37,9 +37,9 @@ from clientele.sources.scratch import discard, materialise
 #: Counts in one piece of a vector, and vectors summed by one task of the tree.
 PIECE, FAN = 1 << 16, 16
 #: Stretches each of the two encoders of a worker keeps.
-REMEMBERED = 450_000
+REMEMBERED = 300_000
 
-_BYTES_AT_ONCE = 4_000_000
+_BYTES_AT_ONCE = 1_500_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -329,6 +329,7 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     ids = max(counted.ids)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         count, top = known.value
         shown = Shown(ids)
         for aligned in align(batches):

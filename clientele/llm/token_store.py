@@ -1,7 +1,7 @@
 """Token ids on disk: one zstandard frame per document behind a shared trained dictionary.
 
 A store is a folder of a dictionary, shard files and a manifest.  Shards hold the documents in
-ascending id order, repeats by a hash of their token ids, ids that are null first.  A shard file is, little-endian:
+ascending id order, repeats by text, ids that are null first.  A shard file is, little-endian:
 
     magic "TOKZ0001", SHA-256 of the dictionary (32 bytes), bytes per id (1 byte)
     one zstandard frame per document, of its ids as unsigned integers of that width
@@ -92,15 +92,20 @@ def _serialised(encoder: StretchEncoder, texts: Sequence[str], end_id: int, widt
 
 
 def _encoded(source: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
-    """``(doc_id, ids)``: serialized ids of every row."""
+    """``(doc_id, ids, tie)``: serialized ids of every row, and the text of those whose id is null or comes again."""
+    counted = source.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialise(counted.select("doc_id", F.lit(True).alias("again")), "repeated")
+    tie = F.when(F.col("again") | F.col("doc_id").isNull(), F.col("text")).alias("tie")
+    marked = source.join(repeated, "doc_id", "left").select("doc_id", "text", tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = stretch_encoder(tokenizer, leading_blank=True)
         for batch in slices(batches, "text"):
             found = _serialised(encoder, texts_of(batch), end_id, width)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+            columns = [batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("tie")]
+            yield pa.record_batch(columns, names=["doc_id", "ids", "tie"])
 
-    return source.mapInArrow(run, "doc_id bigint, ids binary")
+    return marked.mapInArrow(run, "doc_id bigint, ids binary, tie string")
 
 
 def write_store(
@@ -159,7 +164,7 @@ def write_store(
             )
 
     # Written before it is dealt by range, which reads its input twice; ids are smaller than texts.
-    encoded = materialise(_encoded(source, tokenizer, end_id, width).withColumn("tie", F.xxhash64("ids")), "encoded")
+    encoded = materialise(_encoded(source, tokenizer, end_id, width), "encoded")
     size = encoded.agg(F.sum(F.octet_length("ids")).alias("bytes")).first()["bytes"] or 0
     parts = shards or max(range_partitions(spark), -(-size // SHARD_BYTES))
     ordered = encoded.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches a worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 1_400_000
+REMEMBERED = 700_000
 
 #: New stretches encoded as one text, parted by a stretch that is one id; those that hold it are encoded alone.
 _TOGETHER, _PART = 50, "0"

@@ -8,6 +8,14 @@ import pytest
 from clientele.llm import cross_polytope
 
 
+def test_plan_follows_the_rows():
+    """A query meets a falling share of the rows, and small bands have few axes."""
+    plans = [cross_polytope.plan(n, 64) for n in (1, 20, 500, 2_000, 16_000, 300_000, 2_000_000, 10**8)]
+    shares = [p.probes / (2 * p.axes) ** p.hashes for p in plans]
+    assert shares == sorted(shares, reverse=True) and all(p.tables <= 64 for p in plans)
+    assert [p.axes for p in plans] == [1, 1, 16, 64, 64, 64, 64, 64]
+
+
 @pytest.mark.parametrize("sigma", [0.1, 0.4, 1.0])
 def test_recall_with_unequal_lengths(spark, sigma):
     chance = np.random.default_rng(9)
