@@ -106,7 +106,7 @@ def test_compact_windows_by_brute_force():
     for _ in range(30):
         n, length = int(chance.integers(5, 60)), int(chance.integers(2, 8))
         starts = np.unique(np.r_[0, chance.integers(0, n + 1, 2), n])
-        order = (chance.integers(0, 20, n).astype(np.uint64) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
+        order = (chance.integers(0, 20, n).astype(np.uint64) << np.uint64(passages._PLACE_BITS)) | np.arange(n, dtype=np.uint64)
         want = set()
         for first, end in zip(starts[:-1], starts[1:], strict=True):
             for i in range(first, end):
