@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,11 @@ def score_leads(stored: StoredModel, features: DataFrame) -> DataFrame:
 
 def fit_lookalikes(store: ModelStore, labelled: DataFrame, now: datetime, iterations: int = 70) -> StoredModel:
     """Fit the similarity to a seed and keep it; how far seeds stand above others is kept as its metric."""
-    model = lookalike.train(labelled, iterations)
+    return keep_lookalikes(store, lookalike.train(labelled, iterations), labelled, now)
+
+
+def keep_lookalikes(store: ModelStore, model: GBTClassificationModel, labelled: DataFrame, now: datetime) -> StoredModel:
+    """Keep a fitted similarity with its metric."""
     scored = lookalike.similarity(model, labelled)
     mean = F.avg("raw_score")
     found = {row["is_seed"]: row["m"] for row in scored.groupBy("is_seed").agg(mean.alias("m")).collect()}  # two labels

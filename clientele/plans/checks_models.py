@@ -62,8 +62,9 @@ def _leads(v):
 def _lookalikes(v):
     features = materialise(feature_table(v), "features")
     labelled = materialise(lookalike.seed_labels(features, lookalike.seed_by_segment(features, "Champions")), "seed")
-    stored = scoring.fit_lookalikes(_store(v), labelled, NOW, ROUNDS)
-    fitted = lookalike.similarity(lookalike.train(labelled, ROUNDS), labelled)
+    model = lookalike.train(labelled, ROUNDS)  # a second fit adds its sums in another order and may differ
+    stored = scoring.keep_lookalikes(_store(v), model, labelled, NOW)
+    fitted = lookalike.similarity(model, labelled)
     gap = stored.metrics["mean_of_seeds"] - stored.metrics["mean_of_others"]
     return _same(scoring.score_lookalikes(stored, features), fitted, "raw_score").withColumn("seeds_stand_out", F.lit(gap > 0.5))
 
