@@ -189,7 +189,12 @@ def train_and_evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """Scores with deciles for everybody, and the metrics of the test part."""
     split = materialise(train_test(features), "cltv")
-    predicted = materialise(predict(train(split, iterations), split), "cltv-scored")
+    return evaluate(train(split, iterations), split)
+
+
+def evaluate(model: GBTRegressionModel, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores with deciles for everybody by a fitted model, and its metrics on the test part."""
+    predicted = materialise(predict(model, split), "cltv-scored")
     test = deciles(predicted.where("NOT is_train"), "raw_cltv", "pred_decile")
     metrics = test.agg(
         *regression_metrics("future_revenue", "raw_cltv"),

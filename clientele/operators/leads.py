@@ -234,7 +234,11 @@ def train_and_score(
     if guard["status"] != "OK":
         total = guard["positives"] + guard["negatives"]
         return constant_scores(split, guard["positives"], total), guard
-    scored = positive_probability(train(split, iterations), assemble(split, FEATURES))
-    scored = materialise(scored, "leads-scored")
+    return score_and_evaluate(train(split, iterations), split)
+
+
+def score_and_evaluate(model: GBTClassificationModel, split: DataFrame) -> tuple[DataFrame, dict[str, object]]:
+    """Scores and grades for everybody by a fitted model, and its metrics on the test part."""
+    scored = materialise(positive_probability(model, assemble(split, FEATURES)), "leads-scored")
     metrics = {"status": "OK"} | evaluate(scored.where("NOT is_train"), "raw_score")
     return graded_scores(scored, "raw_score"), metrics

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,11 @@ VALUE, LEADS, LOOKALIKES = "value", "leads", "lookalikes"
 def fit_value(store: ModelStore, features: DataFrame, now: datetime, iterations: int = 100) -> StoredModel:
     """Fit the value model, measure it on the test part, keep both."""
     split = materialise(cltv.train_test(features), "cltv")
-    model = cltv.train(split, iterations)
+    return keep_value(store, cltv.train(split, iterations), split, now)
+
+
+def keep_value(store: ModelStore, model: GBTRegressionModel, split: DataFrame, now: datetime) -> StoredModel:
+    """Keep a fitted value model with its metrics on the test part."""
     test = cltv.deciles(cltv.predict(model, split.where("NOT is_train")), "raw_cltv", "pred_decile")
     metrics = test.agg(
         *cltv.regression_metrics("future_revenue", "raw_cltv"), cltv.top_decile_share("future_revenue", "pred_decile")
@@ -41,7 +46,11 @@ def fit_leads(store: ModelStore, features: DataFrame, now: datetime, iterations:
     guard = leads.label_guard(split).first().asDict()
     if guard["status"] != "OK":
         return store.load(LEADS, store.save(LEADS, None, [], guard, now))
-    model = leads.train(split, iterations)
+    return keep_leads(store, leads.train(split, iterations), split, now)
+
+
+def keep_leads(store: ModelStore, model: GBTClassificationModel, split: DataFrame, now: datetime) -> StoredModel:
+    """Keep a fitted lead model with its metrics on the test part."""
     test = materialise(_probabilities(model, split.where("NOT is_train")), "test")
     metrics = {"status": "OK"} | leads.evaluate(test, "raw_score")
     return store.load(LEADS, store.save(LEADS, model, leads.FEATURES, metrics, now))

@@ -32,8 +32,10 @@ def _value(v):
     features = materialise(
         cltv.extract_features(v["signal_transactions"], v["view_customers"], v["signal_events"], CLTV_WINDOW_DAYS), "features"
     )
-    stored = scoring.fit_value(_store(v), features, NOW, ROUNDS)
-    fitted, metrics = cltv.train_and_evaluate(features, ROUNDS)
+    split = materialise(cltv.train_test(features), "cltv")
+    model = cltv.train(split, ROUNDS)  # as below, one fit
+    stored = scoring.keep_value(_store(v), model, split, NOW)
+    fitted, metrics = cltv.evaluate(model, split)
     again = metrics.first().asDict()
     return _same(scoring.score_value(stored, features), fitted, "predicted_cltv", "cltv_decile").withColumns(
         {
@@ -48,8 +50,10 @@ def _leads(v):
     features = materialise(
         leads.extract_features(v["view_customers"], v["signal_events"], v["signal_purchases"], LABEL_DAYS), "features"
     )
-    stored = scoring.fit_leads(_store(v), features, NOW, ROUNDS)
-    fitted, metrics = leads.train_and_score(features, ROUNDS)
+    split = materialise(leads.stratified_split(features), "leads")
+    model = leads.train(split, ROUNDS)  # as below, one fit
+    stored = scoring.keep_leads(_store(v), model, split, NOW)
+    fitted, metrics = leads.score_and_evaluate(model, split)
     return _same(scoring.score_leads(stored, features), fitted, "lead_score", "lead_grade").withColumns(
         {
             "same_metrics": F.lit(metrics == stored.metrics),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientele.operators import lookalike
+from clientele.operators import cltv, leads, lookalike
 from clientele.plans import checks_models
 from clientele.plans.views import Views
 
@@ -28,3 +28,15 @@ def same_flags(spark, name):
 def test_lookalikes(spark, monkeypatch):
     differing(monkeypatch, lookalike)
     assert same_flags(spark, "k05_kept_lookalike_model") == {"same_raw_score": {True}}
+
+
+def test_values(spark, monkeypatch):
+    differing(monkeypatch, cltv)
+    flags = same_flags(spark, "c09_kept_value_model")
+    assert flags == {"same_predicted_cltv": {True}, "same_cltv_decile": {True}, "same_metrics": {True}}
+
+
+def test_leads(spark, monkeypatch):
+    differing(monkeypatch, leads)
+    flags = same_flags(spark, "l11_kept_lead_model")
+    assert flags == {"same_lead_score": {True}, "same_lead_grade": {True}, "same_metrics": {True}}
