@@ -47,20 +47,20 @@ def _raw_feeds(v):
     for name, view in FEED_VIEWS.items():
         v[view].write.parquet(f"{root}/{name}")
 
-    def described(feed, df):
-        columns = [
-            F.struct(
-                F.lit(feed).alias("feed"), F.lit(name).alias("column_name"), F.lit(kind).alias("kind"), F.count("*").alias("rows"),
-                F.count(name).alias("known"), F.countDistinct(_as_text(name, kind)).alias("values"),
-                F.min(_as_text(name, kind)).alias("least"), F.max(_as_text(name, kind)).alias("greatest"),
-            )
-            for name, kind in df.dtypes
-        ]
-        return df.agg(F.array(*columns).alias("columns")).select(F.inline("columns"))
+    def described(feed, name, kind, df):
+        # One narrow shuffle per column, of its distinct values; they become text only after that.
+        values = df.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("rows"))
+        texts = values.groupBy(_as_text("value", kind).alias("text")).agg(F.sum("rows").alias("rows"))
+        return texts.agg(
+            F.lit(feed).alias("feed"), F.lit(name).alias("column_name"), F.lit(kind).alias("kind"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("rows"))), F.lit(0)).alias("known"),
+            F.count("text").alias("values"), F.min("text").alias("least"), F.max("text").alias("greatest"),
+        )
 
     return reduce(
         lambda left, right: left.unionByName(right),
-        [described(name, df) for name, df in feeds.read_feeds(v.spark, root).items()],
+        [described(feed, name, kind, df) for feed, df in feeds.read_feeds(v.spark, root).items() for name, kind in df.dtypes],
     )
 
 
