@@ -1,7 +1,7 @@
 """Connected components of a graph given as integer edges.
 
 Every round ties a node's larger neighbours to the smallest of the node and its neighbours, then
-the node and its smaller neighbours to the smallest of those, until nothing changes.  The minima are
+the node and its smaller neighbours to the smallest of those, until the edges are stars.  The minima are
 written before they are joined, so that both inputs of a join are plain shuffles and the adaptive
 skew join can split a hub that holds a large share of the edges.
 """
@@ -18,16 +18,21 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return materialise(edges.groupBy("high").agg(F.min("low").alias("_least")), "minima")
 
 
-def _tie_larger(edges: DataFrame) -> DataFrame:
-    """Tie every larger neighbour of a node to the smallest of the node and its neighbours."""
-    smallest = _smallest(edges)
+def _tie_larger(edges: DataFrame) -> tuple[DataFrame, tuple, int]:
+    """Tie every larger neighbour of a node to the smallest of the node and its neighbours.
+
+    Also the state of the new edges, and how many nodes have smaller neighbours.
+    """
+    seen = Observation()
+    least = edges.groupBy("high").agg(F.min("low").alias("_least")).observe(seen, F.count(F.lit(1)).alias("nodes"))
+    smallest = materialise(least, "minima")
     # A node without smaller neighbours is itself the smallest, and its edges stay.
     centre = edges.join(smallest.withColumnRenamed("high", "low"), "low", "left").select(
         "high", F.coalesce("_least", "low").alias("low")
     )
-    tied = materialise(centre.distinct(), "edges")
+    tied, state = _written(centre.distinct())
     discard(smallest)
-    return tied
+    return tied, state, seen.get["nodes"]
 
 
 def _tie_smaller(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -43,7 +48,7 @@ def _tie_smaller(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a table, and their state, taken in the same pass: their number and a digest free of order.
 
-    Equal states mean that a round changed nothing.
+    Equal states mean that a step changed nothing.
     """
     seen = Observation()
     table = materialise(
@@ -58,11 +63,12 @@ def components(edges: DataFrame) -> DataFrame:
     Returns ``(high, low)``: one row per node that is not itself the smallest.
     """
     current, state = _written(edges)
-    before = None
-    while state[0] and state != before:
-        larger = _tie_larger(current)
+    while state[0]:
+        larger, after, nodes = _tie_larger(current)
+        if after == state and nodes == state[0]:  # every node has one smaller neighbour, and that one has none
+            discard(larger)
+            break
         discard(current)
-        before = state
         current, state = _tie_smaller(larger)
         discard(larger)
     return current

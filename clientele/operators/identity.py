@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.functions.columns import identifier_key, phone_digits, stripped
+from clientele.functions.columns import phone_digits, stripped
 from clientele.functions.privacy import mask_identifier, mask_profile
 from clientele.operators.components import components
 from clientele.operators.ranking import global_rank
@@ -32,7 +32,7 @@ def normalised(links: DataFrame, phones: bool = False) -> DataFrame:
     return (
         links.withColumn("identifier_value", cleaned)
         .where(F.col("identifier_value") != "")
-        .withColumn("node", identifier_key(F.col("identifier_type"), F.col("identifier_value")))
+        .withColumn("node", F.concat_ws(":", "identifier_type", "identifier_value"))  # cleaned once, above
     )
 
 
