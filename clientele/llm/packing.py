@@ -29,6 +29,9 @@ from clientele.sources.scratch import materialise
 CAPACITY = 2048
 #: Expected pieces of a group; a task holds the lengths of one group.
 GROUP_PIECES = 20_000
+#: Stretches a worker remembers, and characters it encodes at once: fewer than elsewhere, as the pipeline packs
+#: in workers and executors that earlier stages have filled.
+REMEMBERED, BATCH_CHARACTERS = 250_000, 2_000_000
 
 _PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -43,9 +46,11 @@ def pieces(
     the same id apart.
     """
 
+    remembered, characters = REMEMBERED, BATCH_CHARACTERS
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = stretch_encoder(tokenizer, leading_blank)
-        for batch in slices(batches, "text"):
+        encoder = stretch_encoder(tokenizer, leading_blank, remembered=remembered)
+        for batch in slices(batches, "text", characters):
             ids, starts = with_end(*encoder.flat(texts_of(batch)), end_id)
             sizes = np.diff(starts)
             count = -(-sizes // capacity)

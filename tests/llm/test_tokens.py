@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from clientele.llm import bpe, packing, token_store
+from clientele.llm import bpe, packing, token_store, tokens
 from clientele.llm.tokens import StretchEncoder
 from clientele.sources.scratch import materialise, scratch_path
 
@@ -134,3 +134,16 @@ def test_packed_documents(spark, docs):
         assert mine["start"].tolist() == list(range(0, len(ids) // 4, 100))
         assert mine["ids_crc32"].tolist() == [zlib.crc32(ids[4 * s : 4 * s + 400]) for s in mine["start"]]
     assert packing.pack_documents(docs.where("false"), WORD, 0).count() == 0
+
+
+def test_pieces_are_the_same_however_little_a_worker_remembers(spark, docs, monkeypatch):
+    """Packing has its own, smaller memory; results do not depend on it."""
+    assert packing.REMEMBERED < tokens.REMEMBERED
+
+    def rows():
+        return sorted(map(tuple, packing.pieces(docs, WORD, 0, 100).drop("row").collect()), key=str)
+
+    want = rows()
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "BATCH_CHARACTERS", 500)
+    assert rows() == want
