@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from clientele.sources.scratch import materialise
 
 MISSING, REPEATED, STALE = "missing_key", "repeated_key", "older_than_stored"
+#: Rows of a batch that go into the table, and those that it holds already.
+COMING, SAME = "coming", "same"
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -30,6 +32,21 @@ def row_order(df: DataFrame, newest: str) -> Column:
     return F.struct(F.col(newest).isNotNull().alias("a"), F.col(newest).alias("b"), F.xxhash64(*df.columns).alias("c"))
 
 
+def content(df: DataFrame) -> Column:
+    """A hash of a row that tells nulls in different columns apart, too."""
+    return F.xxhash64(*df.columns, *[F.col(name).isNull() for name in df.columns])
+
+
+def newest_numbers(numbered: DataFrame, key: str, newest: str, columns: Sequence[str], number: str) -> DataFrame:
+    """Of each key the newest row's number, ``_order`` and ``_content``; rows without a key have none."""
+    row = numbered.select(*columns)
+    order = F.struct(row_order(row, newest).alias("order"), F.col(number).alias("number"), content(row).alias("content"))
+    first = numbered.where(has_key([key])).groupBy(key).agg(F.max(order).alias("_first"))
+    return first.select(
+        key, F.col("_first.number").alias(number), F.col("_first.order").alias("_order"), F.col("_first.content").alias("_content")
+    )
+
+
 def has_key(key: Sequence[str]) -> Column:
     every = F.lit(True)
     for name in key:

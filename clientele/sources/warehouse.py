@@ -129,47 +129,65 @@ class Warehouse:
         """
         key, newest = KEYS[name]
         given = conform(rows, TABLES[name])
-        kept, others = keyed.split_by_key(given, [key], newest)
-        kept = materialise(kept, "kept")
+        number = keyed.free_name(given, "_number")
+        numbered = materialise(given.withColumn(number, F.monotonically_increasing_id()), "numbered")
+        # Of both sides only the order travels; the newest rows are joined as they are smaller for a small batch.
+        first = materialise(keyed.newest_numbers(numbered, key, newest, given.columns, number), "first")
         stored = conform(self.read(name), TABLES[name])
-        # The keys are written, so that their size is known and stored rows need no shuffle for a small batch.
-        keys = materialise(kept.select(key), "keys")
-        met = materialise(stored.join(keys, key, "left_semi"), "met")
-        both = kept.withColumn("_stored", F.lit(False)).unionByName(met.withColumn("_stored", F.lit(True)))
+        held = stored.select(
+            key, keyed.row_order(given, newest).alias("_stored"), keyed.content(given).alias("_stored_content"),
+            F.col(newest).alias("_stored_time"),
+        )
         # Of equal rows the stored one counts, which leaves its folder alone.
-        order = F.struct(keyed.row_order(given, newest).alias("order"), "_stored")
-        newer = both.groupBy(key).agg(F.max(order).alias("_first")).where(~F.col("_first._stored")).select(key)
-        newer = materialise(newer, "newer")
-        coming = materialise(kept.join(newer, key, "left_semi"), "coming")
-        stale = kept.join(newer, key, "left_anti").join(met, met.columns, "left_anti").withColumn("reason", F.lit(keyed.STALE))
-        rejected = materialise(_rejected_rows(name, key, others.unionByName(stale), now), "rejected")
-        counts = {"coming": coming.count(), "rejected": rejected.count(), "dates": 0}
+        state = F.when(F.col("_order") > F.col("_stored"), keyed.COMING).when(
+            (F.col("_order") < F.col("_stored")) | (F.col("_content") != F.col("_stored_content")), keyed.STALE
+        ).otherwise(keyed.SAME)
+        met = held.join(first, key).select(F.col(number).alias(number), state.alias("_state"), "_stored_time")
+        met = materialise(met, "met")
+        told = numbered.join(first.select(number, F.lit(True).alias("_first")), number, "left").join(
+            met.select(number, "_state"), number, "left"
+        )
+        reason = F.when(~keyed.has_key([key]), keyed.MISSING).when(F.col("_first").isNull(), keyed.REPEATED)
+        told = told.select(*given.columns, F.coalesce(reason, "_state", F.lit(keyed.COMING)).alias("_told"))
+        told = materialise(told.where(F.col("_told") != keyed.SAME), "told")
+        coming = told.where(F.col("_told") == keyed.COMING).select(*given.columns)
+        refused = told.where(F.col("_told") != keyed.COMING).withColumnRenamed("_told", "reason")
+        found = told.agg(F.count_if(F.col("_told") == keyed.COMING).alias("n"), F.count("*").alias("m")).first()
+        counts = {"coming": found["n"], "rejected": found["m"] - found["n"], "dates": 0}
         if counts["rejected"]:
-            self.append("rejected_row", rejected)
+            self.append("rejected_row", _rejected_rows(name, key, refused, now))
         if not counts["coming"]:
             return counts
+        newer = coming.select(key)
         if name not in DATED:
             self.replace(name, stored.join(newer, key, "left_anti").unionByName(coming))
             return counts
-        going = met.join(newer, key, "left_semi")
-        date = F.to_date(DATED[name])
-        dates = [r[0] for r in coming.unionByName(going).select(date.alias(DATE)).distinct().collect()]  # as many as days
-        self._rewrite_dates(name, dates, newer, key, coming)
-        return counts | {"dates": len(dates)}
-
-    def _rewrite_dates(self, name: str, dates: list, newer: DataFrame, key: str, coming: DataFrame) -> None:
-        """Replace the folders of these dates by what they hold of other keys and the new rows."""
-        touched = F.col(DATE).isin([d for d in dates if d is not None])
-        if None in dates:
-            touched = touched | F.col(DATE).isNull()
-        rest = conform(self.read(name).where(touched).join(newer, key, "left_anti"), TABLES[name])
-        content = materialise(rest.unionByName(coming).withColumn(DATE, F.to_date(DATED[name])), "content")
-        left = {r[0] for r in content.select(DATE).distinct().collect()}
+        going = met.where(F.col("_state") == keyed.COMING).select(F.to_date("_stored_time").alias(DATE)).distinct()
+        come = coming.select(F.to_date(DATED[name]).alias(DATE)).distinct()
+        left_by, dates = ({r[0] for r in frame.collect()} for frame in (going, come))  # as many as days
+        self._rewrite_dates(name, dates | left_by, left_by - dates, newer, key, coming)
+        return counts | {"dates": len(dates | left_by)}
+
+    def _rewrite_dates(self, name: str, dates: set, left_by: set, newer: DataFrame, key: str, coming: DataFrame) -> None:
+        """Replace the folders of these dates by what they hold of other keys and the new rows.
+
+        A dynamic overwrite puts new folders in place only once all are written, so it may read the old ones.
+        ``left_by`` are dates that rows leave and none comes to.
+        """
+
+        def rest(of: set) -> DataFrame:
+            touched = F.col(DATE).isin([d for d in of if d is not None])
+            if None in of:
+                touched = touched | F.col(DATE).isNull()
+            return self.read(name).where(touched).join(newer, key, "left_anti")
+
+        stays = {r[0] for r in rest(left_by).select(DATE).distinct().collect()} if left_by else set()
         path, stamp = self.path(name), DATED[name]
+        content = conform(rest(dates), TABLES[name]).unionByName(coming).withColumn(DATE, F.to_date(stamp))
         ordered = content.hint("rebalance", DATE).sortWithinPartitions(DATE, stamp)
         writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         _findable(writer).partitionBy(DATE).parquet(path)
-        for gone in set(dates) - left:  # a date that lost its last row
+        for gone in left_by - stays:  # a date that lost its last row
             folder = f"{DATE}={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone.isoformat()}"
             place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)

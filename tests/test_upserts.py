@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientele.operators import keyed
+from clientele.sources import warehouse
 from clientele.sources.feeds import conform
 from clientele.sources.schemas import FEEDS, TABLES
 from clientele.sources.warehouse import Warehouse, fact_rows
@@ -150,3 +151,26 @@ def test_a_stream_ends_as_a_batch_load(spark, store, tmp_path):
     assert 0 < some < again.read("event_fact").count()
     rows = lambda w: sorted(map(repr, w.read("event_fact").select(*feed.columns[:1], "unified_customer_id", "event_timestamp").collect()))
     assert rows(again) == rows(at_once)
+
+
+def test_equal_rows_with_gaps_change_nothing_and_others_are_told(spark, store):
+    """A stored row with a null comes again: it is no older one; one of the same time with the gap elsewhere is."""
+    row = ("1", None, DAY, "view", None, "s", "mobile")
+    moved = ("1", None, DAY, "view", "s", None, "mobile")  # the hash that orders rows skips nulls
+    store.replace("event_fact", events(spark, [row]))
+    before = files(store)
+    assert store.upsert("event_fact", events(spark, [row]), NOW) == {"coming": 0, "rejected": 0, "dates": 0}
+    assert store.upsert("event_fact", events(spark, [moved]), NOW) == {"coming": 0, "rejected": 1, "dates": 0}
+    assert files(store) == before and rejected(store) == [("older_than_stored", "1")]
+
+
+def test_a_batch_is_shuffled_as_a_whole_only_once(spark, store, monkeypatch):
+    """The rows of a batch are told apart by one pass, not by one for each kind, and are written twice at most."""
+    written = []
+    real = warehouse.materialise
+    monkeypatch.setattr(warehouse, "materialise", lambda df, label: written.append(df.columns) or real(df, label))
+    store.replace("event_fact", events(spark, [event("1", 0), event("2", 1)]))
+    written.clear()
+    store.upsert("event_fact", events(spark, [event("1", 3), event("2", 0), event("3", 1), event(None, 1)]), NOW)
+    assert sum("page_url" in columns for columns in written) == 2
+    assert content(store) == {(k, "view", DAY + timedelta(days=d)) for k, d in (("1", 3), ("2", 1), ("3", 1))}
