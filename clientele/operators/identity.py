@@ -68,13 +68,15 @@ def entity_clusters(edges: DataFrame, entities: DataFrame | None = None) -> Data
         known = known.unionByName(entities.select("entity_id"))
     known = known.where(F.col("entity_id").isNotNull()).distinct()
     numbered = global_rank(known, ["entity_id"], "idx")
-    pairs = materialise(edges.join(numbered, "entity_id").select("node", "idx"), "links")
-    smallest = materialise(pairs.groupBy("node").agg(F.min("idx").alias("low")), "minima")
+    # Most identifiers have one entity and tie nobody, so only the others meet the running numbers.
+    ends = edges.groupBy("node").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("_high"))
+    smallest = materialise(ends.where(F.col("low") < F.col("_high")).select("node", "low"), "minima")
+    named = edges.join(smallest, "node").where(F.col("entity_id") > F.col("low")).select("entity_id", "low").distinct()
     ties = (
-        pairs.join(smallest, "node")
-        .where(F.col("idx") > F.col("low"))
-        .select(F.col("idx").alias("high"), "low")
-        .distinct()
+        materialise(named, "ties")
+        .join(numbered.withColumnRenamed("idx", "high"), "entity_id")
+        .join(numbered.select(F.col("entity_id").alias("low"), F.col("idx").alias("_least")), "low")
+        .select("high", F.col("_least").alias("low"))
     )
     tied = components(ties)
     hangs = F.col("idx") == F.col("high")
