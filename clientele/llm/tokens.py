@@ -13,12 +13,13 @@ import functools
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches a worker remembers; beyond it the memory starts anew, results stay the same.
+#: Stretches a worker remembers; beyond it only those met more than once stay, results stay the same.
 REMEMBERED = 700_000
 
 #: New stretches encoded as one text, parted by a stretch that is one id; those that hold it are encoded alone.
@@ -49,6 +50,27 @@ class _Stretches:
         self._number: dict[str, int] = {}
         self._starts = np.zeros(1, np.int64)  # of the ids of each stretch, and the end
         self._ids = np.zeros(1 << 16, np.uint32)
+        self._met = np.zeros(0, np.int32)  # how many batches met each stretch
+
+    def _count(self, numbers: np.ndarray) -> None:
+        """Count a meeting of each of these stretches."""
+        if len(self._met) < len(self._number):
+            self._met = np.concatenate([self._met, np.zeros(len(self._number), np.int32)])
+        np.add.at(self._met, numbers, 1)
+
+    def _forget(self) -> None:
+        """Keep the stretches met more than once, half of what is remembered at most; the rest has to be learned again."""
+        self._count(np.zeros(0, np.int64))
+        known = len(self._number)
+        often = np.argsort(-self._met[:known], kind="stable")[: self._remembered // 2]
+        kept = np.zeros(known, bool)
+        kept[often[self._met[often] > 1]] = True
+        starts, sizes = self._starts[:known][kept], np.diff(self._starts[: known + 1])[kept]
+        ids = self._ids[ragged(starts, sizes)]
+        self._number = {stretch: at for at, stretch in enumerate(compress(self._number, kept.tolist()))}
+        self._starts = np.r_[0, np.cumsum(sizes)]
+        self._ids[: len(ids)] = ids
+        self._met = np.ones(len(sizes), np.int32)
 
     def _heads(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids, end to end, and their number for stretches that open a text."""
@@ -83,8 +105,7 @@ class _Stretches:
     def flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, unsigned 32-bit, and where each text begins, with the end."""
         if len(self._number) > self._remembered:
-            self._number.clear()
-            self._starts = self._starts[:1]
+            self._forget()
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -99,6 +120,7 @@ class _Stretches:
         if new:
             self._learn([distinct[at] for at in new])
             number[new] = [self._number[distinct[at]] for at in new]
+        self._count(number[number >= 0])
         number = number[where]
         heads = [text[: text.find(" ")] if " " in text else text for text in texts]
         whole = number >= 0
@@ -187,6 +209,7 @@ class StretchEncoder(_Stretches):
         if not ended:
             return
         core = np.array([self._number[c] for _, c in ended])
+        self._count(core)
         tails = [stretch[len(c) :] for stretch, c in ended]
         marks = {tail: at for at, tail in enumerate(dict.fromkeys(tails))}
         found = [np.array(x.ids, np.uint32) for x in self._tokenizer.encode_batch_fast(list(marks), add_special_tokens=False)]
