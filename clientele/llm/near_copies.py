@@ -12,8 +12,8 @@ has a bitmap with a bit for the hash of each token, and bits that only one of tw
 tokens that only one set has.  Texts travel only for the pairs that are left, which are hardly more than the true ones.
 
 Documents with equal sets count once.  Holders of a token are first compared with the smallest of
-them; tokens whose holders that has tied together need no further pairs, so a large group of copies is
-not squared.
+them, then with others in turn; tokens whose holders that has tied together need no further pairs, so a large
+group of copies is not squared.  What is still apart after the turns meets in all pairs.
 
 Defined cases: words are runs of anything but ASCII white space, lower-cased as UTF-8 text; texts of
 fewer words than a shingle are one token; null and wordless texts are one group.  Repeated rows and
@@ -42,7 +42,12 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Documents of the sample, how many of them make a token common, and common tokens at most.
 SAMPLE, COMMON, COMMON_MOST = 20_000, 8, 1 << 16
 
+#: How often every holder of a token meets one of them, before all pairs of the rest meet; fewer turns are
+#: taken if those pairs are at most so many times the rows that share a token.
+TURNS, MEETINGS = 8, 0.25
+
 _SLACK = 1e-9
+_HOLDER = ("row", "size", "place", "root")
 
 
 def shingle_set(text: str, known: WordHashes, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -220,6 +225,34 @@ def _apart(rooted: DataFrame) -> DataFrame:
     return rooted.join(materialise(tokens, "apart"), "token", "left_semi")
 
 
+def _meetings(holders: DataFrame) -> float:
+    """Pairs of holders of one token from different groups."""
+    per_group = holders.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
+    per_token = per_group.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return per_token.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0.0
+
+
+def _told_apart(holders: DataFrame) -> DataFrame:
+    """Tokens that the same rows hold become one, at the smallest of their places: it lets no fewer pairs meet.
+
+    Tokens whose holders only hash alike become one as well, which loses no pair either.
+    """
+    own = F.xxhash64("row")
+    same = holders.groupBy("token").agg(
+        F.xxhash64(F.count("*"), F.bit_xor(own), F.bit_xor(F.xxhash64(own))).alias("held")
+    )
+    named = holders.join(materialise(same, "held"), "token")
+    return named.groupBy(F.col("held").alias("token"), "row", "size", "root").agg(F.min("place").alias("place"))
+
+
+def _not_compared(pairs: DataFrame, compared: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The pairs that no turn has compared, as a written table, and all that are compared with them."""
+    if compared is not None:
+        pairs = pairs.join(compared, ["high", "low"], "left_anti")
+    pairs = materialise(pairs, "pairs")
+    return pairs, pairs if compared is None else compared.unionByName(pairs)
+
+
 def groups(
     numbered: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, budget: int = BUDGET
 ) -> DataFrame:
@@ -244,33 +277,41 @@ def groups(
         shared.where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).select("token", "row", "size", "place"), "shared"
     )
 
-    # First every holder of a token with its smallest holder, where the trie has left them apart.
+    # First every holder of a token with one of them, where they are still apart.  That one is done with then: it has
+    # met all others, so it leaves the token, and the next turn takes another.
     open_ = materialise(_apart(materialise(_rooted(shared, tied), "rooted")), "open")
-    head = open_.groupBy("token").agg(F.min(F.struct("size", "row", "place", "root")).alias("head"))
-    to_head = open_.join(materialise(head, "heads"), "token").where(F.col("root") != F.col("head.root")).select(
-        "row", "size", "place", *[F.col(f"head.{n}").alias(f"head_{n}") for n in ("row", "size", "place")]
-    )
-    first = materialise(to_head.where(_may_reach("", "head_", similarity)).select(*_ordered("row", "head_row")).distinct(), "pairs")
-    links = tied.unionByName(_verified(first, marks, numbered, similarity, words))
-    tied_now = materialise(links, "tied")
+    compared, most = None, MEETINGS * shared.count()
+    spent = [shared, tied]
+    for turn in range(TURNS):
+        order = F.xxhash64("row", F.lit(turn)) if turn else F.col("size")
+        head = open_.groupBy("token").agg(F.min(F.struct(order.alias("order"), "row", "size", "place", "root")).alias("head"))
+        with_head = open_.join(materialise(head, "heads"), "token").where(F.col("row") != F.col("head.row"))
+        met = materialise(
+            with_head.select("token", "row", "size", "place", "root", *[F.col(f"head.{n}").alias(f"head_{n}") for n in _HOLDER]), "met"
+        )
+        possible = met.where((F.col("root") != F.col("head_root")) & _may_reach("", "head_", similarity))
+        pairs, compared = _not_compared(possible.select(*_ordered("row", "head_row")).distinct(), compared)
+        found = _verified(pairs, marks, numbered, similarity, words)
+        tied = materialise(tied.unionByName(found), "tied")
+        rooted = materialise(_rooted(met.select("token", "row", "size", "place"), tied), "rooted")
+        spent += [open_, met, pairs, found, tied, rooted]
+        open_ = materialise(_apart(rooted) if turn else _told_apart(_apart(rooted)), "open")
+        if _meetings(open_) <= most:
+            break
 
     # Then all pairs of different groups among the holders of tokens that are still apart.
-    rooted = materialise(_rooted(open_.drop("root"), tied_now), "rooted")
-    left = materialise(_apart(rooted), "left")
-    others = left.select("token", *[F.col(n).alias(f"other_{n}") for n in ("row", "size", "place", "root")])
-    met = left.join(others, "token").where(
+    others = open_.select("token", *[F.col(n).alias(f"other_{n}") for n in _HOLDER])
+    met = open_.join(others, "token").where(
         (F.col("row") < F.col("other_row")) & (F.col("root") != F.col("other_root")) & _may_reach("", "other_", similarity)
     )
-    rest = materialise(
-        met.select(*_ordered("row", "other_row")).distinct().join(first, ["high", "low"], "left_anti"), "pairs"
-    )
+    rest, _ = _not_compared(met.select(*_ordered("row", "other_row")).distinct(), compared)
     more = _verified(rest, marks, numbered, similarity, words)
-    ends = components(tied_now.unionByName(more)).select(F.col("high").alias("least"), F.col("low").alias("root"))
+    ends = components(tied.unionByName(more)).select(F.col("high").alias("least"), F.col("low").alias("root"))
     found = materialise(
         members.join(distinct, "digest").join(ends, "least", "left").select("row", F.coalesce("root", "least").alias("root")),
         "groups",
     )
-    for table in (members, distinct, single, tied, shared, open_, first, tied_now, rooted, left, rest, more):
+    for table in (members, distinct, single, *spent, open_, compared, rest, more):
         discard(table)
     return found
 
