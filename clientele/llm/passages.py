@@ -187,7 +187,7 @@ def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _WINDOWS = (
-    "local boolean, function int, key bigint, value bigint, doc bigint, span bigint, context int,"
+    "local boolean, linked boolean, function int, key bigint, value bigint, doc bigint, span bigint, context int,"
     " first_doc bigint, first_span bigint, first_context int"
 )
 
@@ -210,16 +210,17 @@ def windows(docs: DataFrame, hashes: int, length: int, words: int) -> DataFrame:
                 first = np.repeat(head, np.diff(np.r_[head, len(value)]))
                 leads = first == np.arange(len(value))
                 kept = leads | (doc != doc[first])  # more of the first document is no link
+                linked = np.add.reduceat(kept, head, dtype=np.int64)[np.cumsum(leads) - 1] > 1
                 n = int(kept.sum())
                 value, doc_kept, span_kept, leads = value[kept], doc[kept], span[kept], leads[kept]
                 yield pa.record_batch(
-                    [pa.array(~leads), pa.array(np.full(n, function, np.int32)),
+                    [pa.array(~leads), pa.array(linked[kept]), pa.array(np.full(n, function, np.int32)),
                      # Links are dealt by document: they need no meeting any more.
                      pa.array(np.where(leads, value, doc_kept)), pa.array(value, mask=leads),
                      pa.array(doc_kept), pa.array(span_kept), pa.array(context[kept]),
                      pa.array(doc[first][kept], mask=leads), pa.array(span[first][kept], mask=leads),
                      pa.array(context[first][kept], mask=leads)],
-                    names=["local", "function", "key", "value", "doc", "span", "context", "first_doc", "first_span", "first_context"],
+                    names=["local", "linked", "function", "key", "value", "doc", "span", "context", "first_doc", "first_span", "first_context"],
                 )
 
     return docs.mapInArrow(run, _WINDOWS)
@@ -230,9 +231,14 @@ def _centre(span: str = "span") -> Column:
 
 
 def _tied(found: DataFrame) -> DataFrame:
-    """Windows of a value, but those of its first holder, each with a window of an earlier holder."""
-    same = Window.partitionBy("local", "function", "key").orderBy("doc", _centre())
+    """Windows of a value, but those of its first holder, each with a window of an earlier holder.
+
+    ``more`` is false where the two are all holders of the value.
+    """
+    whole = Window.partitionBy("local", "function", "key")
+    same = whole.orderBy("doc", _centre())
     return found.select(
+        (F.max("linked").over(whole) | (F.count("*").over(whole) > 2)).alias("more"),
         "function", F.coalesce("value", "key").alias("value"), "doc", "span", "context",
         F.coalesce("first_doc", F.first("doc").over(same)).alias("first_doc"),
         F.coalesce("first_span", F.first("span").over(same)).alias("first_span"),
@@ -279,7 +285,10 @@ def _tied_again(tied: DataFrame, found: DataFrame, words: int) -> DataFrame:
     covered = F.exists("spans", lambda s: (s["first"] <= _centre()) & (_centre() < s["last"] - (words - 1)))
     sides = F.array(F.col("context").bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned("context", 16) + F.lit(1 << 16))
     left_open = ~F.coalesce(covered, F.lit(False))
-    holders = tied.join(spans, "doc", "left").withColumn("open", left_open)
+    # A pair that holds a value alone has been compared.
+    holders = materialise(
+        tied.where("more").join(spans, "doc", "left").withColumn("open", left_open).drop("spans", "more"), "holders"
+    )
     # The first holder of an open window was compared with its followers alone, which may have met others.
     heads = holders.where("open").select(
         "function", "value", F.col("first_doc").alias("doc"), F.col("first_span").alias("span"), F.col("first_context").alias("context")
@@ -289,9 +298,13 @@ def _tied_again(tied: DataFrame, found: DataFrame, words: int) -> DataFrame:
         "side", F.explode(F.array_distinct(sides))
     ).drop("context")
     key = ["function", "value", "side"]
+    marked = materialise(marked, "marked")
+    discard(holders)
     met = marked.groupBy(*key).agg(F.min("doc").alias("_low"), F.max("doc").alias("_high"), F.max("open").alias("_any"))
     keys = materialise(met.where("_any and _low < _high").select(*key), "contexts")
     again = materialise(marked.join(keys, key, "left_semi"), "open_windows")
+    discard(marked)
+    discard(keys)
     place = F.struct("doc", _centre().alias("centre"), "span")
     heads = materialise(
         again.groupBy(*key).agg(
